@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op10_ann
+from .packing import op3_packing
+from .sharding import op7_sharding
 from .substring_dedup import op9_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op9_substring_dedup,)
+    for f in (op3_packing, op7_sharding, op9_substring_dedup, op10_ann)
 }
 
 ORACLE_SQL: dict[str, str] = {}
