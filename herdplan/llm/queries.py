@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op10_ann
+from .near_dup import op4_near_dup
 from .packing import op3_packing
+from .quality import op5_quality
 from .sharding import op7_sharding
 from .substring_dedup import op9_substring_dedup
+from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_packing, op7_sharding, op9_substring_dedup, op10_ann)
+    for f in (op2_toxicity, op3_packing, op4_near_dup, op5_quality, op7_sharding, op9_substring_dedup, op10_ann)
 }
 
 ORACLE_SQL: dict[str, str] = {}
