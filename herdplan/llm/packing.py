@@ -35,7 +35,7 @@ from .common import materialised, prepare, table
 
 SIZE, END = 4096, 1
 #: Words whose tokens a worker keeps.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 
 
 def best_fit(counts: dict[int, int], size: int) -> np.ndarray:
@@ -80,6 +80,11 @@ def best_fit(counts: dict[int, int], size: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 5)
 
 
+#: The signs that stand for bytes in the vocabulary: printable ones themselves,
+#: the others, in order, from 256 on.
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
 class _Encoded(dict):
     """Token ids, as bytes, by lower-case word."""
 
@@ -91,15 +96,26 @@ class _Encoded(dict):
     def text(self, text: bytes) -> bytes:
         return np.array(self.encoder.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def letters(self, word: bytes) -> bytes | None:
+        """Ids of a word of Latin-1 letters alone, past the steps before the
+        merges, which would leave it one piece; None for other words."""
+        if word.isalpha():  # ASCII
+            piece = word.decode()
+        else:
+            text = word.decode()
+            if not text.isalpha() or max(text) > "\xff":
+                return None
+            piece = text.lower().encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return np.array([t.id for t in self.encoder.model.tokenize(piece)], "<u4").tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > CACHED_WORDS:
             self.clear()
-        body, last = word[:-1], word[-1:]
-        if last in b".," and body.isalpha():  # ASCII letters; the sign is a token by itself
-            out = self[body] + self[last]
-        else:
-            out = self.text(word)
-        self[word] = out
+        out, body, last = self.letters(word), word[:-1], word[-1:]
+        if out is None and last in b".,":  # after a letter the sign is a token by itself
+            start = self.get(body) if body in self else self.letters(body)
+            out = None if start is None or not body.decode().isalpha() else start + self[last]
+        self[word] = out = self.text(word) if out is None else out
         return out
 
 
@@ -115,7 +131,7 @@ def encode(text: str | None, path: str) -> np.ndarray:
     known, data = _ENCODERS[path], (text or "").encode()
     if b"<|" in data:
         return np.frombuffer(known.text(data), "<u4")
-    return np.frombuffer(b"".join([known[w] for w in data.lower().split()]), "<u4")
+    return np.frombuffer(b"".join(map(known.__getitem__, data.lower().split())), "<u4")
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
