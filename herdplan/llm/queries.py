@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op10_ann
+from .decontaminate import op1_decontaminate
+from .lattice_lm import op8_lm
 from .near_dup import op4_near_dup
 from .packing import op3_packing
 from .quality import op5_quality
+from .secret_scan import op6_secret_scan
 from .sharding import op7_sharding
 from .substring_dedup import op9_substring_dedup
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_toxicity, op3_packing, op4_near_dup, op5_quality, op7_sharding, op9_substring_dedup, op10_ann)
+    for f in (op1_decontaminate, op2_toxicity, op3_packing, op4_near_dup, op5_quality, op6_secret_scan, op7_sharding, op8_lm, op9_substring_dedup, op10_ann)
 }
 
 ORACLE_SQL: dict[str, str] = {}
