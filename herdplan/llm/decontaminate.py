@@ -94,6 +94,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return best.select(F.col("_key").alias(key), F.col("_item").alias(item), F.col("item_words").cast("long").alias("item_words"), F.col("_best._equal").cast("long").alias("equal_words"), (-F.col("_best._back")).cast("long").alias("start_word"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without the rows whose key holds a passage of the benchmark."""
+    found = materialised(contaminated(docs, benchmark, key, **options).select(F.col(key).alias("_gone")).distinct())
+    few = found.count() <= BROADCAST_SEEDS
+    return docs.join(F.broadcast(found) if few else found, docs[key].eqNullSafe(found["_gone"]), "left_anti")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that hold a passage of ``benchmark``, with the item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialised, prepare, table
 
 SCOPE = 256
+BROADCAST_ROWS = 200_000
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kind, pattern, base kind or not; in the order of reports. The minimum
 #: lengths of access and hex are part of their patterns: runs of one class are
@@ -101,6 +102,17 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["pos"] + 1).cast("int"), F.length(text))))
 
 
+def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
+    """``docs`` with every reported stretch replaced by a mark."""
+    same = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    found = report(docs.select(same.alias("_same"), text), "_same", text, scope).where(F.size("spans") > 0)
+    found = materialised(found.groupBy("_same").agg(F.first("spans").alias("_spans")).select(F.col("_same.key").alias("_k"), F.col("_same.hash").alias("_h"), "_spans"))
+    few = found.count() <= BROADCAST_ROWS
+    own = docs.withColumn("_own", F.xxhash64(text))
+    out = own.join(F.broadcast(found) if few else found, own[key].eqNullSafe(found["_k"]) & (own["_own"] == found["_h"]), "left")
+    return out.withColumn(text, F.when(F.col("_spans").isNotNull(), redacted(F.col(text), F.col("_spans"))).otherwise(F.col(text))).select(*docs.columns)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 6 over all of ``documents``."""
     out = report(table(spark, sf_dir, "documents"))
