@@ -439,3 +439,207 @@ def quadratic_roots(x: Panel) -> DataFrame:
     part = x.spark.read.parquet(f"{x.sf_dir}/part.parquet")
     a, b, c = (F.col("p_partkey") % 4).cast("double"), (F.col("p_size") - 20).cast("double"), (F.col("p_partkey") % 9 - 3).cast("double")
     return part.select(F.col("p_partkey").alias("id"), F.size(real_roots(a, b, c)).cast("long").alias("n_roots"))
+
+
+# -- solvers: certificates are restated by SQL as the row they must give
+
+_CERTIFICATE = "cert AS (SELECT 'Solved' AS status, TRUE AS sums, TRUE AS bounds, TRUE AS within_cap, TRUE AS by_sex, TRUE AS stationary, TRUE AS beats_greedy_mix)"
+_CERT_SQL = "SELECT * FROM cert"
+
+
+def _rows(x: Panel, cap: bool = False) -> DataFrame:
+    wide = panel.widen(x.genotypes)
+    return wide.join(x.candidates, "candidate_id").select("candidate_id", "z", "b", "male", F.lit(0.05).alias("cap") if cap else F.lit(None).cast("double").alias("cap"))
+
+
+def _scalars(x: Panel) -> tuple[float, float]:
+    row = x.scale.crossJoin(panel.mean_diagonal(x.genotypes, x.scale)).first()
+    return row["s"], row["mean_diag"]
+
+
+def _certificate(x: Panel, sexed: bool, cap: bool, share: float, ridge: float = 1e-5) -> DataFrame:
+    """Checks of the optimum, recomputed by joins from the panel itself."""
+    from .plans import solve_panel
+
+    s, mean = _scalars(x)
+    k = share * mean
+    found = solve_panel(_rows(x, cap), k, s, ridge, sexed, cap)
+    c = found.contributions(x.spark)
+    quad = plan.coancestry(x.genotypes, c, x.scale)
+    own = c.join(x.candidates, "candidate_id").agg(
+        (F.abs(F.sum("c") - 1) < 1e-6).alias("sums"), ((F.min("c") >= -1e-7) & (F.max("c") <= (0.05 if cap else 1.0) + 1e-7)).alias("bounds"),
+        (F.abs(F.sum(F.when(F.col("male"), F.col("c")).otherwise(0.0)) - 0.5) < 1e-6).alias("half"), F.sum(F.col("b") * F.col("c")).alias("gain"), F.sum(F.col("c") * F.col("c")).alias("cc"),
+    )
+    mu = [float(v) for v in found.mu] * (1 if sexed else 2)
+    product = plan.kinship_product(x.genotypes, c, x.scale, ridge)
+    r = plan.reduced_costs(x.candidates, product, mu[0], mu[1], float(found.lam)).join(c, "candidate_id", "left")
+    top = 0.05 if cap else 2.0
+    worst = r.agg(F.max(F.when(F.col("c").isNull(), F.col("r")).when(F.col("c") >= top - 1e-9, -F.col("r")).otherwise(F.abs("r"))).alias("worst"))
+    uniform = x.candidates.agg(F.avg("b").alias("mean_b"))
+    return own.crossJoin(quad).crossJoin(worst).crossJoin(uniform).select(
+        F.lit(found.status).alias("status"), "sums", "bounds", (F.col("quad") + ridge * F.col("cc") <= k + 1e-6).alias("within_cap"), (F.col("half") if sexed else F.lit(True)).alias("by_sex"),
+        (F.col("worst") <= 1e-6).alias("stationary"), (F.col("gain") > F.col("mean_b")).alias("beats_greedy_mix"),
+    )
+
+
+@query(_CERT_SQL, tables=_CERTIFICATE)
+def solve_simplex(x: Panel) -> DataFrame:
+    return _certificate(x, False, False, 0.1)
+
+
+@query(_CERT_SQL, tables=_CERTIFICATE)
+def solve_sexed(x: Panel) -> DataFrame:
+    return _certificate(x, True, False, 0.1)
+
+
+@query(_CERT_SQL, tables=_CERTIFICATE)
+def solve_capped(x: Panel) -> DataFrame:
+    return _certificate(x, False, True, 0.1)
+
+
+@query(_CERT_SQL, tables=_CERTIFICATE)
+def solve_sexed_capped(x: Panel) -> DataFrame:
+    return _certificate(x, True, True, 0.1)
+
+
+@query("SELECT 'Solved' AS status, TRUE AS same_support, TRUE AS same_gain", tables="one AS (SELECT 1)")
+def solve_packed(x: Panel) -> DataFrame:
+    """2-bit rows and centred rows give the same optimum (no missing calls)."""
+    from .plans import PackedPricer, RowPricer
+    from .plans.api import grouped, select
+    from .plans.pricing import packed_rows
+
+    full = x.dosages.select("candidate_id", "marker_id", F.coalesce("dosage", F.lit(0)).alias("dosage"))
+    markers = panel.allele_frequencies(full)
+    got = markers.orderBy("marker_id").select("p").toArrow()
+    p = got.column("p").to_numpy()
+    s = float(2 * (p * (1 - p)).sum())
+    z = panel.widen(panel.centre(full, markers))
+    mean = z.select((F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v) / s).alias("g")).agg(F.avg("g")).first()[0]
+    attributes = x.candidates.select("candidate_id", "b", "male", F.lit(None).cast("double").alias("cap"))
+    one, two = RowPricer(grouped(z.join(attributes, "candidate_id"), True)), PackedPricer(grouped(packed_rows(full).join(attributes, "candidate_id"), True), p)
+    try:
+        a, b = (select(q, [0.5, 0.5], 0.1 * mean, s) for q in (one, two))
+    finally:
+        one.close(), two.close()
+    row = (a.status if a.status == b.status else "different", sorted(a.ids) == sorted(b.ids), abs(a.gain - b.gain) < 1e-9)
+    return x.spark.createDataFrame([row], "status string, same_support boolean, same_gain boolean")
+
+
+@query("SELECT n, TRUE AS feasible, TRUE AS within_cap, TRUE AS rising FROM (VALUES (1), (2), (3), (4), (5), (6)) v(n)", tables="one AS (SELECT 1)")
+def frontier(x: Panel) -> DataFrame:
+    """Gain against cap at six caps, each solved in a task of its own."""
+    from pyspark.sql import Window
+
+    from .plans import frontier as sweep
+
+    s, mean = _scalars(x)
+    points = sweep(_rows(x), [mean * f for f in (0.08, 0.12, 0.2, 0.3, 0.5, 0.8)], s)
+    before = F.lag("gain").over(Window.orderBy("k"))
+    return points.select(F.row_number().over(Window.orderBy("k")).alias("n"), "feasible", (F.col("quad") <= F.col("k") + 1e-6).alias("within_cap"), (F.coalesce(before, F.col("gain")) <= F.col("gain") + 1e-9).alias("rising"))
+
+
+@query("SELECT TRUE AS reached", tables="one AS (SELECT 1)")
+def ne_search(x: Panel) -> DataFrame:
+    """The cap whose optimum has ten effective parents, within one per cent."""
+    from .plans import cap_for_effective_size
+
+    s, mean = _scalars(x)
+    _, size = cap_for_effective_size(_rows(x), 10.0, 0.001 * mean, 0.8 * mean, s)
+    return x.spark.createDataFrame([(abs(size - 10.0) <= 0.1,)], "reached boolean")
+
+
+@query("SELECT 1e-4 AS ridge, 3 AS tries", tables="one AS (SELECT 1)")
+def ridge_escalation(x: Panel) -> DataFrame:
+    """Clones make G singular: the ridge grows tenfold until G is definite to 1e-5."""
+    from .plans.dense import factor_with_ridge
+
+    import numpy as np
+
+    z = np.ones((3, 4))
+    ridge, tries = factor_with_ridge(z @ z.T / 4, 1e-6, 10, least=5e-5)
+    return x.spark.createDataFrame([(float(ridge), tries)], "ridge double, tries int")
+
+
+@query("SELECT TRUE AS holds", tables="one AS (SELECT 1)")
+def kernel_identity(x: Panel) -> DataFrame:
+    """With G = ridge I, R(c) / k = 1 / |c|^2 at a binding cap."""
+    import numpy as np
+
+    from .plans.api import solve_arrays
+
+    b = x.candidates.orderBy("candidate_id").limit(40).select("b").toArrow().column("b").to_numpy()
+    got = solve_arrays(np.zeros((len(b), 1)), b, 0.1, s=1.0, ridge=1.0)
+    cc = float((got.c**2).sum())
+    return x.spark.createDataFrame([(abs(got.quad / cc / got.k * cc - got.quad / got.k) < 1e-9 and abs(got.quad - 0.1) < 1e-9,)], "holds boolean")
+
+
+@query()
+def spectrum_summary(x: Panel) -> DataFrame:
+    """Participation ratio, stable rank and rank of G from the m x m Gram of
+    markers, summed in Spark."""
+    import numpy as np
+
+    a = x.genotypes.select("candidate_id", F.col("marker_id").alias("i"), F.col("z").alias("zi"))
+    b = x.genotypes.select("candidate_id", F.col("marker_id").alias("j"), F.col("z").alias("zj"))
+    gram = a.join(b, "candidate_id").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("g")).crossJoin(x.scale).select("i", "j", (F.col("g") / F.col("s")).alias("g")).toArrow()
+    i, j, g = (gram.column(c).to_numpy() for c in ("i", "j", "g"))
+    full = np.zeros((int(j.max()) + 1,) * 2)
+    full[i, j] = full[j, i] = g
+    e = np.clip(np.linalg.eigvalsh(full), 0, None)
+    return x.spark.createDataFrame([(float(e.sum() ** 2 / (e**2).sum()), float(e.sum() / e.max()), int((e > 1e-9 * e.max()).sum()))], "participation double, stable_rank double, rank int")
+
+
+# -- sources
+
+
+@query("SELECT count(*) AS cells, 0 AS wrong FROM d WHERE candidate_id < 200 AND marker_id < 24")
+def scan_plink(x: Panel) -> DataFrame:
+    """The trio written from a part of the panel reads back as it was. The
+    files are on the driver, as the data source is for files that readers see."""
+    import tempfile
+
+    import numpy as np
+
+    from .sources import plink
+
+    part = x.dosages.where("candidate_id < 200 and marker_id < 24")
+    got = part.orderBy("candidate_id", "marker_id").select(F.coalesce("dosage", F.lit(-1)).alias("d")).toArrow().column("d").to_numpy()
+    prefix = f"{tempfile.mkdtemp(prefix='herdplan-')}/panel"
+    plink.write(prefix, np.asarray(got).reshape(-1, 24))
+    plink.register(x.spark)
+    back = x.spark.read.format("plink").option("markersPerPartition", "7").load(prefix).withColumnRenamed("dosage", "read")
+    both = part.join(back, ["candidate_id", "marker_id"])
+    return both.agg(F.count("*").alias("cells"), F.count_if(~F.col("dosage").eqNullSafe(F.col("read"))).cast("int").alias("wrong"))
+
+
+@query("SELECT 2000 AS calls, TRUE AS in_range, TRUE AS repeatable", tables="one AS (SELECT 1)")
+def gen_panel(x: Panel) -> DataFrame:
+    from .sources import generators
+
+    one, two = generators.panel(x.spark, 100, 20, 7), generators.panel(x.spark, 100, 20, 7).repartition(3)
+    differ = one.exceptAll(two).agg((F.count("*") == 0).alias("repeatable"))
+    return one.agg(F.count("*").cast("int").alias("calls"), F.bool_and(F.col("dosage").between(0, 2) & F.col("p").between(0.05, 0.5)).alias("in_range")).crossJoin(differ)
+
+
+@query("SELECT 10 AS families, TRUE AS alike", tables="one AS (SELECT 1)")
+def gen_families(x: Panel) -> DataFrame:
+    """Members of a family share most calls, others do not."""
+    from .sources import generators
+
+    g = generators.families(x.spark, 200, 30, 3)
+    a = g.where("candidate_id < 60").select(F.col("candidate_id").alias("i"), "marker_id", F.col("dosage").alias("d"), F.col("family").alias("f"))
+    b = g.where("candidate_id < 60").select(F.col("candidate_id").alias("j"), "marker_id", F.col("dosage").alias("e"), F.col("family").alias("h"))
+    same = a.join(b, "marker_id").where("i < j").agg(F.avg(F.when(F.col("f") == F.col("h"), (F.col("d") == F.col("e")).cast("int"))).alias("own"), F.avg(F.when(F.col("f") != F.col("h"), (F.col("d") == F.col("e")).cast("int"))).alias("other"))
+    return g.agg(F.countDistinct("family").cast("int").alias("families")).crossJoin(same.select((F.col("own") > F.col("other") + 0.1).alias("alike")))
+
+
+@query("SELECT generation, n, TRUE AS mendelian FROM (VALUES (0, 20), (1, 30), (2, 30)) v(generation, n)", tables="one AS (SELECT 1)")
+def gen_pedigree(x: Panel) -> DataFrame:
+    """No child lacks an allele that a parent can only pass on."""
+    from .sources import generators
+
+    g = generators.pedigree(x.spark, 20, 2, 30, 12, 5)
+    parent = g.select(F.col("candidate_id").alias("sire"), "marker_id", F.col("dosage").alias("of_sire"))
+    ok = (F.col("sire").isNull()) | ~(((F.col("of_sire") == 2) & (F.col("dosage") == 0)) | ((F.col("of_sire") == 0) & (F.col("dosage") == 2)))
+    return g.join(parent, ["sire", "marker_id"], "left").groupBy("generation").agg(F.countDistinct("candidate_id").cast("int").alias("n"), F.bool_and(ok).alias("mendelian"))
