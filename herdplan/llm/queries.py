@@ -22,4 +22,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_decontaminate, op2_toxicity, op3_packing, op4_near_dup, op5_quality, op6_secret_scan, op7_sharding, op8_lm, op9_substring_dedup, op10_ann)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Runs of words under each mask are compared as text here, not by hash.
+_DECONTAMINATE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS iw FROM benchmark),
+b AS (SELECT min(item_id) AS item_id, iw FROM b0 WHERE len(iw) >= 7 GROUP BY iw),
+mask(name, span, looked) AS (VALUES ('a', 6, [0, 1, 2, 4, 5]), ('b', 7, [0, 1, 3, 5, 6])),
+ds AS (SELECT doc_id, w, i, name || array_to_string(list_transform(looked, lambda k: w[i + k + 1]), ' ') AS seed FROM d, mask, range(0, 30000) r(i) WHERE i <= len(w) - span),
+bs AS (SELECT item_id, iw, i AS q, name || array_to_string(list_transform(looked, lambda k: iw[i + k + 1]), ' ') AS seed FROM b, mask, range(0, 30000) r(i) WHERE i <= len(iw) - span),
+hit AS (SELECT doc_id, item_id, w, iw, q, i - q AS start, least(len(iw), 13) AS width, greatest(0, least(q - 3, len(iw) - least(len(iw), 13))) AS first FROM ds JOIN bs USING (seed)),
+near AS (SELECT *, list_sum(list_transform(range(first, first + width), lambda j: CASE WHEN start + j >= 0 AND w[start + j + 1] = iw[j + 1] THEN 1 ELSE 0 END)) AS good FROM hit),
+scored AS (SELECT DISTINCT doc_id, item_id, start, len(iw) AS size, list_sum(list_transform(range(0, len(iw)), lambda j: CASE WHEN start + j >= 0 AND w[start + j + 1] = iw[j + 1] THEN 1 ELSE 0 END)) AS eq FROM near WHERE good >= ceil(width * 0.75))
+SELECT doc_id, item_id, CAST(max(size) AS BIGINT) AS item_words, CAST(max(eq) AS BIGINT) AS equal_words, CAST(arg_max(start, {'a': eq, 'b': -start}) AS BIGINT) AS start_word FROM scored GROUP BY doc_id, item_id
+"""
+
+_SECRETS = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+kinds(kind, ord, base, pattern) AS (VALUES
+ ('assign', 0, TRUE, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+ ('access', 1, TRUE, 'AKIA[A-Z0-9]+'), ('hex', 2, TRUE, '[0-9a-f]+'),
+ ('token', 3, FALSE, '[A-Za-z0-9/+=]{40,}'), ('endpoint', 4, FALSE, '[hH][tT][tT][pP][sS]?://[^\x20\x09-\x0D"''<>]+')),
+m AS (SELECT r, kind, ord, base, regexp_extract_all(text, pattern) AS found, regexp_split_to_array(text, pattern) AS gaps,
+        CASE WHEN kind = 'assign' THEN regexp_extract_all(text, pattern, 2) END AS value FROM t, kinds WHERE regexp_matches(text, pattern)),
+e AS (SELECT r, kind, ord, base, i, found[i] AS hit, length(gaps[i]) AS gap, value[i] AS v FROM m, range(1, 200000) g(i) WHERE i <= len(found)),
+p AS (SELECT *, sum(gap + length(hit)) OVER (PARTITION BY r, ord ORDER BY i) AS stop FROM e),
+s AS (SELECT r, kind, ord, base, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM p WHERE CASE kind WHEN 'assign' THEN length(v) >= 6
+        WHEN 'access' THEN length(hit) >= 20 WHEN 'hex' THEN length(hit) >= 24 WHEN 'token' THEN length(hit) = 40 AND NOT contains(hit, '=') ELSE TRUE END),
+linked AS (SELECT * FROM s WHERE base UNION ALL SELECT * FROM s w WHERE NOT base AND EXISTS (SELECT 1 FROM s b WHERE b.base AND b.r = w.r
+        AND (b.kind = 'access' OR (b.kind = 'assign' AND w.kind = 'endpoint')) AND b.start <= w.stop + 256 AND w.start <= b.stop + 256)),
+j AS (SELECT r, coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord), '') AS spans, coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (WHERE base), '') AS b,
+        count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex FROM linked GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN j USING (r)
+"""
+
+_SUBSTRINGS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos, len(w) AS n, w FROM d),
+k AS (SELECT r, doc_id, pos, word, CASE WHEN pos <= n - 49 THEN md5(array_to_string(w[pos : pos + 49], ' ')) END AS h FROM x),
+least_id AS (SELECT h, min(doc_id) AS first FROM k WHERE h IS NOT NULL GROUP BY h),
+gone AS (SELECT r, pos, word, coalesce(first < doc_id, FALSE) AS starts FROM k LEFT JOIN least_id USING (h)),
+cover AS (SELECT r, pos, word, max(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS c FROM gone),
+agg AS (SELECT r, sum(c) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE c = 0) AS kept FROM cover GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN agg USING (r)
+"""
+
+#: The others hold what SQL cannot say: trained models, a random deal, packing by
+#: steps, an approximate search, closed components; tests use brute force there.
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op6_secret_scan": _SECRETS, "op9_substring_dedup": _SUBSTRINGS}
