@@ -96,9 +96,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows whose key holds a passage of the benchmark."""
-    found = materialised(contaminated(docs, benchmark, key, **options).select(F.col(key).alias("_gone")).distinct())
+    found = materialised(contaminated(docs, benchmark, key, **options).select(F.col(key).alias("__gone")).distinct())
     few = found.count() <= BROADCAST_SEEDS
-    return docs.join(F.broadcast(found) if few else found, docs[key].eqNullSafe(found["_gone"]), "left_anti")
+    return docs.join(F.broadcast(found) if few else found, docs[key].eqNullSafe(found["__gone"]), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,11 +106,11 @@ def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
     """``docs`` with every reported stretch replaced by a mark."""
     same = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
     found = report(docs.select(same.alias("_same"), text), "_same", text, scope).where(F.size("spans") > 0)
-    found = materialised(found.groupBy("_same").agg(F.first("spans").alias("_spans")).select(F.col("_same.key").alias("_k"), F.col("_same.hash").alias("_h"), "_spans"))
+    found = materialised(found.groupBy("_same").agg(F.first("spans").alias("__secret_spans")).select(F.col("_same.key").alias("__secret_k"), F.col("_same.hash").alias("__secret_h"), "__secret_spans"))
     few = found.count() <= BROADCAST_ROWS
-    own = docs.withColumn("_own", F.xxhash64(text))
-    out = own.join(F.broadcast(found) if few else found, own[key].eqNullSafe(found["_k"]) & (own["_own"] == found["_h"]), "left")
-    return out.withColumn(text, F.when(F.col("_spans").isNotNull(), redacted(F.col(text), F.col("_spans"))).otherwise(F.col(text))).select(*docs.columns)
+    own = docs.withColumn("__secret_own", F.xxhash64(text))
+    out = own.join(F.broadcast(found) if few else found, own[key].eqNullSafe(found["__secret_k"]) & (own["__secret_own"] == found["__secret_h"]), "left")
+    return out.withColumn(text, F.when(F.col("__secret_spans").isNotNull(), redacted(F.col(text), F.col("__secret_spans"))).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

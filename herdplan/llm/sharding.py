@@ -94,18 +94,18 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 20240
         at = 0
         for batch in batches:
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to[at : at + n]), pa.array(rng.integers(0, 1 << 62, n)), pa.array(np.arange(at, at + n) + (p << 40))], [*batch.schema.names, "_block", "_order", "_row"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to[at : at + n]), pa.array(rng.integers(0, 1 << 62, n)), pa.array(np.arange(at, at + n) + (p << 40))], [*batch.schema.names, "__shard_block", "__shard_order", "__shard_row"])
             at += n
 
     names = [f.name for f in rows.schema.fields]
-    dealt = rows.mapInArrow(deal, T.StructType([*rows.schema.fields, T.StructField("_block", T.IntegerType()), T.StructField("_order", T.LongType()), T.StructField("_row", T.LongType())]))
-    place = F.row_number().over(Window.partitionBy("_block").orderBy("_order", "_row")) - 1
+    dealt = rows.mapInArrow(deal, T.StructType([*rows.schema.fields, T.StructField("__shard_block", T.IntegerType()), T.StructField("__shard_order", T.LongType()), T.StructField("__shard_row", T.LongType())]))
+    place = F.row_number().over(Window.partitionBy("__shard_block").orderBy("__shard_order", "__shard_row")) - 1
     many = F.array(*[F.lit(int(x)) for x in shard])
     if len(size) > 64:  # blocks by table: bounded by rows / block_rows
-        blocks = spark.createDataFrame(pa.table({"_block": pa.array(range(len(size)), pa.int32()), "shard": pa.array(shard, pa.int32()), "_first": pa.array(first, pa.int64())}))
-        return dealt.withColumn("_place", place).join(blocks, "_block").select(*names, "shard", (F.col("_first") + F.col("_place")).alias("slot"))
+        blocks = spark.createDataFrame(pa.table({"__shard_block": pa.array(range(len(size)), pa.int32()), "shard": pa.array(shard, pa.int32()), "__shard_first": pa.array(first, pa.int64())}))
+        return dealt.withColumn("__shard_place", place).join(blocks, "__shard_block").select(*names, "shard", (F.col("__shard_first") + F.col("__shard_place")).alias("slot"))
     firsts = F.array(*[F.lit(int(x)).cast("long") for x in first])
-    return dealt.withColumn("_place", place).select(*names, F.get(many, F.col("_block")).cast("int").alias("shard"), (F.get(firsts, F.col("_block")) + F.col("_place")).alias("slot"))
+    return dealt.withColumn("__shard_place", place).select(*names, F.get(many, F.col("__shard_block")).cast("int").alias("shard"), (F.get(firsts, F.col("__shard_block")) + F.col("__shard_place")).alias("slot"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
