@@ -13,6 +13,9 @@ from ..shipping import ship
 #: White space of the text contracts: ASCII space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Paths that scratch_dir has given out.
+_SCRATCH: list[str] = []
+
 #: Bytes of one Arrow batch sent to a Python worker.
 ARROW_BATCH_BYTES = 8 << 20
 
@@ -40,7 +43,19 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="herdplan-")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/herdplan-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/herdplan-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes what this process wrote to the shared folder; call it when no
+    result that reads from there is needed any more. How many paths went."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def materialised(df: DataFrame, files: int | None = None) -> DataFrame:

@@ -270,6 +270,16 @@ def test_sharding(spark):
     assert sharding.shuffle_into_shards(empty(spark)).count() == 0
 
 
+def test_scratch_goes(spark):
+    from pathlib import Path
+
+    from herdplan.llm import common
+
+    path = common.materialised(spark.range(5)).inputFiles()[0].removeprefix("file://")
+    assert Path(path).exists() and common.drop_scratch(spark) >= 1
+    assert not Path(path).exists()
+
+
 def test_matrix_margins_and_law():
     sizes, blocks = np.array([5, 0, 7, 3]), np.array([6, 4, 5])
     first = Counter()
