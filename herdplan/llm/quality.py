@@ -29,6 +29,8 @@ from .common import prepare, table
 from .labelled import held_out, training_sample
 
 BITS, DIM, EPOCHS, RATE = 17, 8, 6, 12.0
+#: Labelled rows of the training sample at most.
+ROWS = 4000
 LENGTHS = (3, 4, 5)
 THRESHOLD = 0.3
 
@@ -78,18 +80,20 @@ def ngrams(data: np.ndarray, offsets: np.ndarray):
             yield _scramble(total[good] + _SALT[k + 1]), doc[good]
 
 
-def bags(texts: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct buckets, their share) of each text."""
-    out = []
+def bags(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, buckets, weights): the distinct buckets of all texts and their
+    shares, one text after the other in flat arrays."""
+    ends, buckets, weights = [np.zeros(1, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, np.float32)]
     data, offsets = A.utf8(texts)
     for low, high, part, off in A.slices(data, offsets):
         every = [(b.astype(np.int64) + (d.astype(np.int64) << BITS)) for b, d in ngrams(part, off)]
         keys, counts = np.unique(np.concatenate(every) if every else np.empty(0, np.int64), return_counts=True)
-        ends = np.searchsorted(keys, np.arange(high - low + 1) << BITS)
-        for i in range(high - low):
-            c = counts[ends[i] : ends[i + 1]].astype(np.float64)
-            out.append((keys[ends[i] : ends[i + 1]] & int(_MASK), c / max(1.0, c.sum())))
-    return out
+        doc = keys >> BITS
+        total = np.bincount(doc, weights=counts, minlength=high - low)
+        ends.append(np.searchsorted(doc, np.arange(high - low), "right") + ends[-1][-1])
+        buckets.append((keys & int(_MASK)).astype(np.uint32))
+        weights.append((counts / total[doc]).astype(np.float32))
+    return np.concatenate(ends), np.concatenate(buckets), np.concatenate(weights)
 
 
 def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -101,11 +105,11 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = EPOCHS, rate
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-0.5, 0.5, (1 << BITS, DIM)) / DIM
     layer, bias = np.array([-1.0, 1.0])[:, None] * rng.uniform(0.1, 0.3, (1, DIM)), np.log(np.array([1 - share, share]))
-    own = bags(texts)
-    steps, done = epochs * len(own), 0
+    ends, every, shares = bags(texts)
+    steps, done = epochs * len(labels), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(own)):
-            buckets, weights = own[i]
+        for i in rng.permutation(len(labels)):
+            buckets, weights = every[ends[i] : ends[i + 1]], shares[ends[i] : ends[i + 1]]
             step = rate * (1 - done / steps)
             done += 1
             if not len(buckets):
@@ -140,7 +144,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", te
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.drop("score")
-    model = spark.sparkContext.broadcast(train(*training_sample(docs, labels, label)))  # 2 ** BITS numbers
+    model = spark.sparkContext.broadcast(train(*training_sample(docs, labels, label, ROWS)))  # 2 ** BITS numbers
 
     def run(batches):
         for b in batches:
