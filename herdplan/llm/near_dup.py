@@ -9,16 +9,18 @@ into bands; texts that agree in a band are candidates; candidates are verified
 by the exact Jaccard similarity of their shingle sets (32-bit hashes), and
 texts linked at ``threshold`` or more, directly or through others, are a class.
 
-No bucket emits all its pairs, and no task holds one:
+No task holds a bucket:
 1. Equal texts are one node (64-bit hash) from the start, combined map-side.
 2. Each bucket has a hub, the node that meets most others in all its buckets
    (of copies of a text that is there, the text itself); every other node is
    verified against the hubs of its buckets, and links give components.
-3. Nodes of buckets that still hold several components are dealt by four
-   bands together (CELLS for each band, over such buckets only), and there
-   all pairs between components are verified. Texts that merely share a
-   passage agree in 16 registers rarely; two at the threshold miss all 256
-   cells with a chance below 1e-3, two at 0.85 with one of 1e-8.
+3. Every pair between components of a bucket that still holds several is
+   verified or ruled out by an exact bound: two sets that are similar enough
+   share a shingle among the first n - ceil(threshold n) + 1 of each in any
+   common order, at places that leave room for the overlap. Nodes meet by
+   these shingles, rare ones first, so that a passage that many texts share
+   comes last and makes texts meet only where it is most of both.
+No link between texts that share a bucket is lost.
 Sizes that rule the threshold out drop a pair before its sets are fetched.
 
 Pairs and node lists are sent to all executors only below BROADCAST_ROWS, by
@@ -34,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -43,11 +45,12 @@ from .common import materialised, prepare, table
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 32, 4
-#: Steps from a band to three others, for cells of four bands.
-CELLS = ((1, 3, 7), (2, 5, 11), (4, 9, 15), (6, 13, 20), (8, 17, 27), (10, 19, 29), (12, 14, 23), (16, 18, 21))
 BROADCAST_ROWS = 1_000_000
 #: Links whose components one task finds.
 LOCAL_EDGES = 500_000
+#: Texts, about, whose shingles are counted to order all shingles by rarity, and
+#: how many frequent ones are told apart. The order bears on time, not on results.
+ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1_000_000
 
 _TABLE = A.byte_table(41)
 _SALTS = A.stream(44, 4) | np.uint64(1)
@@ -121,9 +124,10 @@ def signatures(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: i
             least = prob_min_hash(doc, h, 1 + np.log(count), b.num_rows, bands * rows)
             ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
             keys = band_keys(least, bands)
-            sets = [pack_sorted(np.unique((h[x:y] >> np.uint64(32)).astype(np.uint32))) if y > x else None for x, y in zip(ends[:-1], ends[1:])]
+            short = [np.unique((h[x:y] >> np.uint64(32)).astype(np.uint32)) for x, y in zip(ends[:-1], ends[1:])]
+            sets = [pack_sorted(x) if len(x) else None for x in short]
             lists = pa.array([k.tolist() if s is not None else [] for k, s in zip(keys, sets)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_node"), lists, pa.array(sets, pa.binary()), pa.array(np.diff(ends).astype(np.int32))], ["_id", "_node", "_keys", "_set", "_n"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_node"), lists, pa.array(sets, pa.binary()), pa.array([len(x) for x in short], pa.int32())], ["_id", "_node", "_keys", "_set", "_n"])
 
     narrow = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_node"), F.col(text).cast("string").alias("_text")).where(F.col("_text").isNotNull())
     return materialised(narrow.mapInArrow(run, "_id long, _node long, _keys array<long>, _set binary, _n int"))
@@ -197,13 +201,46 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
             return labels
 
 
-def _first_cell(one: Column, two: Column, bands: int) -> Column:
-    """Number (band * len(CELLS) + turn) of the first cell of four bands that
-    two nodes share, so that a pair leaves one of its cells only."""
-    powers = F.array(*[F.lit(1 << i) for i in range(bands)])
-    shared = F.aggregate(F.sequence(F.lit(0), F.lit(bands - 1)), F.lit(0).cast("long"), lambda a, i: a + F.when(F.get(one, i) == F.get(two, i), F.get(powers, i).cast("long")).otherwise(F.lit(0).cast("long")))
-    cells = F.array(*[F.lit(sum(1 << (band + step) % bands for step in (0, *c))).cast("long") for band in range(bands) for c in CELLS])
-    return F.get(F.transform(F.array(shared), lambda m: F.array_position(F.transform(cells, lambda c: m.bitwiseAND(c) == c), F.lit(True)) - 1), F.lit(0))
+def _frequent(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that several of about ORDER_TEXTS texts hold, with how many do."""
+    every = max(1, own.count() // ORDER_TEXTS)
+
+    def run(batches):
+        for b in batches:
+            sets = [unpack_sorted(s.as_py(), np.uint32) for s in b.column("_set")]
+            if sets:
+                token, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int32)), pa.array(n)], ["token", "n"])
+
+    some = own.where(F.pmod(F.xxhash64("b", F.lit(7)), F.lit(every)) == 0).select("_set").mapInArrow(run, "token int, n long")
+    top = some.groupBy("token").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES).toArrow()
+    token, n = top.column("token").to_numpy().view(np.uint32), top.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def _prefixes(own: DataFrame, threshold: float) -> DataFrame:
+    """Written rows (token, place, b, label, n): the first shingles of each set, rare
+    ones first, of which two sets that are similar enough share at least one."""
+    frequent = own.sparkSession.sparkContext.broadcast(_frequent(own))
+
+    def run(batches):
+        known, times = frequent.value
+        for b in batches:
+            tokens, lengths = [], []
+            for s in b.column("_set"):
+                token = unpack_sorted(s.as_py(), np.uint32)
+                at = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
+                rank = np.where(known[at] == token, times[at], 0) if len(known) else np.zeros(len(token), np.int64)
+                some = len(token) - int(np.ceil(threshold * len(token) - 1e-9)) + 1
+                tokens.append(token[np.lexsort((token, rank))[:some]])
+                lengths.append(len(tokens[-1]))
+            if tokens:
+                row = pa.array(np.repeat(np.arange(b.num_rows), lengths))
+                place = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int32)), pa.array(place), *[b.column(c).take(row) for c in ("b", "label", "n")]], ["token", "place", "b", "label", "n"])
+
+    return materialised(own.mapInArrow(run, "token int, place int, b long, label long, n int"))
 
 
 def _joined(links: DataFrame, labels: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +259,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     ``links`` counts the links of its text to different texts that were verified."""
     prepare(docs.sparkSession)
     signed = signatures(docs, key, text, words, bands, band_rows)
-    sets = signed.where(F.col("_set").isNotNull()).select("_node", "_set")
+    sets = signed.where(F.col("_set").isNotNull()).select("_node", "_n", "_set")
     banded = signed.select("_node", "_n", F.posexplode("_keys").alias("band", "bucket"))
     several = banded.groupBy("bucket").agg(F.min("_node").alias("_l"), F.max("_node").alias("_m")).where("_l < _m").select("bucket")
     members = materialised(banded.join(several, "bucket").select("bucket", "band", F.col("_node").alias("b"), F.col("_n").alias("n")).distinct())
@@ -234,27 +271,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     stars = materialised(members.join(hubs, "bucket").where((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = _similar(stars, sets, threshold)
     labels = components(links)
-    # buckets of several components: nodes dealt by four bands, all pairs between
+    # buckets of several components: all pairs between them that prefixes do not rule out
     held = members.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     mixed = held.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l < _m").select("bucket")
-    every = held.join(mixed, "bucket", "left_semi")
-    held = every.groupBy("b", "label", "n").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("m")).where(F.size("m") >= 4)
-    steps = F.array(*[F.array(*[F.lit(x) for x in c]) for c in CELLS])
-    # a sign of each band's bucket: pairs of a cell tell by it which bands they share
-    own = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.when(F.try_element_at(F.col("m"), i).isNotNull(), F.hash(F.try_element_at(F.col("m"), i))))
-    held = held.withColumn("s", own)
-    start = held.select("b", "label", "n", "m", "s", F.explode(F.map_keys("m")).alias("band"))
-    other = lambda k: F.try_element_at(F.col("m"), F.pmod(F.col("band") + F.get(F.col("c"), F.lit(k)), F.lit(bands)))
-    four = [F.try_element_at(F.col("m"), F.col("band")), *[other(k) for k in range(3)]]
-    dealt = start.select("b", "label", "n", "m", "s", "band", F.posexplode(steps).alias("turn", "c")).where(four[1].isNotNull() & four[2].isNotNull() & four[3].isNotNull())
-    split = dealt.select(F.xxhash64("band", "turn", *four).alias("cell"), (F.col("band") * len(CELLS) + F.col("turn")).alias("turn"), "b", "label", "n", "s")
-    split = materialised(split)
-    split = split.join(split.groupBy("cell").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l < _m").select("cell"), "cell", "left_semi")
-    x = split.select("cell", "turn", F.col("b").alias("a"), F.col("label").alias("_la"), F.col("n").alias("_na"), F.col("s").alias("_sa"))
-    y = split.select("cell", "b", F.col("label").alias("_lb"), F.col("n").alias("_nb"), F.col("s").alias("_sb"))
+    held = held.join(mixed, "bucket", "left_semi").select("b", "label").distinct()
+    own = materialised(sets.withColumnRenamed("_node", "b").join(held, "b").groupBy("b").agg(F.first("label").alias("label"), F.first("_n").alias("n"), F.first("_set").alias("_set")))
+    first = _prefixes(own, threshold)
+    first = first.join(first.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l < _m").select("token"), "token", "left_semi")
+    x = first.select("token", F.col("place").alias("_pa"), F.col("b").alias("a"), F.col("label").alias("_la"), F.col("n").alias("_na"))
+    y = first.select("token", F.col("place").alias("_pb"), "b", F.col("label").alias("_lb"), F.col("n").alias("_nb"))
     fits = F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb") - 1e-9
-    first = _first_cell(F.col("_sa"), F.col("_sb"), bands) == F.col("turn")
-    cross = x.join(y, "cell").where((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & fits & first).select("a", "b").distinct()
+    room = F.least(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb")) >= threshold / (1 + threshold) * (F.col("_na") + F.col("_nb")) - 1e-6
+    cross = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & fits & room).select("a", "b").distinct()
     links, labels = _joined(links, labels, materialised(cross.join(stars, ["a", "b"], "left_anti")), sets, threshold)
     return _classes(docs, signed, labels, links, key, text)
 

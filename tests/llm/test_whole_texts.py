@@ -128,6 +128,15 @@ def test_a_chain_and_a_large_group(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_a_pair_that_no_hub_meets(spark):
+    """Two texts at 0.813 among 60 at less than 0.8: in each of the buckets that
+    they share a text of the others is the hub."""
+    some = lambda n, tag: [f"{tag}40x{k}" for k in range(n)]
+    texts = [" ".join(some(204, "c") + some(23 if i < 2 else 28, f"t{i}y")) for i in range(62)]
+    got = {r.doc_id: (r.class_id, r.links) for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (0, 1), 1: (0, 1)} | {i: (i, 0) for i in range(2, 62)}
+
+
 def test_components_of_many_links(spark):
     """One bounded task and joined rounds give the same labels."""
     rng = np.random.default_rng(3)
