@@ -38,6 +38,8 @@ BLOCK_BYTES = 12 << 20
 PRIOR = 1000.0
 #: Words longer than this are scored one by one.
 LONG_WORD = 64
+#: Cells (end, length, word) of a table of pieces at a time.
+TABLE_CELLS = 1 << 20
 PARTS = 8
 FOLDS, HELD_OUT = 7, 2
 
@@ -109,54 +111,60 @@ class Lattice:
         one, two = self._places(keys)
         return np.where(self.slot_key[one] == keys, self.slot_id[one], np.where(self.slot_key[two] == keys, self.slot_id[two], -1))
 
-    def edges(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(from, to, piece of each word or -1) for words of one length, in
-        the order of the end."""
+    def into(self, words: np.ndarray, backwards: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """(positions before, piece or -1 by end, length - 1 and word) of words
+        of one length, for runs of ends of bounded size."""
         n, length = words.shape
         prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
             prefix[j + 1] = prefix[j] * _BASE + _BYTE_VALUE[words[:, j]]
         power = np.cumprod(np.full(length + 1, _BASE, np.uint64))
-        for j in range(1, length + 1):
-            for i in range(max(0, j - self.longest), j):
-                yield i, j, self.find(prefix[j] - prefix[i] * power[j - i - 1])
-
-    def log_marginal(self, words: np.ndarray, log_p: np.ndarray) -> np.ndarray:
-        """ln of the summed probability of all segmentations, in log space."""
+        step = max(1, TABLE_CELLS // (min(self.longest, length) * max(n, 1)))
+        runs = range(0, length, step)
+        for low in reversed(runs) if backwards else runs:
+            high = min(length, low + step)
+            piece = np.full((high - low, min(self.longest, high), n), -1, np.int32)
+            for d in range(1, piece.shape[1] + 1):
+                a = max(low + 1, d)
+                piece[a - low - 1 :, d - 1] = self.find(prefix[a : high + 1] - prefix[a - d : high + 1 - d] * power[d - 1])
+            yield low, piece
+
+    def forward(self, words: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """ln of the summed probability of all ways to each position, in log space."""
         n, length = words.shape
         alpha = np.full((length + 1, n), -np.inf)
         alpha[0] = 0
         padded = np.append(log_p, -np.inf)  # piece -1
-        into: list[np.ndarray] = []
-        for i, j, piece in self.edges(words):
-            into.append(alpha[i] + padded[piece])
-            if i == j - 1:
-                stack = np.stack(into)
+        for low, piece in self.into(words):
+            for j in range(low + 1, low + len(piece) + 1):
+                d = min(j, self.longest)
+                stack = alpha[j - d : j] + padded[piece[j - low - 1, d - 1 :: -1]]
                 top = stack.max(axis=0)
                 top = np.where(np.isfinite(top), top, 0.0)
                 with np.errstate(divide="ignore"):
                     alpha[j] = top + np.log(np.exp(stack - top).sum(axis=0))
-                into = []
-        return alpha[length]
+        return alpha
+
+    def log_marginal(self, words: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """ln of the summed probability of all segmentations."""
+        return self.forward(words, log_p)[-1]
 
     def expected(self, words: np.ndarray, weights: np.ndarray, log_p: np.ndarray, out: np.ndarray) -> None:
-        """Adds the expected count of each piece over all paths of the words."""
+        """Adds the expected count of each piece over all paths of the words, in log space."""
         n, length = words.shape
-        padded = np.append(np.exp(log_p), 0.0)
-        scale = 2.0**20  # each byte, so that long words do not underflow
-        alpha, beta = np.zeros((length + 1, n)), np.zeros((length + 1, n))
-        alpha[0] = beta[length] = 1
-        found = [(i, j, piece) for i, j, piece in self.edges(words) if (piece >= 0).any()]
-        for i, j, piece in found:
-            alpha[j] += alpha[i] * padded[piece] * scale ** (j - i)
-        for i, j, piece in sorted(found, key=lambda e: -e[0]):
-            beta[i] += beta[j] * padded[piece] * scale ** (j - i)
-        share = weights / alpha[length]
-        for i, j, piece in found:
-            some = np.flatnonzero(piece >= 0)
-            if len(some):
-                own = piece[some]
-                out += np.bincount(own, alpha[i][some] * padded[own] * scale ** (j - i) * beta[j][some] * share[some], len(out))
+        alpha, beta = self.forward(words, log_p), np.full((length + 1, n), -np.inf)
+        beta[length] = 0
+        padded = np.append(log_p, -np.inf)
+        whole = np.where(np.isfinite(alpha[length]), alpha[length], 0.0)
+        for low, piece in self.into(words, backwards=True):
+            count = np.zeros(piece.shape)
+            for j in range(low + len(piece), low, -1):
+                d = min(j, self.longest)
+                rest = padded[piece[j - low - 1, d - 1 :: -1]] + beta[j]
+                beta[j - d : j] = np.logaddexp(beta[j - d : j], rest)
+                count[j - low - 1, d - 1 :: -1] = np.exp(alpha[j - d : j] + rest - whole) * weights
+            some = piece >= 0
+            out += np.bincount(piece[some], count[some], len(out))
 
 
 @lru_cache(maxsize=2)

@@ -341,6 +341,18 @@ def test_lattice_sums_all_segmentations():
         assert out.sum() > 0 and sizes.size
 
 
+@pytest.mark.parametrize("word", ["-" * 57, "=" * 58, "a" * 61, "-" * 3000, "你好" * 500 + "-" * 900])
+def test_expected_counts_of_long_words(word):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = lattice_lm.lattice(lattice_lm.piece_vocabulary())
+    rows = np.frombuffer("▁".encode() + word.encode(), np.uint8)[None, :]
+    out = np.zeros(model.size + 1)
+    model.expected(rows, np.ones(1), np.log(np.maximum(model.first, 1e-300)), out)
+    sp = sentencepiece.SentencePieceProcessor(model_file=lattice_lm.piece_vocabulary())
+    size = np.array([1 if sp.is_byte(i) else len(sp.id_to_piece(i).encode()) for i in range(model.size)] + [0])
+    assert np.isfinite(out).all() and abs((out * size).sum() / rows.shape[1] - 1) < 1e-9
+
+
 def test_hash_of_kept_text_is_the_digest(spark):
     from herdplan.llm.queries import QUERIES
 
