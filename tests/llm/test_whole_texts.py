@@ -353,6 +353,15 @@ def test_expected_counts_of_long_words(word):
     assert np.isfinite(out).all() and abs((out * size).sum() / rows.shape[1] - 1) < 1e-9
 
 
+def test_long_words_teach_the_language_model(spark):
+    pytest.importorskip("sentencepiece")
+    path = lattice_lm.piece_vocabulary()
+    run = "今天天气很好我们去公园" * 20
+    docs = spark.createDataFrame([(0, run), (1, run[33:] + "公园"), (2, "-" * 57)], "doc_id long, text string")
+    taught, untaught = ({r.doc_id: r.score for r in lattice_lm.score_texts(docs, path, t).collect()} for t in (F.col("doc_id") != 1, F.col("doc_id") > 1))
+    assert all(map(math.isfinite, taught.values())) and taught[1] > untaught[1] + 1
+
+
 def test_hash_of_kept_text_is_the_digest(spark):
     from herdplan.llm.queries import QUERIES
 
