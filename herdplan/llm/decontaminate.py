@@ -10,7 +10,7 @@ their places. Words are runs of letters and digits, in lower case.
 Runs of documents meet the item table inside one task: it is broadcast below
 BROADCAST_SEEDS rows, by count, and the words of a document are at hand when a
 hit is verified. A larger benchmark is joined by a shuffle of hashes alone, and
-hits fetch the words afterwards.
+hits fetch the words afterwards, by numbers of rows and of distinct item texts.
 
 Defined results: null or empty texts hold nothing; items below the longest mask
 are too short to show anything and take no part; equal items are one, the least
@@ -70,7 +70,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     prepare(docs.sparkSession)
     longest = max(map(len, masks))
     items = benchmark.select(F.col(item).alias("_item"), word_hashes(F.col(text)).alias("_iw")).where(F.size("_iw") >= longest).groupBy("_iw").agg(F.min("_item").alias("_item"))
-    run = items.select("_item", "_iw", F.posexplode(seeds(F.col("_iw"), masks)).alias("_p", "_seed")).select("_item", "_iw", _place(F.col("_p"), F.col("_iw"), masks).alias("_q"), "_seed")
+    items = materialised(items.withColumn("_no", F.monotonically_increasing_id()))
+    run = items.select("_no", "_item", "_iw", F.posexplode(seeds(F.col("_iw"), masks)).alias("_p", "_seed")).select("_no", "_item", "_iw", _place(F.col("_p"), F.col("_iw"), masks).alias("_q"), "_seed")
     run = materialised(run)
     own = docs.select(F.col(key).alias("_key"), word_hashes(F.col(text)).alias("_w"))
     few = run.count() <= broadcast_seeds
@@ -81,9 +82,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         own = materialised(own.withColumn("_row", F.monotonically_increasing_id()))
         narrow = own.select("_row", F.posexplode(seeds(F.col("_w"), masks)).alias("_p", "_seed"), "_w")
         narrow = narrow.select("_row", "_seed", _place(F.col("_p"), F.col("_w"), masks).alias("_i"))
-        places = run.select("_item", "_q", "_seed")
-        hits = narrow.join(places, "_seed").select("_row", "_item", "_q", (F.col("_i") - F.col("_q")).alias("_start")).distinct()
-        hits = hits.join(own, "_row").join(items, "_item")
+        places = run.select("_no", "_q", "_seed")
+        hits = narrow.join(places, "_seed").select("_row", "_no", "_q", (F.col("_i") - F.col("_q")).alias("_start")).distinct()
+        hits = hits.join(own, "_row").join(items, "_no")
     size = F.size("_iw")
     width = F.least(size, F.lit(stretch))
     first = F.greatest(F.lit(0), F.least(F.col("_q") - (stretch - longest) // 2, size - width))

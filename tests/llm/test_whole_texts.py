@@ -176,6 +176,15 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark), bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_items_without_id_or_with_two_texts(spark):
+    docs = documents()
+    rows = [(None, docs[6][1]), (1, " ".join(words(docs[7][1])[10:40])), (1, " ".join(words(docs[8][1])[3:28]))]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    one, two = (sorted(decontaminate.contaminated(frame(spark), bench, broadcast_seeds=limit).collect(), key=str) for limit in (10**6, 0))
+    assert one == two and {(r.doc_id, r.item_id, r.equal_words) for r in two} >= {(7, 1, 30), (8, 1, 25)} and (6, None) in {(r.doc_id, r.item_id) for r in two}
+    assert decontaminate.without_contaminated(frame(spark), bench, broadcast_seeds=0).where("doc_id in (6, 7, 8)").count() == 0
+
+
 BASE = [
     ("assign", re.compile(secret_scan.ASSIGN.replace("(?i)", ""), re.IGNORECASE | re.ASCII), lambda m: len(m[2]) >= 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
