@@ -125,6 +125,14 @@ def gram_packed(x: Panel) -> DataFrame:
     return panel.gram_packed(own, markers, panel.vanraden_scale(markers)).select("i", "j", R(F.col("g")).alias("g"))
 
 
+@query()
+def gram_packed_whole(x: Panel) -> DataFrame:
+    """The same over the whole panel."""
+    own = x.dosages.select("candidate_id", "marker_id", F.coalesce("dosage", F.lit(0)).alias("dosage"))
+    markers = own.groupBy("marker_id").agg((F.avg("dosage") / 2).alias("p"))
+    return panel.gram_packed(own, markers, panel.vanraden_scale(markers)).select("i", "j", R(F.col("g")).alias("g"))
+
+
 @query(", best AS (SELECT candidate_id, b, row_number() OVER (ORDER BY b DESC, candidate_id) AS r FROM cand), top AS (SELECT max(candidate_id) AS t FROM cand) SELECT candidate_id, b FROM cand UNION ALL SELECT t + r, b FROM best, top WHERE r <= 5")
 def dup_candidates(x: Panel) -> DataFrame:
     return panel.add_clones(x.genotypes, x.candidates)[1].select("candidate_id", "b")
@@ -597,20 +605,32 @@ def spectrum_summary(x: Panel) -> DataFrame:
 def scan_plink(x: Panel) -> DataFrame:
     """The trio written from a part of the panel reads back as it was. The
     files are on the driver, as the data source is for files that readers see."""
+    return _read_back(x, x.dosages.where("candidate_id < 200 and marker_id < 24"))
+
+
+@query()
+def scan_plink_whole(x: Panel) -> DataFrame:
+    """The same over the whole panel."""
+    return _read_back(x, x.dosages)
+
+
+def _read_back(x: Panel, part: DataFrame) -> DataFrame:
     import tempfile
 
     import numpy as np
 
     from .sources import plink
 
-    part = x.dosages.where("candidate_id < 200 and marker_id < 24")
-    got = part.orderBy("candidate_id", "marker_id").select(F.coalesce("dosage", F.lit(-1)).alias("d")).toArrow().column("d").to_numpy()
+    got = part.select("candidate_id", "marker_id", F.coalesce("dosage", F.lit(-1)).alias("d")).toArrow()
+    i, j, d = (got.column(c).to_numpy() for c in ("candidate_id", "marker_id", "d"))
+    calls = np.full((int(i.max()) + 1, int(j.max()) + 1), -1, d.dtype)
+    calls[i, j] = d
     prefix = f"{tempfile.mkdtemp(prefix='herdplan-')}/panel"
-    plink.write(prefix, np.asarray(got).reshape(-1, 24))
+    plink.write(prefix, calls)
     plink.register(x.spark)
-    back = x.spark.read.format("plink").option("markersPerPartition", "7").load(prefix).withColumnRenamed("dosage", "read")
-    both = part.join(back, ["candidate_id", "marker_id"])
-    return both.agg(F.count("*").alias("cells"), F.count_if(~F.col("dosage").eqNullSafe(F.col("read"))).cast("int").alias("wrong"))
+    back = x.spark.read.format("plink").option("markersPerPartition", "7").load(prefix).select("candidate_id", "marker_id", F.col("dosage").alias("read"), F.lit(True).alias("there"))
+    both = part.join(back, ["candidate_id", "marker_id"], "left")
+    return both.agg(F.count("*").alias("cells"), F.count_if(F.col("there").isNull() | ~F.col("dosage").eqNullSafe(F.col("read"))).cast("int").alias("wrong"))
 
 
 @query("SELECT 2000 AS calls, TRUE AS in_range, TRUE AS repeatable", tables="one AS (SELECT 1)")

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from herdplan import queries
 from herdplan.errors import FormatError
 from herdplan.operators import panel
 from herdplan.sources import generators, plink, tables
@@ -110,3 +111,28 @@ def test_generators_do_not_depend_on_partitions(spark):
     assert a.exceptAll(generators.panel(spark, 40, 30, 4)).count() > 0
     p = {(r.marker_id, r.p) for r in a.select("marker_id", "p").distinct().collect()}
     assert len(p) == 30 and all(0.05 <= x[1] <= 0.5 for x in p)
+
+
+class Small:
+    """A panel of 230 candidates and 31 markers with missing calls."""
+
+    def __init__(self, spark):
+        self.spark, self.calls = spark, np.random.default_rng(8).integers(-1, 3, (230, 31))
+        rows = [(i, j, None if d < 0 else int(d)) for i, own in enumerate(self.calls) for j, d in enumerate(own)]
+        self.dosages = spark.createDataFrame(rows, "candidate_id long, marker_id int, dosage int")
+
+
+def test_whole_panel_products(spark, monkeypatch):
+    x = Small(spark)
+    monkeypatch.setattr(queries, "Panel", lambda *_: x)
+    got = queries.QUERIES["gram_packed_whole"](spark, "").toPandas()
+    d = np.maximum(x.calls, 0)
+    p = d.mean(axis=0) / 2
+    want = (d - 2 * p) @ (d - 2 * p).T / (2 * (p * (1 - p)).sum())
+    assert len(got) == 230 * 231 // 2 and np.abs(got.g.to_numpy() - want[got.i, got.j]).max() < 1e-6
+
+
+def test_whole_panel_reads_back(spark, monkeypatch):
+    x = Small(spark)
+    monkeypatch.setattr(queries, "Panel", lambda *_: x)
+    assert queries.QUERIES["scan_plink_whole"](spark, "").first().asDict() == {"cells": 230 * 31, "wrong": 0}
