@@ -571,15 +571,23 @@ def ridge_escalation(x: Panel) -> DataFrame:
 
 @query("SELECT TRUE AS holds", tables="one AS (SELECT 1)")
 def kernel_identity(x: Panel) -> DataFrame:
-    """With G = ridge I, R(c) / k = 1 / |c|^2 at a binding cap."""
+    """With G = ridge I, R(c) / k = 1 / |c|^2 at a binding cap, and on its support
+    the optimum of all candidates is the closed form of the relaxation without c >= 0."""
     import numpy as np
 
     from .plans.api import solve_arrays
 
-    b = x.candidates.orderBy("candidate_id").limit(40).select("b").toArrow().column("b").to_numpy()
-    got = solve_arrays(np.zeros((len(b), 1)), b, 0.1, s=1.0, ridge=1.0)
-    cc = float((got.c**2).sum())
-    return x.spark.createDataFrame([(abs(got.quad / cc / got.k * cc - got.quad / got.k) < 1e-9 and abs(got.quad - 0.1) < 1e-9,)], "holds boolean")
+    b = x.candidates.select("b").toArrow().column("b").to_numpy()
+    k, ridge = max(0.1, 2 / len(b)), 2.0
+    got = solve_arrays(np.zeros((len(b), 1)), b, k * ridge, s=1.0, ridge=ridge)
+    c = np.zeros(len(b))
+    c[got.ids] = got.c
+    own = c > 0
+    d = b[own] - b[own].mean()
+    step = np.sqrt((k - 1 / own.sum()) / (d @ d))
+    form, price = 1 / own.sum() + step * d, b[own].mean() - 1 / own.sum() / step
+    good = [abs(got.quad - ridge * (c @ c)) < 1e-9, abs(got.quad / (c @ c) / got.k - 1 / (c @ c)) < 1e-6, np.abs(c[own] - form).max() < 1e-6, bool((b[~own] <= price + 1e-6).all())]
+    return x.spark.createDataFrame([(bool(all(good)),)], "holds boolean")
 
 
 @query()
