@@ -124,10 +124,13 @@ def signatures(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: i
             least = prob_min_hash(doc, h, 1 + np.log(count), b.num_rows, bands * rows)
             ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
             keys = band_keys(least, bands)
-            short = [np.unique((h[x:y] >> np.uint64(32)).astype(np.uint32)) for x, y in zip(ends[:-1], ends[1:])]
-            sets = [pack_sorted(x) if len(x) else None for x in short]
+            sets, sizes = [], []
+            for x, y in zip(ends[:-1], ends[1:]):
+                short = np.unique((h[x:y] >> np.uint64(32)).astype(np.uint32))
+                sets.append(pack_sorted(short) if len(short) else None)
+                sizes.append(len(short))
             lists = pa.array([k.tolist() if s is not None else [] for k, s in zip(keys, sets)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_node"), lists, pa.array(sets, pa.binary()), pa.array([len(x) for x in short], pa.int32())], ["_id", "_node", "_keys", "_set", "_n"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_node"), lists, pa.array(sets, pa.binary()), pa.array(sizes, pa.int32())], ["_id", "_node", "_keys", "_set", "_n"])
 
     narrow = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_node"), F.col(text).cast("string").alias("_text")).where(F.col("_text").isNotNull())
     return materialised(narrow.mapInArrow(run, "_id long, _node long, _keys array<long>, _set binary, _n int"))
@@ -206,7 +209,7 @@ def _frequent(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     every = max(1, own.count() // ORDER_TEXTS)
 
     def run(batches):
-        for b in batches:
+        for b in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
             sets = [unpack_sorted(s.as_py(), np.uint32) for s in b.column("_set")]
             if sets:
                 token, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -226,7 +229,7 @@ def _prefixes(own: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         known, times = frequent.value
-        for b in batches:
+        for b in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
             tokens, lengths = [], []
             for s in b.column("_set"):
                 token = unpack_sorted(s.as_py(), np.uint32)
