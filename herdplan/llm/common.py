@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +39,15 @@ def prepare(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that the cluster shares.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (as in local tests) a temporary folder is taken and set.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset,
+    a local session (as in tests) takes and sets a temporary folder, and one on
+    a cluster is an error, as its executors would not see that folder.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="herdplan-")
         sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/herdplan-{uuid.uuid4().hex}"
@@ -51,10 +58,9 @@ def scratch_dir(spark: SparkSession) -> str:
 def drop_scratch(spark: SparkSession) -> int:
     """Deletes what this process wrote to the shared folder; call it when no
     result that reads from there is needed any more. How many paths went."""
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    n = 0
     while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+        n += _delete(spark, _SCRATCH.pop())
     return n
 
 
@@ -63,7 +69,41 @@ def materialised(df: DataFrame, files: int | None = None) -> DataFrame:
     that survives lost executors and fixes what is not deterministic."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     (df.coalesce(files) if files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that ``materialised`` wrote and nothing reads any more;
+    other frames are left alone."""
+    for df in frames:
+        path = vars(df).get("_scratch_path")
+        if path in _SCRATCH:
+            _SCRATCH.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+
+
+def frugal(run: Callable) -> Callable:
+    """A function of batches whose worker, at its end, gives freed memory back
+    to the system: workers live on and serve other stages."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return out
 
 
 def fold(doc_id: Column, folds: int) -> Column:

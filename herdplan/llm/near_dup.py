@@ -1,6 +1,8 @@
 """Near-duplicates by ProbMinHash, banding and exact verification.
 
-A text's word shingles are weighted by 1 + ln(count). ProbMinHash draws, for each
+A text's word shingles are weighted by 1 + log2(count) / 32: a repeated shingle
+counts more, but never so much that texts whose sets are alike stop agreeing.
+ProbMinHash draws, for each
 shingle, a Poisson process whose rate is the weight; every arrival goes to a
 random register, which keeps the earliest, and a shingle stops as soon as its
 next arrival is later than the latest register. The chance that two texts agree
@@ -10,7 +12,8 @@ by the exact Jaccard similarity of their shingle sets (32-bit hashes), and
 texts linked at ``threshold`` or more, directly or through others, are a class.
 
 No task holds a bucket:
-1. Equal texts are one node (64-bit hash) from the start, combined map-side.
+1. Equal texts are one node from the start, combined map-side. A node is a
+   64-bit hash; a second hash tells different texts of one hash apart.
 2. Each bucket has a hub, the node that meets most others in all its buckets
    (of copies of a text that is there, the text itself); every other node is
    verified against the hubs of its buckets, and links give components.
@@ -41,13 +44,15 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .blocks import pack_sorted, unpack_sorted
-from .common import materialised, prepare, table
+from .common import discard, frugal, materialised, prepare, table
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 32, 4
 BROADCAST_ROWS = 1_000_000
 #: Links whose components one task finds.
 LOCAL_EDGES = 500_000
+#: Bytes of text whose shingles are in memory at once, beyond a single longer text.
+GROUP_BYTES = 1 << 20
 #: Texts, about, whose shingles are counted to order all shingles by rarity, and
 #: how many frequent ones are told apart. The order bears on time, not on results.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1_000_000
@@ -114,26 +119,45 @@ def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    """Weight of a shingle that a text holds ``count`` times."""
+    return 1 + np.log2(count) / 32
+
+
 def signatures(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
-    """Written rows (id, node, keys, shingles, how many): no keys where there are no words."""
+    """Written rows (id, two hashes of the text, keys, shingles, how many): no
+    keys where there are no words."""
 
     def run(batches):
-        for b in batches:
-            data, offsets = A.utf8(b.column("_text"))
-            doc, h, count = shingles(data, offsets, k)
-            least = prob_min_hash(doc, h, 1 + np.log(count), b.num_rows, bands * rows)
-            ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            keys = band_keys(least, bands)
-            sets, sizes = [], []
-            for x, y in zip(ends[:-1], ends[1:]):
-                short = np.unique((h[x:y] >> np.uint64(32)).astype(np.uint32))
-                sets.append(pack_sorted(short) if len(short) else None)
-                sizes.append(len(short))
-            lists = pa.array([k.tolist() if s is not None else [] for k, s in zip(keys, sets)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_node"), lists, pa.array(sets, pa.binary()), pa.array(sizes, pa.int32())], ["_id", "_node", "_keys", "_set", "_n"])
-
-    narrow = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_node"), F.col(text).cast("string").alias("_text")).where(F.col("_text").isNotNull())
-    return materialised(narrow.mapInArrow(run, "_id long, _node long, _keys array<long>, _set binary, _n int"))
+        for batch in batches:
+            _, offsets = A.utf8(batch.column("_text"))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + GROUP_BYTES, "right")) - 1)
+                b, low = batch.slice(low, high - low), high
+                doc, h, count = shingles(*A.utf8(b.column("_text")), k)
+                keys = band_keys(prob_min_hash(doc, h, weights(count), b.num_rows, bands * rows), bands)
+                ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
+                sets, sizes = [], []
+                for x, y in zip(ends[:-1], ends[1:]):
+                    short = np.unique((h[x:y] >> np.uint64(32)).astype(np.uint32))
+                    sets.append(pack_sorted(short) if len(short) else None)
+                    sizes.append(len(short))
+                lists = pa.array([k if s is not None else k[:0] for k, s in zip(keys, sets)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "_hash", "_check")), lists, pa.array(sets, pa.binary()), pa.array(sizes, pa.int32())], ["_id", "_hash", "_check", "_keys", "_set", "_n"])
+
+    narrow = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), F.xxhash64(F.lit(1), text).alias("_check"), F.col(text).cast("string").alias("_text")).where(F.col("_text").isNotNull())
+    return materialised(narrow.mapInArrow(frugal(run), "_id long, _hash long, _check long, _keys array<long>, _set binary, _n int"))
+
+
+def told_apart(signed: DataFrame) -> DataFrame:
+    """With ``_node``: the first hash, or where different texts share it, as the
+    second hash tells, a hash of both for all but one of them."""
+    shared = signed.groupBy("_hash").agg(F.min("_check").alias("_first"), F.max("_check").alias("_last")).where("_first < _last").select("_hash", "_first")
+    if not shared.limit(1).count():
+        return signed.withColumn("_node", F.col("_hash"))
+    other = F.col("_check") != F.col("_first")
+    return signed.join(shared, "_hash", "left").withColumn("_node", F.when(other, F.xxhash64("_hash", "_check")).otherwise(F.col("_hash"))).drop("_first")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -158,7 +182,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 keep.append(shared >= threshold * (least + most - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialised(both.mapInArrow(run, "a long, b long"))
+    out = materialised(both.mapInArrow(frugal(run), "a long, b long"))
+    discard(own)
+    return out
 
 
 def _union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +269,7 @@ def _prefixes(own: DataFrame, threshold: float) -> DataFrame:
                 place = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int32)), pa.array(place), *[b.column(c).take(row) for c in ("b", "label", "n")]], ["token", "place", "b", "label", "n"])
 
-    return materialised(own.mapInArrow(run, "token int, place int, b long, label long, n int"))
+    return materialised(own.mapInArrow(frugal(run), "token int, place int, b long, label long, n int"))
 
 
 def _joined(links: DataFrame, labels: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -253,15 +279,23 @@ def _joined(links: DataFrame, labels: DataFrame, pairs: DataFrame, sets: DataFra
     new = _similar(pairs, sets, threshold)
     if not new.limit(1).count():
         return links, labels
-    links = links.union(new)
-    return links, components(links)
+    every = materialised(links.union(new))
+    discard(links, new, labels)
+    return every, components(every)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """Rows (key, class_id, links, text_hash): one for each row of ``docs``;
-    ``links`` counts the links of its text to different texts that were verified."""
+    """Rows (key, class_id, links, text_hash, label): one for each row of
+    ``docs``; ``links`` counts the links of its text to different texts that were
+    verified, ``label`` is the same in one class only (null for a null text)."""
+    return _near(docs, key, text, words, threshold, bands, band_rows)[0]
+
+
+def _near(docs: DataFrame, key: str, text: str, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS) -> tuple[DataFrame, list[DataFrame]]:
+    """near_duplicates() and the scratch tables that it reads."""
     prepare(docs.sparkSession)
-    signed = signatures(docs, key, text, words, bands, band_rows)
+    written = signatures(docs, key, text, words, bands, band_rows)
+    signed = told_apart(written)
     sets = signed.where(F.col("_set").isNotNull()).select("_node", "_n", "_set")
     banded = signed.select("_node", "_n", F.posexplode("_keys").alias("band", "bucket"))
     several = banded.groupBy("bucket").agg(F.min("_node").alias("_l"), F.max("_node").alias("_m")).where("_l < _m").select("bucket")
@@ -279,15 +313,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     mixed = held.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l < _m").select("bucket")
     held = held.join(mixed, "bucket", "left_semi").select("b", "label").distinct()
     own = materialised(sets.withColumnRenamed("_node", "b").join(held, "b").groupBy("b").agg(F.first("label").alias("label"), F.first("_n").alias("n"), F.first("_set").alias("_set")))
-    first = _prefixes(own, threshold)
+    prefixes = first = _prefixes(own, threshold)
     first = first.join(first.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l < _m").select("token"), "token", "left_semi")
     x = first.select("token", F.col("place").alias("_pa"), F.col("b").alias("a"), F.col("label").alias("_la"), F.col("n").alias("_na"))
     y = first.select("token", F.col("place").alias("_pb"), "b", F.col("label").alias("_lb"), F.col("n").alias("_nb"))
     fits = F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb") - 1e-9
     room = F.least(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb")) >= threshold / (1 + threshold) * (F.col("_na") + F.col("_nb")) - 1e-6
     cross = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & fits & room).select("a", "b").distinct()
-    links, labels = _joined(links, labels, materialised(cross.join(stars, ["a", "b"], "left_anti")), sets, threshold)
-    return _classes(docs, signed, labels, links, key, text)
+    pairs = materialised(cross.join(stars, ["a", "b"], "left_anti"))
+    discard(members, stars, own, prefixes)
+    links, labels = _joined(links, labels, pairs, sets, threshold)
+    discard(pairs)
+    return _classes(docs, signed, labels, links, key, text), [written, links, labels]
 
 
 def _classes(docs: DataFrame, signed: DataFrame, labels: DataFrame, links: DataFrame, key: str, text: str) -> DataFrame:
@@ -295,24 +332,28 @@ def _classes(docs: DataFrame, signed: DataFrame, labels: DataFrame, links: DataF
     named = nodes.join(labels, "node", "left").select("node", "_first", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("_first").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    of_node = named.join(least, "label").join(degree, "node", "left").select(F.col("node").alias("_node"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-    out = signed.select("_id", "_node").join(of_node, "_node").select(F.col("_id").alias(key), "class_id", "links", F.col("_node").alias("text_hash"))
-    alone = docs.where(F.col(text).isNull()).select(F.col(key).cast("long").alias(key), F.col(key).cast("long").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("text_hash"))
+    of_node = named.join(least, "label").join(degree, "node", "left").select(F.col("node").alias("_node"), "class_id", F.coalesce("links", F.lit(0)).alias("links"), "label")
+    out = signed.select("_id", "_node", "_hash").join(of_node, "_node").select(F.col("_id").alias(key), "class_id", "links", F.col("_hash").alias("text_hash"), "label")
+    none, own = F.lit(None).cast("long"), F.col(key).cast("long")
+    alone = docs.where(F.col(text).isNull()).select(own.alias(key), own.alias("class_id"), F.lit(0).cast("long").alias("links"), none.alias("text_hash"), none.alias("label"))
     return out.unionByName(alone)
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class: that of the least key."""
-    classes = near_duplicates(docs, key, text, **options)
-    kept = materialised(classes.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy(F.col(key).alias("__copy_kept"), F.col("text_hash").alias("__copy_hash")).count())
-    own = docs.withColumn("__copy_h", F.when(F.col(text).isNotNull(), F.xxhash64(text)))
-    out = own.join(kept.drop("count"), own[key].cast("long").eqNullSafe(kept["__copy_kept"]) & own["__copy_h"].eqNullSafe(kept["__copy_hash"]), "left_semi")
-    if kept.where((F.col("count") > 1) & F.col("__copy_hash").isNotNull()).limit(1).count():  # repeated rows
-        whole, none = out.where(F.col("__copy_h").isNotNull()), out.where(F.col("__copy_h").isNull())
-        out = whole.dropDuplicates([key, "__copy_h"]).unionByName(none)
-    return out.select(*docs.columns)
+    """``docs`` with one row of each class: that of the least key (null ones
+    last), of rows that are alike in key and text any one."""
+    classes, tables = _near(docs, key, text, **options)
+    rows = classes.where(F.col("label").isNotNull()).groupBy("label", F.col(key).alias("k"), F.col("text_hash").alias("h")).count()
+    one = rows.groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h", "count")).alias("r"))
+    kept = materialised(one.select(F.col("r.k").alias("__copy_kept"), F.col("r.h").alias("__copy_hash"), F.col("r.count").alias("__copy_count")))
+    discard(*tables)
+    own = docs.where(F.col(text).isNotNull()).withColumn("__copy_h", F.xxhash64(text))
+    out = own.join(kept, own[key].cast("long").eqNullSafe(kept["__copy_kept"]) & (own["__copy_h"] == kept["__copy_hash"]), "left_semi")
+    if kept.where("__copy_count > 1").limit(1).count():  # repeated rows
+        out = out.dropDuplicates([key, "__copy_h"])
+    return out.select(*docs.columns).unionByName(docs.where(F.col(text).isNull()))
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all of ``documents``: doc_id, class_id, links."""
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "label")

@@ -376,3 +376,55 @@ def test_hash_of_kept_text_is_the_digest(spark):
 
     row = QUERIES["op9_substring_dedup"](spark, "/root/testdata/sf0.001").orderBy("doc_id").first()
     assert len(row.kept_sha256) == len(hashlib.sha256(b"").hexdigest())
+
+
+def test_one_row_of_a_class_where_ids_repeat(spark):
+    """Texts of one id: of one class one stays, of two classes both."""
+    import random
+
+    from .samples import edited, passage
+
+    rng = random.Random(3)
+    one, two = passage(rng, 150), passage(rng, 150)
+    near = edited(one, rng, 1)
+    df = spark.createDataFrame([(1, one), (1, near), (1, two), (1, two), (2, one), (None, near), (None, None), (3, None)], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in near_dup.without_copies(df).collect()), key=str)
+    assert sorted(kept, key=str) in (sorted([(1, x), (1, two), (None, None), (3, None)], key=str) for x in (one, near))
+
+
+def test_different_texts_of_one_hash_are_told_apart(spark):
+    rows = [(1, 10, 5), (2, 10, 5), (3, 10, 6), (4, 11, 5), (5, 12, 7)]
+    out = near_dup.told_apart(spark.createDataFrame(rows, "_id long, _hash long, _check long"))
+    node = {r._id: r._node for r in out.collect()}
+    assert out.count() == 5 and node[1] == node[2] == 10 and node[4] == 11 and node[5] == 12 and len(set(node.values())) == 4
+
+
+def test_repeated_shingles_hide_no_link(spark):
+    """Sets at 0.8 to 0.95 of which one text holds some shingles many times."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for pair in range(200):
+        same, own = (40, 2) if pair % 2 else (40, 5)
+        tags = [f"p{pair}s{k}" for k in range(same)]
+        loops = " ".join(" ".join(f"l{pair}x{k}" for k in range(5)) for _ in range(int(rng.integers(2, 60))))
+        texts += [" ".join([*tags, *(f"p{pair}a{k}" for k in range(own))]), " ".join([*tags, loops])]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(words, texts)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in range(0, len(texts), 2):
+        a, b = sets[i], sets[i + 1]
+        assert (got[i + 1] == got[i]) == (len(a & b) >= 0.8 * len(a | b))
+    # how often registers agree for such pairs, and so how rarely no band does
+    count = np.ones(50)
+    count[:10] = 1000
+    x, y = near_dup.weights(count), np.ones(50)
+    agree = sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in range(50)) * 0.8
+    assert (1 - agree**4) ** 32 < 1e-5
+
+
+def test_many_texts_in_a_group_of_bytes(spark, monkeypatch):
+    """Signatures do not depend on how texts are grouped."""
+    docs = frame(spark)
+    one = {(r._id, r._hash): (r._keys, r._n) for r in near_dup.signatures(docs, "doc_id", "text", 5, 32, 4).collect()}
+    monkeypatch.setattr(near_dup, "GROUP_BYTES", 700)
+    two = {(r._id, r._hash): (r._keys, r._n) for r in near_dup.signatures(docs, "doc_id", "text", 5, 32, 4).collect()}
+    assert one == two
