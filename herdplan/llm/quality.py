@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays as A
-from .common import prepare, table
+from .common import frugal, prepare, table
 from .labelled import held_out, training_sample
 
 BITS, DIM, EPOCHS, RATE = 17, 8, 6, 12.0
@@ -150,7 +150,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", te
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(b.column(text), *model.value))], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

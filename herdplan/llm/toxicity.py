@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays as A
-from .common import prepare, table
+from .common import frugal, prepare, table
 from .labelled import held_out, training_sample
 
 THRESHOLD = 0.5
@@ -55,6 +55,7 @@ _ODD[[*range(48, 58), *b"@$*.-_"]] = True
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
+_DOC = A.stream(66, 1)[0]
 N_FEATURES = 17
 
 
@@ -151,14 +152,18 @@ def _features(data: np.ndarray, offsets: np.ndarray, lexicons: Lexicons) -> np.n
         odd[:-1] &= _LETTER[data[1:]]  # inside a word: a letter follows
         odd[-1] = False
         has_odd, has_letter = np.add.reduceat(odd, cs) > 0, np.add.reduceat(_LETTER[data], cs) > 1
-        mixed = has_odd & has_letter & (ce - cs <= 40)
+        mixed = has_odd & has_letter
     hidden = np.zeros(len(cs), bool)
-    for i in np.flatnonzero(mixed):
-        raw = data[cs[i] : ce[i]]
-        plain = _UNDONE[raw]
-        kept = plain[_UNDONE_KEPT[raw]]
-        own = A.mix(np.sum(_TABLE[kept] * _POWERS[: len(kept)], dtype=np.uint64, keepdims=True) + A._GOLD)
-        hidden[i] = bool(lexicons.has(own, _INSULTS)[0] or lexicons.has(own, lexicons.words)[0]) and len(kept) > 2
+    some = np.flatnonzero(mixed)
+    if len(some):  # the letters of all such chunks, one chunk after the other
+        width = ce[some] - cs[some]
+        raw = data[np.repeat(cs[some] - np.cumsum(width) + width, width) + np.arange(width.sum())]
+        keep = _UNDONE_KEPT[raw]
+        first = np.concatenate([[0], np.cumsum(keep)])[np.cumsum(width) - width]
+        plain = _UNDONE[raw[keep]]
+        own = A.hash_words(plain, first, _TABLE, 62)
+        long = np.diff(np.append(first, len(plain))) > 2
+        hidden[some] = long & (lexicons.has(own, _INSULTS) | lexicons.has(own, lexicons.words))
     if hidden.any():  # a chunk whose plain word is in a lexicon already is not hidden
         plain_hit = np.zeros(len(cs) + 1, np.int64)
         np.add.at(plain_hit, np.searchsorted(cs, starts[hit], "right") - 1, 1)
@@ -174,9 +179,6 @@ def _features(data: np.ndarray, offsets: np.ndarray, lexicons: Lexicons) -> np.n
     return out
 
 
-_POWERS = A.powers(64, 62)
-
-
 def near_share(near: np.ndarray, hits: np.ndarray) -> np.ndarray:
     return near / (hits + 1)
 
@@ -188,14 +190,15 @@ def mine(texts: pa.ChunkedArray, labels: np.ndarray) -> Lexicons:
     by either of two hashes, so copies of one text do not make its words.
     """
     data, offsets = A.utf8(texts)
-    entries = {0: ([], []), **{k: ([], []) for k in PREFIXES}}
+    entries = {k: ([], []) for k in (0, *PREFIXES)}
     least = np.zeros((2, len(labels)), np.uint64)
     for first, past, part, off in A.slices(data, offsets):
         low, starts, ends, owner, h = _tokens(part, off)
         for kind, rows, x in ((0, np.arange(len(h)), h), *_prefixes(low, starts, ends)):
-            key = np.unique(np.stack([owner[rows].astype(np.uint64) + np.uint64(first), x]), axis=1) if len(x) else np.empty((2, 0), np.uint64)
-            entries[kind][0].append(key[0].astype(np.int64))
-            entries[kind][1].append(key[1])
+            # one of each entry of a document: by a hash of both
+            _, once = np.unique(A.mix(x + A.mix(owner[rows].astype(np.uint64) + _DOC)), return_index=True)
+            entries[kind][0].append((owner[rows[once]] + first).astype(np.int32))
+            entries[kind][1].append(x[once])
         if len(h) >= 5:
             for j in range(2):
                 w = A.window_hash(h, 5, 64 + j)
@@ -207,12 +210,13 @@ def mine(texts: pa.ChunkedArray, labels: np.ndarray) -> Lexicons:
         _, place, counts = np.unique(row, return_inverse=True, return_counts=True)
         weight = np.minimum(weight, 1 / counts[place])
     found = {}
-    for kind, (docs, keys) in entries.items():
-        docs, keys = np.concatenate(docs or [np.empty(0, np.int64)]), np.concatenate(keys or [np.empty(0, np.uint64)])
-        own, place = np.unique(keys, return_inverse=True)
-        toxic = np.bincount(place, weights=(weight * labels)[docs], minlength=len(own))
-        every = np.bincount(place, weights=weight[docs], minlength=len(own))
-        found[kind] = own[(toxic >= (PREFIX_SUPPORT if kind else SUPPORT)) & (toxic >= PRECISION * every)]
+    for kind in (0, *PREFIXES):  # each kind's entries go when it is done
+        docs, keys = (np.concatenate(x or [np.empty(0, np.int32)]) for x in entries.pop(kind))
+        order = np.argsort(keys, kind="stable")
+        docs, keys = docs[order], keys[order].astype(np.uint64)
+        begin = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+        toxic, every = (np.add.reduceat(x[docs], begin) if len(begin) else np.empty(0) for x in (weight * labels, weight))
+        found[kind] = keys[begin[(toxic >= (PREFIX_SUPPORT if kind else SUPPORT)) & (toxic >= PRECISION * every)]]
     return Lexicons(found.pop(0), found)
 
 
@@ -319,7 +323,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", tex
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(b.column(text), trained.value))], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
