@@ -1,18 +1,22 @@
 """Best-fit packing of token pieces into sequences, bulk-synchronous.
 
 Documents are tokenised once and cut into pieces of at most ``size`` tokens.
-Whole pieces fill a sequence; the rest, with lengths below ``size``, are
-packed by best fit in bulk steps. Lengths and gaps are whole numbers below
-``size``, so a range-sorted list of all documents, or of all gaps, is fixed by
-its histogram and the ranks inside each length: one bulk step takes the
-documents of the greatest length left, sweeps the gaps from the smallest that
-holds them upwards (the successor), gives rank r of the documents the r-th gap,
-and turns used gaps into smaller ones; the step repeats until nothing fits, then
-new sequences open. Steps run on runs of ranks, so their cost and the table
-they give are bounded by ``size``, whatever the number of documents; Spark
-counts the lengths, ranks the documents (counts by partition, a prefix sum over
-partitions, and a place in the partition: a length that a third of all rows
-share is no hot key), and applies the table to every piece.
+Whole pieces fill a sequence; the others are matched with the gaps of sequences
+in rounds. A round range-sorts the lengths of the highest class left (those
+above half of the greatest) and the gaps, and sweeps both upwards: every gap
+takes the longest piece that fits and that no smaller gap took, its predecessor,
+which is to say that every piece gets the smallest gap that is left for it, its
+successor. Where several pieces of a length and several gaps of a size meet, the
+r-th by rank gets the r-th. Gaps are updated and the next round follows; when no
+gap holds a piece of the class, new sequences open.
+
+Lengths and gaps are whole numbers up to ``size``, so the sorted lists are
+histograms with ranks inside each length: Spark counts the lengths by partition
+and merges the counts, one task sweeps over at most ``size`` runs of ranks,
+however many documents there are, and the table of matches is applied to every
+piece. A piece's rank is the count of its length in the partitions before its
+own (a prefix sum over partitions) and its place in its partition, so a length
+that a third of all rows share is no hot key.
 
 Defined results: a null text is empty and has the end token alone; ties and
 repeated rows are packed as separate pieces in any order; an empty table gives
@@ -23,7 +27,6 @@ are replaced.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -31,55 +34,66 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialised, prepare, table
+from .common import frugal, materialised, prepare, table
 
 SIZE, END = 4096, 1
 #: Words whose tokens a worker keeps.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 
 
-def best_fit(counts: dict[int, int], size: int) -> np.ndarray:
+def successor_sweeps(counts: dict[int, int], size: int) -> np.ndarray:
     """Rows (length, first rank, ranks, first sequence, offset) that place all
-    ``counts[length]`` pieces of each length below or at ``size``."""
-    out, gaps, sizes, opened = [], {}, [], 0  # gaps: size left -> runs (first sequence, how many)
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(sizes, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted((x for x in counts if counts[x]), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(sizes, length)
-            if at == len(sizes):  # nothing fits: open as many as the rest needs
-                new = -(-left // (size // length))
-                put(size, opened, new)
-                opened += new
-                continue
-            moved = []
-            while left and at < len(sizes):
-                gap = sizes[at]
-                runs = gaps[gap]
-                while left and runs:
-                    first, n = runs.pop()
-                    take = min(n, left)
-                    if take < n:
-                        runs.append((first + take, n - take))
-                    out.append((length, rank, take, first, size - gap))
-                    moved.append((gap - length, first, take))
-                    rank, left = rank + take, left - take
-                if runs:
-                    break
+    ``counts[length]`` pieces of each length up to ``size``."""
+    left = {n: (0, many) for n, many in counts.items() if many}  # first rank and number of ranks to place
+    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, how many)
+    out, opened = [], 0
+    while left:
+        top = max(left)
+        lengths = sorted(n for n in left if 2 * n >= top)
+        if not gaps or max(gaps) < lengths[0]:
+            new = max(1, sum(n * left[n][1] for n in lengths) // size)
+            gaps.setdefault(size, []).append((opened, new))
+            opened += new
+        waiting, at, smaller = [], 0, []  # lengths that fit the gap, the longest last
+        for gap in sorted(g for g in gaps if g >= lengths[0]):
+            while at < len(lengths) and lengths[at] <= gap:
+                waiting.append(lengths[at])
+                at += 1
+            runs = gaps[gap]
+            while runs and waiting:
+                n = waiting[-1]
+                (first, many), (rank, rest) = runs.pop(), left[n]
+                take = min(many, rest)
+                out.append((n, rank, take, first, size - gap))
+                smaller.append((gap - n, first, take))
+                left[n] = (rank + take, rest - take)
+                if take < many:
+                    runs.append((first + take, many - take))
+                if take == rest:
+                    del left[n]
+                    waiting.pop()
+            if not runs:
                 del gaps[gap]
-                del sizes[at]
-            for m in moved:  # the gaps of this step count from the next on
-                put(*m)
+        for gap, first, many in smaller:  # gaps of this round count from the next on
+            if gap:
+                gaps.setdefault(gap, []).append((first, many))
     return np.array(out, np.int64).reshape(-1, 5)
 
 
+def matches(lengths: DataFrame, size: int) -> np.ndarray:
+    """successor_sweeps() of rows (length, n), in one task: at most ``size`` rows."""
+    names = ["length", "rank", "n", "sequence", "offset"]
+
+    def run(batches):
+        counts: dict[int, int] = {}
+        for b in batches:
+            counts.update(zip(b.column("length").to_pylist(), b.column("n").to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in successor_sweeps(counts, size).T], names)
+
+    got = lengths.coalesce(1).mapInArrow(run, ", ".join(f"{c} long" for c in names)).toArrow()
+    return np.stack([got.column(c).to_numpy() for c in names], axis=1)
+
+
 #: The signs that stand for bytes in the vocabulary: printable ones themselves,
 #: the others, in order, from 256 on.
 _BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
@@ -111,10 +125,10 @@ class _Encoded(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > CACHED_WORDS:
             self.clear()
-        out, body, last = self.letters(word), word[:-1], word[-1:]
-        if out is None and last in b".,":  # after a letter the sign is a token by itself
-            start = self.get(body) if body in self else self.letters(body)
-            out = None if start is None or not body.decode().isalpha() else start + self[last]
+        out, last = self.letters(word), word[-1:]
+        if out is None and last in b".,":  # after a Latin-1 letter the sign is a token by itself
+            start = self.letters(word[:-1])
+            out = None if start is None else start + self[last]
         self[word] = out = self.text(word) if out is None else out
         return out
 
@@ -156,7 +170,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (batch.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], [key, "piece", "start", "length", "ids_crc32", "_part", "_place"])
 
     schema = T.StructType([T.StructField(key, id_type), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")], T.StructField("_part", T.IntegerType()), T.StructField("_place", T.LongType())])
-    return materialised(docs.select(key, text).mapInArrow(run, schema))
+    return materialised(docs.select(key, text).mapInArrow(frugal(run), schema))
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
@@ -165,8 +179,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     cut = pieces(docs, tokenizer, key, text, size, end)
     by_part = cut.groupBy("_part", "length").count()
     before = by_part.select("_part", "length", (F.sum("count").over(Window.partitionBy("length").orderBy("_part")) - F.col("count")).alias("_before"))
-    counts = dict(by_part.groupBy("length").agg(F.sum("count")).collect())  # at most ``size`` rows
-    plan = spark.sparkContext.broadcast(best_fit(counts, size))
+    # a match ends a run of pieces or of gaps, of which there are at most ``size`` sizes
+    plan = spark.sparkContext.broadcast(matches(by_part.groupBy("length").agg(F.sum("count").alias("n")), size))
 
     def place(batches):
         moves = plan.value

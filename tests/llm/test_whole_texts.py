@@ -240,9 +240,10 @@ def test_packing_round_trip(spark):
     assert packing.pack(empty(spark), path).count() == 0
 
 
-def test_best_fit_is_best_fit_decreasing():
+@pytest.mark.parametrize("case", ["mixed", "long", "short", "one", "none"])
+def test_sweeps_pack_as_well_as_best_fit_decreasing(case):
     rng = np.random.default_rng(2)
-    lengths = np.concatenate([rng.integers(1, 101, 300), np.full(100, 37)])
+    lengths = {"mixed": np.concatenate([rng.integers(1, 101, 300), np.full(100, 37)]), "long": rng.integers(40, 101, 500), "short": rng.integers(1, 9, 900), "one": np.array([100]), "none": np.empty(0, int)}[case]
     gaps = []
     for n in sorted(lengths.tolist(), reverse=True):  # one by one
         fit = [g for g in gaps if g >= n]
@@ -251,12 +252,14 @@ def test_best_fit_is_best_fit_decreasing():
             gaps.append(min(fit) - n)
         else:
             gaps.append(100 - n)
-    plan = packing.best_fit(Counter(lengths.tolist()), 100)
+    plan = packing.successor_sweeps(Counter(lengths.tolist()), 100)
     assert plan[:, 2].sum() == len(lengths)
-    bins = defaultdict(list)
-    for n, _, many, first, offset in plan.tolist():
+    bins, ranks = defaultdict(list), defaultdict(list)
+    for n, rank, many, first, offset in plan.tolist():
+        ranks[n] += range(rank, rank + many)
         for b in range(first, first + many):
             bins[b].append((offset, n))
+    assert all(sorted(r) == list(range(len(r))) for r in ranks.values()) and {n: len(r) for n, r in ranks.items()} == Counter(lengths.tolist())
     assert len(bins) <= len(gaps) + 1
     for own in bins.values():
         at = 0
@@ -266,6 +269,15 @@ def test_best_fit_is_best_fit_decreasing():
         assert at <= 100
 
 
+def test_a_sweep_gives_each_piece_the_smallest_gap_left():
+    """Pieces of 60, 70 and 70 leave gaps of 40, 30 and 30; of the class of 40
+    to 20, 40 takes the gap of 40, and the two gaps of 30 go to 30 and 25 by rank."""
+    plan = packing.successor_sweeps({70: 2, 60: 1, 40: 1, 30: 1, 25: 1}, 100)
+    place = {(n, r + k): (s + k, o) for n, r, many, s, o in plan.tolist() for k in range(many)}
+    at = {n: place[n, 0][0] for n in (60, 40, 30, 25)}
+    assert at[40] == at[60] and {at[30], at[25]} == {place[70, 0][0], place[70, 1][0]} and len({s for s, _ in place.values()}) == 3
+
+
 def test_encode_equals_the_tokenizer():
     tokenizers = pytest.importorskip("tokenizers")
     path = packing.word_tokenizer()
@@ -275,6 +287,21 @@ def test_encode_equals_the_tokenizer():
         assert packing.encode(x, path).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_encode_does_not_depend_on_what_it_saw_before():
+    """Every letter alone, before signs and beside others, on a warm encoder."""
+    import unicodedata
+
+    tokenizers = pytest.importorskip("tokenizers")
+    path = packing.word_tokenizer()
+    t = tokenizers.Tokenizer.from_file(path)
+    for c in [*range(0x20, 0x3100), *range(0x3100, 0xD800, 101), *range(0xF900, 0x1F000, 3)]:
+        if unicodedata.category(chr(c))[0] not in "LMNP":
+            continue
+        x = f"{chr(c)} {chr(c)}. {chr(c)}, a{chr(c)} a{chr(c)}. {chr(c)}a, {chr(c)}{chr(c)}."
+        want = t.encode(x, add_special_tokens=False).ids
+        assert packing.encode(x, path).tolist() == want and packing.encode(x, path).tolist() == want, hex(c)
+
+
 def test_sharding(spark):
     docs = frame(spark)
     for shards, block in ((8, 1 << 14), (3, 5)):
