@@ -22,14 +22,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_decontaminate, op2_toxicity, op3_packing, op4_near_dup, op5_quality, op6_secret_scan, op7_sharding, op8_lm, op9_substring_dedup, op10_ann)
 }
 
-#: Runs of words under each mask are compared as text here, not by hash.
+#: Runs of words under each mask are compared as text here, not by hash; items
+#: below the longest mask are looked for whole.
 _DECONTAMINATE = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 b0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS iw FROM benchmark),
-b AS (SELECT min(item_id) AS item_id, iw FROM b0 WHERE len(iw) >= 7 GROUP BY iw),
+b AS (SELECT min(item_id) AS item_id, iw FROM b0 WHERE len(iw) >= 1 GROUP BY iw),
 mask(name, span, looked) AS (VALUES ('a', 6, [0, 1, 2, 4, 5]), ('b', 7, [0, 1, 3, 5, 6])),
-ds AS (SELECT doc_id, w, i, name || array_to_string(list_transform(looked, lambda k: w[i + k + 1]), ' ') AS seed FROM d, mask, range(0, 30000) r(i) WHERE i <= len(w) - span),
-bs AS (SELECT item_id, iw, i AS q, name || array_to_string(list_transform(looked, lambda k: iw[i + k + 1]), ' ') AS seed FROM b, mask, range(0, 30000) r(i) WHERE i <= len(iw) - span),
+whole AS (SELECT DISTINCT 'whole ' || len(iw) AS name, len(iw) AS span, range(0, len(iw)) AS looked FROM b WHERE len(iw) < 7),
+dm AS (SELECT doc_id, w, name, looked, unnest(range(0, len(w) - span + 1)) AS i FROM d, (SELECT * FROM mask UNION ALL SELECT * FROM whole) WHERE len(w) >= span),
+bm AS (SELECT item_id, iw, name, looked, unnest(range(0, len(iw) - span + 1)) AS q FROM b, mask WHERE len(iw) >= 7 UNION ALL SELECT item_id, iw, name, looked, 0 AS q FROM b JOIN whole ON len(iw) = span),
+ds AS (SELECT doc_id, w, i, name || ' ' || array_to_string(list_transform(looked, lambda k: w[i + k + 1]), ' ') AS seed FROM dm),
+bs AS (SELECT item_id, iw, q, name || ' ' || array_to_string(list_transform(looked, lambda k: iw[q + k + 1]), ' ') AS seed FROM bm),
 hit AS (SELECT doc_id, item_id, w, iw, q, i - q AS start, least(len(iw), 13) AS width, greatest(0, least(q - 3, len(iw) - least(len(iw), 13))) AS first FROM ds JOIN bs USING (seed)),
 near AS (SELECT *, list_sum(list_transform(range(first, first + width), lambda j: CASE WHEN start + j >= 0 AND w[start + j + 1] = iw[j + 1] THEN 1 ELSE 0 END)) AS good FROM hit),
 scored AS (SELECT DISTINCT doc_id, item_id, start, len(iw) AS size, list_sum(list_transform(range(0, len(iw)), lambda j: CASE WHEN start + j >= 0 AND w[start + j + 1] = iw[j + 1] THEN 1 ELSE 0 END)) AS eq FROM near WHERE good >= ceil(width * 0.75))
@@ -44,7 +48,8 @@ kinds(kind, ord, base, pattern) AS (VALUES
  ('token', 3, FALSE, '[A-Za-z0-9/+=]{40,}'), ('endpoint', 4, FALSE, '[hH][tT][tT][pP][sS]?://[^\x20\x09-\x0D"''<>]+')),
 m AS (SELECT r, kind, ord, base, regexp_extract_all(text, pattern) AS found, regexp_split_to_array(text, pattern) AS gaps,
         CASE WHEN kind = 'assign' THEN regexp_extract_all(text, pattern, 2) END AS value FROM t, kinds WHERE regexp_matches(text, pattern)),
-e AS (SELECT r, kind, ord, base, i, found[i] AS hit, length(gaps[i]) AS gap, value[i] AS v FROM m, range(1, 200000) g(i) WHERE i <= len(found)),
+f AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+e AS (SELECT r, kind, ord, base, i, found[i] AS hit, length(gaps[i]) AS gap, value[i] AS v FROM f),
 p AS (SELECT *, sum(gap + length(hit)) OVER (PARTITION BY r, ord ORDER BY i) AS stop FROM e),
 s AS (SELECT r, kind, ord, base, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM p WHERE CASE kind WHEN 'assign' THEN length(v) >= 6
         WHEN 'access' THEN length(hit) >= 20 WHEN 'hex' THEN length(hit) >= 24 WHEN 'token' THEN length(hit) = 40 AND NOT contains(hit, '=') ELSE TRUE END),

@@ -92,14 +92,14 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each stretch that spans cover replaced by ``mark``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("pos"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("pos"))
 
     def step(a: Column, s: Column) -> Column:
         gap = F.when(s["start"] > a["pos"], F.substring(text, (a["pos"] + 1).cast("int"), (s["start"] - a["pos"]).cast("int"))).otherwise("")
         new = F.when(s["start"] >= a["pos"], F.lit(mark)).otherwise("")
-        return F.struct(F.concat(a["out"], gap, new).alias("out"), F.greatest(a["pos"], s["end"]).alias("pos"))
+        return F.struct(F.concat(a["out"], F.array(gap, new)).alias("out"), F.greatest(a["pos"], s["end"]).alias("pos"))
 
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["pos"] + 1).cast("int"), F.length(text))))
+    return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["pos"] + 1).cast("int"), F.length(text))))
 
 
 def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:

@@ -168,7 +168,7 @@ def test_decontamination(spark):
     rows.append((7, " ".join(["nowhere", "to", "be", "found", "in", "any", "of", "them"] * 3)))
     bench = spark.createDataFrame(rows, "item_id long, text string")
     for limit in (10**6, 0):  # by broadcast, and by shuffles
-        got = {(r.doc_id, r.item_id): (r.equal_words, r.item_words) for r in decontaminate.contaminated(frame(spark), bench, broadcast_seeds=limit).collect()}
+        got = {(r.doc_id, r.item_id): (r.equal_words, r.item_words) for r in decontaminate.contaminated(frame(spark), bench, broadcast_bytes=limit).collect()}
         assert set(got) == {(6, 0), (7, 1), (8, 6)} and got[7, 1] == (30, 30) and got[8, 6][0] == 33
     clean = decontaminate.without_contaminated(frame(spark), bench)
     assert clean.count() == len(docs) - 3 and clean.columns == frame(spark).columns
@@ -180,9 +180,9 @@ def test_decontamination_by_items_without_id_or_with_two_texts(spark):
     docs = documents()
     rows = [(None, docs[6][1]), (1, " ".join(words(docs[7][1])[10:40])), (1, " ".join(words(docs[8][1])[3:28]))]
     bench = spark.createDataFrame(rows, "item_id long, text string")
-    one, two = (sorted(decontaminate.contaminated(frame(spark), bench, broadcast_seeds=limit).collect(), key=str) for limit in (10**6, 0))
+    one, two = (sorted(decontaminate.contaminated(frame(spark), bench, broadcast_bytes=limit).collect(), key=str) for limit in (10**6, 0))
     assert one == two and {(r.doc_id, r.item_id, r.equal_words) for r in two} >= {(7, 1, 30), (8, 1, 25)} and (6, None) in {(r.doc_id, r.item_id) for r in two}
-    assert decontaminate.without_contaminated(frame(spark), bench, broadcast_seeds=0).where("doc_id in (6, 7, 8)").count() == 0
+    assert decontaminate.without_contaminated(frame(spark), bench, broadcast_bytes=0).where("doc_id in (6, 7, 8)").count() == 0
 
 
 BASE = [
@@ -455,3 +455,47 @@ def test_many_texts_in_a_group_of_bytes(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "GROUP_BYTES", 700)
     two = {(r._id, r._hash): (r._keys, r._n) for r in near_dup.signatures(docs, "doc_id", "text", 5, 32, 4).collect()}
     assert one == two
+
+
+def test_short_items_are_found_whole(spark):
+    """Items of 1 to 13 words against brute force: those of fewer than seven
+    words as exact runs, longer ones also with a word replaced."""
+    import random
+
+    from .samples import passage
+
+    rng = random.Random(12)
+    split = re.compile(r"[^\W_]+")
+    docs = [(i, passage(rng, 60)) for i in range(40)]
+    own = [split.findall(t.lower()) for _, t in docs]
+    items = [(n, " ".join(own[n][7 : 7 + n])) for n in range(1, 14)] + [(20, "nowhere at all"), (21, own[20][3] + " gap " + own[20][5])]
+    changed = own[30][10:23]
+    changed[6] = "other"
+    items.append((30, " ".join(changed)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for d, w in enumerate(own):
+        for i, t in items:
+            x = t.split()
+            if len(x) < 7:
+                want |= {(d, i) for s in range(len(w) - len(x) + 1) if w[s : s + len(x)] == x}
+    for limit in (10**6, 0):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, broadcast_bytes=limit).collect()}
+        assert {p for p in got if p[1] < 7 or p[1] in (20, 21)} == want and {(n, n) for n in range(1, 14)} <= got and (30, 30) in got
+        assert len(got) == len(want) + 8
+    clean = decontaminate.without_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, least_words=5)
+    assert {r.doc_id for r in clean.collect()} == set(range(40)) - {d for d, i in got if len(dict(items)[i].split()) >= 5}
+
+
+def test_redaction_of_overlapping_and_many_spans(spark):
+    text = "é" * 5 + "abcdefghij" * 2000
+    spans = sorted([(5 + 10 * k, 5 + 10 * k + 4) for k in range(1500)] + [(6, 12), (15, 17), (20003, 20005)])
+    rows = [(text, [(a, b) for a, b in spans])]
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:bigint,end:bigint>>")
+    got = df.select(secret_scan.redacted(F.col("text"), F.col("spans"), "#").alias("x")).first().x
+    out, pos = [], 0
+    for a, b in spans:
+        if a >= pos:
+            out += [text[pos:a], "#"]
+        pos = max(pos, b)
+    assert got == "".join(out) + text[pos:]
