@@ -20,6 +20,7 @@ output are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,15 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays as A
-from .blocks import answer, apply, ask, open_block, pack, pack_sorted, returned, shard_bounds, shards_for, unpack, unpack_sorted, write_blocks
-from .common import fold, materialised, prepare, table
+from .blocks import FANOUT, answer, apply, ask, fans_for, frame, open_block, pack, pack_planes, pack_sorted, returned, shard_bounds, shards_for, unframe, unpack, unpack_planes, unpack_sorted, write_blocks
+from .common import discard, fold, frugal, materialised, prepare, table
 
 BLOCK_BYTES = 12 << 20
 #: Training counts that the first weights are worth in the learned ones.
 PRIOR = 1000.0
 #: Cells (end, length, word) of a table of pieces at a time.
 TABLE_CELLS = 1 << 20
-PARTS = 8
+#: Words of one length up to which each is summed by itself.
+FEW_WORDS = 12
 FOLDS, HELD_OUT = 7, 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -130,6 +132,8 @@ class Lattice:
     def forward(self, words: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """ln of the summed probability of all ways to each position, in log space."""
         n, length = words.shape
+        if n <= FEW_WORDS:
+            return np.stack([self._forward(*self._found(w[None, :], log_p), length) for w in words], axis=1) if n else np.zeros((length + 1, 0))
         alpha = np.full((length + 1, n), -np.inf)
         alpha[0] = 0
         padded = np.append(log_p, -np.inf)  # piece -1
@@ -143,6 +147,28 @@ class Lattice:
                     alpha[j] = top + np.log(np.exp(stack - top).sum(axis=0))
         return alpha
 
+    def _found(self, word: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, piece, ln p) of every piece in one word, by end."""
+        begins, ends, pieces = [], [], []
+        for low, piece in self.into(word):
+            row, d = np.nonzero(piece[:, :, 0] >= 0)
+            begins.append(row + low - d)
+            ends.append(row + low + 1)
+            pieces.append(piece[row, d, 0])
+        begin, end, piece = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (begins, ends, pieces))
+        return begin, end, piece, log_p[piece]
+
+    @staticmethod
+    def _forward(begin: np.ndarray, end: np.ndarray, piece: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
+        """forward() of one word: a word by itself has few pieces at a position."""
+        out, begins, weights = [0.0], begin.tolist(), weight.tolist()
+        cuts = np.searchsorted(end, np.arange(1, length + 2)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            ways = [out[i] + w for i, w in zip(begins[a:b], weights[a:b])]
+            top = max(ways, default=-math.inf)
+            out.append(top + math.log(sum([math.exp(x - top) for x in ways])) if top > -math.inf else top)
+        return np.array(out)
+
     def log_marginal(self, words: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """ln of the summed probability of all segmentations."""
         return self.forward(words, log_p)[-1]
@@ -150,6 +176,15 @@ class Lattice:
     def expected(self, words: np.ndarray, weights: np.ndarray, log_p: np.ndarray, out: np.ndarray) -> None:
         """Adds the expected count of each piece over all paths of the words, in log space."""
         n, length = words.shape
+        if n <= FEW_WORDS:
+            for word, weight in zip(words, weights.tolist()):
+                begin, end, piece, w = self._found(word[None, :], log_p)
+                alpha = self._forward(begin, end, piece, w, length)
+                back = np.argsort(length - begin, kind="stable")  # the same from the other side
+                beta = self._forward(length - end[back], length - begin[back], piece[back], w[back], length)[::-1]
+                whole = alpha[length] if np.isfinite(alpha[length]) else 0.0
+                out += np.bincount(piece, np.exp(alpha[begin] + w + beta[end] - whole) * weight, len(out))
+            return
         alpha, beta = self.forward(words, log_p), np.full((length + 1, n), -np.inf)
         beta[length] = 0
         padded = np.append(log_p, -np.inf)
@@ -200,25 +235,65 @@ def _by_length(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: int
             yield some, np.concatenate([np.broadcast_to(MARK, (len(some), len(MARK))), own], axis=1)
 
 
-def _merge(shards: int):
-    def run(sent: list[bytes]) -> list[bytes]:
-        if sent and sent[0][:1] == b"p":  # a part of the expected piece counts
-            total = np.sum([unpack(m[1:], np.float64) for m in sent], axis=0)
-            return [total.tobytes()] + [b""] * (len(sent) - 1)
-        keys, counts = [], []
-        for m in sent:
-            n = int.from_bytes(m[1:5], "little")
-            keys.append(unpack_sorted(m[5 : 5 + n], np.uint64))
-            counts.append(unpack(m[5 + n :], np.uint32))
-        _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-        head = np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()
-        return [head + pack(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)) for x in np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])]
+class Counts:
+    """Words (hashes) and how often they occur in training texts."""
+
+    def pack(self, arrays: tuple) -> bytes:
+        return frame(pack_sorted(arrays[0]), pack_planes(arrays[1]))
+
+    def unpack(self, m: bytes) -> tuple:
+        keys, counts = unframe(m, 2)
+        return unpack_sorted(keys, np.uint64), unpack_planes(counts, np.int64)
+
+    def merge(self, parts: list[tuple]):
+        keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, place, np.concatenate([p[1] for p in parts]))
+        return (keys, total), np.split(place, np.cumsum([len(p[0]) for p in parts])[:-1])
+
+    def root(self, merged: tuple) -> np.ndarray:
+        return merged[1]
+
+    def down(self, values, merged, place, own) -> np.ndarray:
+        return values[place]
+
+    def pack_values(self, values: np.ndarray) -> bytes:
+        return pack_planes(np.ascontiguousarray(values))
 
-    return run
+    def unpack_values(self, m: bytes, n: int) -> np.ndarray:
+        return unpack_planes(m, np.int64)
 
+    def head(self, merged: tuple) -> bytes:
+        """All occurrences in training texts, and how many words have any."""
+        return np.array([merged[1].sum(), (merged[1] > 0).sum()], np.int64).tobytes()
 
-def score_texts(docs: DataFrame, vocabulary: str, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def _piece_sums(messages: DataFrame, size: int) -> DataFrame:
+    """(piece, n): the messages' dense sums, added in each partition first."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for b in batches:
+            for m in b.column("message"):
+                total += unpack(m.as_py(), np.float64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
+
+    return messages.mapInArrow(frugal(run), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def _head_sums(heads: DataFrame) -> tuple[int, int]:
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                own = np.array([np.frombuffer(x.as_py(), np.int64) for x in b.column("reply")])
+                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["n", "v"])
+
+    row = heads.mapInArrow(run, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    return int(row[0] or 0), int(row[1] or 0)
+
+
+def score_texts(docs: DataFrame, vocabulary: str, train: Column, key: str = "doc_id", text: str = "text", fanout: int = FANOUT, shards: int | None = None) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score (log10 of the
     unigram baseline) and score (log10 of the lattice model's probability)."""
     spark = docs.sparkSession
@@ -226,7 +301,9 @@ def score_texts(docs: DataFrame, vocabulary: str, train: Column, key: str = "doc
     outputs = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     docs = docs.drop(*[c for c, _ in outputs], "__lm_train").withColumn("__lm_train", F.coalesce(train, F.lit(False))).withColumn(text, F.col(text).cast("string"))
     blocks = write_blocks(docs, text, BLOCK_BYTES)
-    shards = shards_for(blocks)
+    total, senders = (x or 0 for x in blocks.agg(F.sum("bytes"), F.count("*")).first())
+    fans = fans_for(shards or shards_for(total), fanout)
+    ranges = fans[0]
 
     def question(payload: bytes, _):
         model = lattice(vocabulary)
@@ -237,27 +314,25 @@ def score_texts(docs: DataFrame, vocabulary: str, train: Column, key: str = "doc
         counts = np.bincount(place, weights=np.append(learn[doc], 0), minlength=len(own)).astype(np.int64)
         end = int(np.searchsorted(own, _END))
         counts[end] += int(learn.sum())
-        bounds = shard_bounds(own, shards)
-        for s in range(shards):
+        bounds = shard_bounds(own, ranges)
+        for s in range(ranges):
             a, b = bounds[s], bounds[s + 1]
             if b > a:
-                keys = pack_sorted(own[a:b])
-                yield s, b"w" + len(keys).to_bytes(4, "little") + keys + pack(counts[a:b].astype(np.uint32))
+                yield s, frame(b"", Counts().pack((own[a:b], counts[a:b])))
         expected, log_p = np.zeros(model.size + 1), np.log(np.maximum(model.first, 1e-300))
         expected[model.size] = counts[end]
         some = np.flatnonzero((counts > 0) & (first < len(h)) & (np.arange(len(own)) != end))
         for which, words in _by_length(low, starts[first[some]], ends[first[some]]):
             model.expected(words, counts[some[which]].astype(np.float64), log_p, expected)
-        for k, part in enumerate(np.array_split(expected, PARTS)):
-            yield shards + k, b"p" + pack(part)
-
-    replies = materialised(answer(ask(blocks, question), _merge(shards), shards + PARTS))
-    heads = replies.where(F.col("shard") < shards).groupBy("shard").agg(F.first(F.substring("reply", 1, 16)).alias("head")).collect()  # a row a shard
-    totals = np.sum([np.frombuffer(r["head"], np.int64) for r in heads], axis=0) if heads else np.zeros(2, np.int64)
-    parts = replies.where((F.col("shard") >= shards) & (F.length("reply") > 0)).orderBy("shard").collect()  # one row a part
-    expected = np.concatenate([np.frombuffer(r["reply"], np.float64) for r in parts]) if parts else 0.0
-    n_train, distinct = int(totals[0]), int(totals[1])
+        yield -1, pack(expected)  # expected piece counts of the block
+
+    sent = materialised(ask(blocks, question))
+    replies = materialised(answer(sent.where("shard >= 0"), Counts(), fans, senders, fanout=fanout))
+    n_train, distinct = _head_sums(replies.where("block < 0"))
     first = lattice(vocabulary).first
+    got, expected = _piece_sums(sent.where("shard < 0"), len(first)).toArrow(), np.zeros(len(first))  # a number a piece
+    expected[got.column("piece").to_numpy()] = got.column("n").to_numpy()
+    discard(sent)
     learned = spark.sparkContext.broadcast(np.log(np.maximum((expected + PRIOR * first) / (np.sum(expected) + PRIOR), 1e-300)))  # one number a piece
 
     def finish(payload: bytes, own_replies: dict) -> pa.Table:
@@ -265,11 +340,11 @@ def score_texts(docs: DataFrame, vocabulary: str, train: Column, key: str = "doc
         t = open_block(payload)
         low, starts, ends, doc, h = _words(t, text)
         own, first_at, place = np.unique(np.append(h, _END), return_index=True, return_inverse=True)
-        bounds, counts = shard_bounds(own, shards), np.zeros(len(own), np.int64)
-        for s in range(shards):
+        bounds, counts = shard_bounds(own, ranges), np.zeros(len(own), np.int64)
+        for s in range(ranges):
             a, b = bounds[s], bounds[s + 1]
             if b > a:
-                counts[a:b] = np.ascontiguousarray(unpack(own_replies[s][16:], np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+                counts[a:b] = Counts().unpack_values(unframe(own_replies[s], 2)[1], b - a)
         base = np.log10((counts + 1) / (n_train + distinct + 1))
         value = np.zeros(len(own))
         end = int(np.searchsorted(own, _END))
@@ -287,7 +362,7 @@ def score_texts(docs: DataFrame, vocabulary: str, train: Column, key: str = "doc
         return t
 
     schema = T.StructType([*docs.drop("__lm_train").schema.fields, *[T.StructField(c, k) for c, k in outputs]])
-    return apply(returned(blocks, replies.where(F.col("shard") < shards)), finish, schema)
+    return apply(returned(blocks, replies), finish, schema)
 
 
 def piece_vocabulary() -> str:

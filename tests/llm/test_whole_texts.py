@@ -499,3 +499,79 @@ def test_redaction_of_overlapping_and_many_spans(spark):
             out += [text[pos:a], "#"]
         pos = max(pos, b)
     assert got == "".join(out) + text[pos:]
+
+
+@pytest.mark.parametrize("shards,fanout", [(4, 128), (30, 3)])
+def test_exchange_levels_change_nothing(spark, shards, fanout):
+    """One level, and four levels of three ranges with nodes between."""
+    from herdplan.llm import blocks
+
+    assert len(blocks.fans_for(shards, fanout)) == (1 if fanout > 30 else 4) and math.prod(blocks.fans_for(shards, fanout)) >= shards
+    docs = frame(spark).repartition(9)
+    plain = sorted(map(str, substring_dedup.dedup_substrings(docs, 20).select("doc_id", "n_removed", "kept_text").collect()))
+    got = substring_dedup.dedup_substrings(docs, 20, rows=2, fanout=fanout, shards=shards).select("doc_id", "n_removed", "kept_text").collect()
+    assert sorted(map(str, got)) == plain and any(r.n_removed for r in got)
+    assert substring_dedup.dedup_substrings(empty(spark), fanout=fanout, shards=shards).count() == 0
+    path, names = lattice_lm.piece_vocabulary(), ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score"]
+    one, two = (lattice_lm.score_texts(docs, path, F.coalesce(F.col("doc_id") % 3 > 0, F.lit(True)), **o).collect() for o in ({}, {"fanout": fanout, "shards": shards}))
+    assert Counter(tuple(r[n] for n in names) for r in one) == Counter(tuple(r[n] for n in names) for r in two)
+    assert np.allclose(sorted(r.score for r in one), sorted(r.score for r in two), rtol=1e-9)
+    assert lattice_lm.score_texts(empty(spark), path, F.lit(True), fanout=fanout, shards=shards).count() == 0
+
+
+def test_words_alone_and_together_are_summed_alike():
+    pytest.importorskip("sentencepiece")
+    model = lattice_lm.lattice(lattice_lm.piece_vocabulary())
+    rng = np.random.default_rng(5)
+    words = rng.choice(np.frombuffer(b"thinkgers-.1\xe4\xbd\xa0", np.uint8), (40, 33))
+    words = np.concatenate([np.broadcast_to(lattice_lm.MARK, (40, 3)), words], axis=1)
+    log_p, weight = np.log(np.maximum(model.first, 1e-300)), rng.uniform(1, 9, 40)
+    one, two = np.zeros(model.size + 1), np.zeros(model.size + 1)
+    model.expected(words, weight, log_p, one)
+    for i in range(40):
+        model.expected(words[i : i + 1], weight[i : i + 1], log_p, two)
+    assert np.allclose(one, two, rtol=1e-9, atol=1e-12)
+    assert np.allclose(model.log_marginal(words, log_p), [model.log_marginal(w[None, :], log_p)[0] for w in words], rtol=1e-12)
+
+
+def test_expected_counts_equal_all_segmentations():
+    """The counts of the learning step against a sum over every path."""
+    spm = pytest.importorskip("sentencepiece")
+    model = lattice_lm.lattice(lattice_lm.piece_vocabulary())
+    sp = spm.SentencePieceProcessor(model_file=lattice_lm.piece_vocabulary())
+    pieces = {}
+    for i in range(sp.get_piece_size()):
+        if not (sp.is_control(i) or sp.is_unknown(i)):
+            text = bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).encode()
+            if text not in pieces or sp.is_byte(pieces[text]):
+                pieces[text] = i
+
+    def paths(text):
+        if not text:
+            yield []
+        for n in range(1, len(text) + 1):
+            if text[:n] in pieces:
+                for rest in paths(text[n:]):
+                    yield [pieces[text[:n]], *rest]
+
+    for word in ("the", "é你", "zz-a"):
+        text = "▁".encode() + word.encode()
+        want, whole = np.zeros(model.size + 1), 0.0
+        for path in paths(text):
+            p = float(np.prod(model.first[path]))
+            whole += p
+            np.add.at(want, path, p)
+        out = np.zeros(model.size + 1)
+        model.expected(np.frombuffer(text, np.uint8)[None, :], np.full(1, 3.0), np.log(np.maximum(model.first, 1e-300)), out)
+        assert np.allclose(out, 3 * want / whole, rtol=1e-9, atol=1e-15)
+
+
+def test_a_very_long_word_is_scored_in_time():
+    import time
+
+    pytest.importorskip("sentencepiece")
+    model = lattice_lm.lattice(lattice_lm.piece_vocabulary())
+    word = np.frombuffer("▁".encode() + b"ab-c" * 25_000, np.uint8)[None, :]
+    log_p, out, start = np.log(np.maximum(model.first, 1e-300)), np.zeros(model.size + 1), time.time()
+    model.expected(word, np.ones(1), log_p, out)
+    assert np.isfinite(out).all() and np.isfinite(model.log_marginal(word, log_p)[0]) and time.time() - start < 20
