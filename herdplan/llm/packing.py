@@ -27,6 +27,7 @@ are replaced.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from .common import frugal, materialised, prepare, table
 
 SIZE, END = 4096, 1
 #: Words whose tokens a worker keeps.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 
 
 def successor_sweeps(counts: dict[int, int], size: int) -> np.ndarray:
@@ -99,6 +100,10 @@ def matches(lengths: DataFrame, size: int) -> np.ndarray:
 _BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
+#: Signs that, but for the apostrophe, join each other and nothing else.
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
 class _Encoded(dict):
     """Token ids, as bytes, by lower-case word."""
 
@@ -110,28 +115,32 @@ class _Encoded(dict):
     def text(self, text: bytes) -> bytes:
         return np.array(self.encoder.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def letters(self, word: bytes) -> bytes | None:
-        """Ids of a word of Latin-1 letters alone, past the steps before the
-        merges, which would leave it one piece; None for other words."""
+    @staticmethod
+    def letters(word: bytes) -> str | None:
+        """A word of Latin-1 letters alone as the merges see it: the steps before
+        them would leave it one piece. None for other words."""
         if word.isalpha():  # ASCII
-            piece = word.decode()
-        else:
-            text = word.decode()
-            if not text.isalpha() or max(text) > "\xff":
-                return None
-            piece = text.lower().encode().decode("latin-1").translate(_BYTE_SIGNS)
-        return np.array([t.id for t in self.encoder.model.tokenize(piece)], "<u4").tobytes()
+            return word.decode()
+        text = word.decode()
+        if not text.isalpha() or max(text) > "\xff":
+            return None
+        return text.lower().encode().decode("latin-1").translate(_BYTE_SIGNS)
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > CACHED_WORDS:
+        if len(self) >= CACHED_WORDS:
             self.clear()
-        out, last = self.letters(word), word[-1:]
-        if out is None and last in b".,":  # after a Latin-1 letter the sign is a token by itself
-            start = self.letters(word[:-1])
-            out = None if start is None else start + self[last]
-        self[word] = out = self.text(word) if out is None else out
+        self[word] = out = self._encoded(word)
         return out
 
+    def _encoded(self, word: bytes) -> bytes:
+        piece = self.letters(word)
+        if piece is not None:
+            return array("I", [t.id for t in self.encoder.model.tokenize(piece)]).tobytes()
+        body = word.rstrip(_SIGNS)
+        if len(body) < len(word) and self.letters(body) is not None:  # after a Latin-1 letter the signs are a piece by themselves
+            return (self[body] if body in self else self._encoded(body)) + self[word[len(body) :]]
+        return self.text(word)
+
 
 _ENCODERS: dict[str, _Encoded] = {}
 

@@ -297,7 +297,7 @@ def test_encode_does_not_depend_on_what_it_saw_before():
     for c in [*range(0x20, 0x3100), *range(0x3100, 0xD800, 101), *range(0xF900, 0x1F000, 3)]:
         if unicodedata.category(chr(c))[0] not in "LMNP":
             continue
-        x = f"{chr(c)} {chr(c)}. {chr(c)}, a{chr(c)} a{chr(c)}. {chr(c)}a, {chr(c)}{chr(c)}."
+        x = f"{chr(c)} {chr(c)}. {chr(c)}, a{chr(c)} a{chr(c)}. {chr(c)}a, {chr(c)}{chr(c)}. {chr(c)}### e{chr(c)}.%` a'{chr(c)}~"
         want = t.encode(x, add_special_tokens=False).ids
         assert packing.encode(x, path).tolist() == want and packing.encode(x, path).tolist() == want, hex(c)
 
@@ -373,8 +373,7 @@ def test_lattice_sums_all_segmentations():
             assert abs(model.log_marginal(rows, np.log(model.first))[0] - math.log(total[0])) < 1e-9
             out = np.zeros(model.size + 1)
             model.expected(rows, np.ones(1), np.log(np.maximum(model.first, 1e-300)), out)
-        sizes = np.array([len(p) for p in (bytes(1),)])
-        assert out.sum() > 0 and sizes.size
+        assert out.sum() > 0
 
 
 @pytest.mark.parametrize("word", ["-" * 57, "=" * 58, "a" * 61, "-" * 3000, "你好" * 500 + "-" * 900])
