@@ -65,6 +65,15 @@ def matrix_row(partition: int, sizes: np.ndarray, blocks: np.ndarray, seed: int)
     return left
 
 
+def destinations(partition: int, sizes: np.ndarray, blocks: np.ndarray, seed: int) -> tuple[np.ndarray, np.random.Generator]:
+    """The block of each row of ``partition``, in the order of its rows, and the
+    generator that drew it, for what the partition draws next."""
+    rng = np.random.Generator(np.random.PCG64([seed, 1 << 40, partition]))
+    to = np.repeat(np.arange(len(blocks), dtype=np.int32), matrix_row(partition, sizes, blocks, seed))
+    rng.shuffle(to)
+    return to, rng
+
+
 def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 20240617, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0).
 
@@ -85,17 +94,18 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 20240
     def deal(batches):
         from pyspark import TaskContext
 
-        p = TaskContext.get().partitionId()
-        if p >= len(sizes) or not sizes[p]:
-            return
-        rng = np.random.Generator(np.random.PCG64([seed, 1 << 40, p]))
-        to = np.repeat(np.arange(len(size), dtype=np.int32), matrix_row(p, sizes, size, seed))
-        rng.shuffle(to)
-        at = 0
+        p, at = TaskContext.get().partitionId(), 0
+        known = int(sizes[p]) if p < len(sizes) else 0
+        to, rng = destinations(p, sizes, size, seed) if known else (np.empty(0, np.int32), None)
         for batch in batches:
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to[at : at + n]), pa.array(rng.integers(0, 1 << 62, n)), pa.array(np.arange(at, at + n) + (p << 40))], [*batch.schema.names, "__shard_block", "__shard_order", "__shard_row"])
+            if at + n > known:
+                raise RuntimeError(f"partition {p} has more rows than the {known} that were counted")
+            if n:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to[at : at + n]), pa.array(rng.integers(0, 1 << 62, n)), pa.array(np.arange(at, at + n) + (p << 40))], [*batch.schema.names, "__shard_block", "__shard_order", "__shard_row"])
             at += n
+        if at < known:
+            raise RuntimeError(f"partition {p} has {at} rows, not the {known} that were counted")
 
     names = [f.name for f in rows.schema.fields]
     dealt = rows.mapInArrow(deal, T.StructType([*rows.schema.fields, T.StructField("__shard_block", T.IntegerType()), T.StructField("__shard_order", T.LongType()), T.StructField("__shard_row", T.LongType())]))

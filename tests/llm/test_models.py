@@ -69,6 +69,104 @@ def test_hidden_insults_are_seen():
     assert f[0, 15] == 1 and f[0, 1] == 0 and f[1, 1] == 1 and f[1, 15] == 0 and f[1, 9] == 1 and not f[3].any() and not f[4].any()
 
 
+def plain_features(text, mined=(), beginnings=()):
+    """The toxicity features by plain loops; mined words and beginnings as text."""
+    import math
+    import re
+
+    raw = text.encode()
+    low = toxicity.lower(np.frombuffer(raw, np.uint8)).tobytes()
+    letters = rb"[A-Za-z\x80-\xff]"
+    found = re.findall(letters + b"+", low)
+    insults, second = ({toxicity.lower(np.frombuffer(w.encode(), np.uint8)).tobytes() for w in x} for x in (toxicity.INSULTS, toxicity.SECOND_PERSON))
+    fixed = [w in insults for w in found]
+    own = [w in {m.encode() for m in mined} for w in found]
+    begins = [any(w.startswith(b.encode()) for b in beginnings) for w in found]
+    hit = [a or b or c for a, b, c in zip(fixed, own, begins)]
+    near = [h and any(found[j] in second for j in range(max(0, i - 5), i + 6) if j < len(found)) for i, h in enumerate(hit)]
+    n, size, hits = len(found), len(raw), sum(hit)
+    alpha = len(re.findall(letters, raw))
+    mixed = hidden = 0
+    for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw):
+        chunk = m[0]
+        if not any(chunk[k : k + 1] in b"0123456789@$*.-_" and re.match(letters, chunk[k + 1 : k + 2]) for k in range(len(chunk) - 1)) or len(re.findall(letters, chunk)) < 2:
+            continue
+        mixed += 1
+        undone = bytes(toxicity._UNDONE[list(chunk)])
+        plain = b"".join(re.findall(letters, undone))
+        shown = re.findall(letters + b"+", toxicity.lower(np.frombuffer(chunk, np.uint8)).tobytes())
+        lexical = plain in insults or plain in {w.encode() for w in mined}
+        hidden += lexical and len(plain) > 2 and not any(w in insults or w in {x.encode() for x in mined} or any(w.startswith(b.encode()) for b in beginnings) for w in shown)
+    punct = sum(33 <= c < 127 and not chr(c).isalnum() for c in raw)
+    return [
+        math.log1p(n), sum(fixed), sum(fixed) / (n + 1), sum(own), sum(own) / (n + 1), sum(begins), sum(begins) / (n + 1), hits, hits / (n + 1), sum(near), sum(near) / (hits + 1),
+        sum(65 <= c <= 90 for c in raw) / (alpha + 1), raw.count(b"!") / (size + 1), punct / (size + 1), sum(48 <= c <= 57 for c in raw) / (size + 1), hidden, hidden / (mixed + 1),
+    ]
+
+
+def test_features_equal_plain_loops():
+    """Over awkward texts, chunks of more than 40 bytes with hidden words among them."""
+    mined, beginnings = ["zorblax", "quimby"], ["flurb", "snee"]
+    words = ["you", "IDIOT", "idiot", "1d10t", "m0ron", "st.u.p.i.d", "zorblax", "z0rblax", "Flurbish", "sneeze", "tú", "é", "a", "x-y", "http://a.b/c?d=1", "12", "!!", "-".join("idiot"), ".".join("zorblax"), "1" * 60 + "d10t", "x.y" * 30, "stup" + "-" * 50 + "id", "Ärger", "vous,"]
+    rng = np.random.default_rng(3)
+    texts = ["", "a", "1d10t", *[t for _, t in documents() if t], *(" ".join(rng.choice(words, 30)) for _ in range(120)), " " * 9 + "z0rblax"]
+    lexicons = toxicity.Lexicons(toxicity.hash_strings(mined), {})
+    for b in beginnings:
+        low, starts, ends, _, _ = toxicity._tokens(*toxicity.A.utf8(pa.array([b])))
+        lexicons.prefixes[len(b)] = np.unique(next(h for k, _, h in toxicity._prefixes(low, starts, ends) if k == len(b)))
+    got = toxicity.features(pa.array(texts), lexicons)
+    for row, t in zip(got, texts):
+        assert np.allclose(row, plain_features(t, mined, beginnings), rtol=1e-12), t[:80]
+    assert got[:, 15].max() >= 3
+
+
+def test_ngram_buckets_equal_plain_loops():
+    from collections import Counter
+
+    texts = ["", "a", "ab", "one two two", " x  yz ", "é ß", *[t for _, t in documents() if t][:12]]
+    data, offsets = quality.A.utf8(pa.array(texts))
+    got = [Counter() for _ in texts]
+    for buckets, doc in quality.ngrams(data, offsets):
+        for b, d in zip(buckets.tolist(), doc.tolist()):
+            got[d][b] += 1
+
+    def hashed(word):
+        raw = np.frombuffer(word, np.uint8)
+        return quality.A.hash_words(raw, np.zeros(1, np.int64), quality._WORDS, 74)
+
+    for t, own in zip(texts, got):
+        raw, want = t.encode(), Counter()
+        words = [hashed(w) for w in raw.split()]
+        want.update(int(h[0]) & int(quality._MASK) for h in words)
+        for x, y in zip(words, words[1:]):
+            want[int(quality._AGAIN) if x[0] == y[0] else int(quality.A.window_hash(np.concatenate([x, y]), 2, 75)[0]) & int(quality._MASK)] += 1
+        spaced = b" " + b"".join(b" " if c in b" \t\n\x0b\x0c\r" else bytes([c]) for c in raw) + b" "
+        for k in quality.LENGTHS:
+            for i in range(len(spaced) - k + 1):
+                gram = spaced[i : i + k]
+                if b" " in gram[1:-1]:
+                    continue
+                total = np.uint32(0)
+                for j, c in enumerate(gram):
+                    total = np.uint32((int(total) + int(quality._BYTES[j][c])) & 0xFFFFFFFF)
+                want[int(quality._scramble(np.array([(int(total) + int(quality._SALT[k])) & 0xFFFFFFFF], np.uint32))[0])] += 1
+        assert own == want, t[:60]
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark):
+    from herdplan.llm.labelled import training_sample
+
+    docs = spark.createDataFrame([(i, "x" * (10 if i % 4 else 50_000)) for i in range(200)] + [(1, "x" * 10), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, y int")
+    texts, y = training_sample(docs, labels, "y")
+    assert len(texts) == len(y) > 120 and max(map(len, texts.to_pylist())) == 50_000
+    few, _ = training_sample(docs, labels, "y", 30)
+    assert len(few) == 30
+    small, _ = training_sample(docs, labels, "y", size=51_000)
+    sizes = [len(t) for t in small.to_pylist()]
+    assert sum(sizes) <= 51_000 and sizes.count(50_000) == 1 and len(sizes) > 50
+
+
 def vectors(n=3000, width=16):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(n, width))
@@ -158,6 +256,47 @@ def test_sql(spark, name):
     assert sorted(tuple(str(r[x]) for x in columns) for r in df.collect()) == sorted(tuple(str(dict(zip(names, r))[x]) for x in columns) for r in q.fetchall())
 
 
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Each stage against plain code, over texts that are null, empty, equal,
+    alike, contaminated or hold secrets, columns of other operators' names, and
+    an empty table."""
+    import re
+    import tempfile
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs, rows = frame(spark), documents()
+    item = re.findall(r"[^\W_]+", rows[6][1].lower())[:30]
+    sf = tempfile.mkdtemp()
+    spark.createDataFrame([(0, " ".join(item)), (1, "one"), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    kept = pipeline.keep_quality(spark, docs, sf)
+    scored = quality.score_quality(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    plain = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert plain(kept) == sorted(((r.doc_id, r.text) for r in scored if r.score >= 0.3), key=str) and set(kept.columns) == set(docs.columns) - {"score"}
+    single = pipeline.drop_near_duplicates(spark, docs, sf)
+    from .test_whole_texts import BASE, components, words
+
+    texts = sorted({t for _, t in rows if t is not None})
+    sets = [{tuple(words(t)[j : j + 5]) for j in range(len(words(t)) - 4)} or {tuple(words(t)) or ("empty", t)} for t in texts]
+    root = dict(zip(texts, components(sets, 0.8)))
+    best = {}
+    for i, t in rows:
+        if t is not None:
+            best[root[t]] = min(best.get(root[t], (True, 0)), (i is None, i or 0))
+    left = single.collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0) for r in left if r.text is not None)) == sorted(best.values()) and sum(r.text is None for r in left) == sum(t is None for _, t in rows)
+    clean = pipeline.drop_contaminated(spark, docs, sf)
+    assert plain(clean) == sorted(((i, t) for i, t in rows if t != rows[6][1]), key=str)
+    redacted = pipeline.redact_secrets(spark, docs, sf)
+    marks = {r.doc_id: r.text for r in redacted.collect() if r.text and "[SECRET]" in r.text}
+    assert set(marks) == {i for i, t in rows if any(ok(m) for _, p, ok in BASE for m in p.finditer(t or ""))} != set() and redacted.count() == len(rows) and redacted.columns == docs.columns and dict(redacted.dtypes) == dict(docs.dtypes)
+    assert redacted.where("n_chars <> length(text)").count() == 0
+    packed = pipeline.pack_sequences(spark, docs, sf)
+    assert packed.select("doc_id").distinct().count() == len({i for i, _ in rows}) and packed.where("length < 1 or length > 4096").count() == 0
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty(spark), sf).count() == 0
+
+
 @need
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")

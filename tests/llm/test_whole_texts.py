@@ -336,6 +336,34 @@ def test_matrix_margins_and_law():
     assert abs(mean - 5 * 6 / 15) < 0.2  # hypergeometric
 
 
+def test_every_deal_is_equally_likely():
+    """Six rows of three partitions into blocks of two: each of the 90 deals
+    comes as often as any other (chi-square, 89 degrees of freedom)."""
+    sizes, blocks, n = np.array([2, 3, 1]), np.array([2, 2, 2]), 9000
+    seen = Counter(tuple(np.concatenate([sharding.destinations(p, sizes, blocks, seed)[0] for p in range(3)]).tolist()) for seed in range(n))
+    assert len(seen) == 90 and sum((v - n / 90) ** 2 / (n / 90) for v in seen.values()) < 150
+
+
+def test_rows_that_were_not_counted_are_an_error(spark, monkeypatch):
+    """No row is lost where the second reading splits the table otherwise."""
+    docs = frame(spark).repartition(3)
+    read = sharding.materialised
+
+    class Moved:
+        def __init__(self, df):
+            self.df, self.sparkSession, self.schema = df, df.sparkSession, df.schema
+
+        def groupBy(self, *c):
+            return self.df.coalesce(1).groupBy(*c)
+
+        def mapInArrow(self, *a):
+            return self.df.mapInArrow(*a)
+
+    monkeypatch.setattr(sharding, "materialised", lambda df: Moved(read(df).repartition(3)))
+    with pytest.raises(Exception, match="counted"):
+        sharding.shuffle_into_shards(docs).collect()
+
+
 def test_language_model(spark):
     pytest.importorskip("sentencepiece")
     path = lattice_lm.piece_vocabulary()
