@@ -6,13 +6,17 @@
   all           frontier and a sweep of sizes, then the verdict
   report        verdict of a sweep written before (--points, --frontier)
   compare       rows in Spark against the same panel in memory
+  bench         marker totals of a dense and a sparse plan, rows against packed
+                calls, and a sweep of caps: agreement and seconds, as CSV
 """
 
 from __future__ import annotations
 
 import argparse
+import resource
 import sys
 import time
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +27,7 @@ from .plans import frontier, solve_panel
 from .plans.api import solve_arrays
 from .sources import generators, tables
 
-COMMANDS = ("correctness", "frontier", "scale", "all", "report", "compare", "help")
+COMMANDS = ("correctness", "frontier", "scale", "all", "report", "compare", "bench", "help")
 
 
 def make(spark: SparkSession, n: int, m: int, seed: int) -> tuple[DataFrame, DataFrame, float, float]:
@@ -45,13 +49,59 @@ def show(df: DataFrame) -> None:
     print(df.toPandas().to_csv(index=False), end="")
 
 
+def peak_mb(spark: SparkSession) -> float | None:
+    """Peak memory of this process and its JVM; null where it cannot be read."""
+    try:
+        pid = spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()
+        jvm = next(int(x.split()[1]) for x in Path(f"/proc/{pid}/status").read_text().splitlines() if x.startswith("VmHWM"))
+        return (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss + jvm) / 1024
+    except (OSError, StopIteration):
+        return None
+
+
+def bench(spark: SparkSession, args) -> DataFrame:
+    """(what, seconds, other_seconds, apart): two ways to the same numbers."""
+    from .plans.api import grouped, select
+    from .plans.pricing import PackedPricer, RowPricer, packed_rows
+
+    def timed(f):
+        began = time.time()
+        return f(), time.time() - began
+
+    rows, z, s, mean = make(spark, args.n, args.m, args.seed)
+    long, out = z.persist(), []
+    every = rows.select("candidate_id", F.lit(1.0 / args.n).alias("c"))
+    few = every.where(F.col("candidate_id") < 10).withColumn("c", F.lit(0.1))
+    wide = few.unionByName(every.where(F.col("candidate_id") >= 10).withColumn("c", F.lit(0.0)))
+    total = lambda p: {r["marker_id"]: r["t"] for r in plan.marker_totals(long, p).collect()}
+    (a, ta), (b, tb) = timed(lambda: total(few)), timed(lambda: total(wide))
+    out.append(("marker totals: sparse, dense plan", ta, tb, max(abs(a[j] - b[j]) for j in a)))
+    calls = generators.panel(spark, args.n, args.m, args.seed).select("candidate_id", "marker_id", "dosage")
+    p = np.array([r["p"] for r in panel.allele_frequencies(calls).orderBy("marker_id").collect()])
+    scale, attributes = float(2 * (p * (1 - p)).sum()), rows.select("candidate_id", "b", "male", "cap")
+    centred = panel.widen(panel.centre(calls, panel.allele_frequencies(calls))).join(attributes, "candidate_id")
+    one, two = RowPricer(grouped(centred, True)), PackedPricer(grouped(packed_rows(calls).join(attributes, "candidate_id"), True), p)
+    try:
+        (x, tx), (y, ty) = (timed(lambda q=q: select(q, [0.5, 0.5], args.k_frac * mean, scale, args.ridge)) for q in (one, two))
+    finally:
+        one.close(), two.close()
+    out.append(("optimum: rows, packed calls", tx, ty, abs(x.gain - y.gain)))
+    for f in (0.1, 0.2, 0.4):
+        (x, tx) = timed(lambda f=f: solve_panel(rows, f * mean, s, args.ridge))
+        own = rows.orderBy("candidate_id").toPandas()
+        (y, ty) = timed(lambda f=f: solve_arrays(np.stack(own["z"]), own["b"].to_numpy(), f * mean, s=s, ridge=args.ridge, male=own["male"].to_numpy()))
+        out.append((f"cap {f:g}: Spark, memory", tx, ty, abs(x.gain - y.gain)))
+    long.unpersist(), rows.unpersist()
+    return spark.createDataFrame(out, "what string, seconds double, other_seconds double, apart double")
+
+
 def one_size(spark: SparkSession, n: int, m: int, args) -> tuple:
     rows, z, s, mean = make(spark, n, m, args.seed)
     began = time.time()
     got = solve_panel(rows, args.k_frac * mean, s, args.ridge, not args.simplex)
     took = time.time() - began
     rows.unpersist()
-    return (n, m, took, args.ridge, None, got.solved, got.solved and got.quad <= got.k + 1e-6, len(got.ids), got.products)
+    return (n, m, took, args.ridge, peak_mb(spark), got.solved, got.solved and got.quad <= got.k + 1e-6, len(got.ids), got.products)
 
 
 POINT = "n int, m int, seconds double, ridge double, rss_mb double, solved boolean, feasible boolean, support int, products int"
@@ -91,12 +141,16 @@ def main(argv: list[str] | None = None) -> int:
         show(points)
         if args.command == "scale":
             return 0
+    if args.command == "bench":
+        show(bench(spark, args))
+        return 0
     rows, z, s, mean = make(spark, args.n, args.m, args.seed)
     if args.command in ("frontier", "all"):
         line = frontier(rows, np.linspace(0.08, 0.8, args.caps) * mean, s, args.ridge, not args.simplex)
         show(line.orderBy("k"))
         if args.command == "all":
-            print(tables.verdict_markdown(report.verdict(points, line, reach=max(args.sizes)).first().asDict()))
+            row = report.verdict(points, line, reach=max(args.sizes)).first().asDict()
+            print(tables.verdict_markdown(row, {"max_n": max(args.sizes)}, [r.asDict() for r in points.orderBy("n").collect()], [r.asDict() for r in line.orderBy("k").collect()]))
         return 0
     got = solve_panel(rows, args.k_frac * mean, s, args.ridge, not args.simplex)
     say(repr(got))

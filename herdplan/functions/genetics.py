@@ -27,10 +27,12 @@ def recovered_dosage(z: Column, p: Column, ploidy: int = 2) -> Column:
     return F.round(z + ploidy * p).cast("int")
 
 
-def recoded_sex(text: Column) -> Column:
-    """Male or not; null where the text says neither."""
+def recoded_sex(text: Column, unknown: str = "error") -> Column:
+    """Male or not; null stays null. A text that says neither is an error, or
+    null with ``unknown='null'``."""
     t = F.lower(F.trim(text.cast("string")))
-    return F.when(t.isin("m", "male", "1"), True).when(t.isin("f", "female", "2"), False)
+    other = F.lit(None).cast("boolean") if unknown == "null" else F.raise_error(F.concat(F.lit("unknown sex code: "), text.cast("string"))).cast("boolean")
+    return F.when(t.isin("m", "male", "1"), True).when(t.isin("f", "female", "2"), False).when(t.isNotNull(), other)
 
 
 def effective_parents(c: Column) -> Column:
@@ -58,15 +60,16 @@ def footprint_bytes(n: Column, m: Column) -> dict[str, Column]:
     return {"dense_z": 8 * n * m, "packed_z": m * F.ceil(n / 4), "dense_g": 8 * n * n}
 
 
+#: How a growth exponent up to each limit compares with cubic growth: fixed values.
+GROWTH = ((2.85, "sub-cubic"), (3.15, "essentially cubic"), (3.6, "marginally super-cubic"), (float("inf"), "super-cubic"))
+
+
 def cubic_label(exponent: Column) -> Column:
-    """How a growth exponent compares with cubic growth."""
-    return (
-        F.when(exponent.isNull(), "undefined")
-        .when(exponent < 2.85, "below cubic")
-        .when(exponent <= 3.15, "cubic")
-        .when(exponent <= 3.6, "slightly above cubic")
-        .otherwise("well above cubic")
-    )
+    """How a growth exponent compares with cubic growth; 'undefined' for null."""
+    out = F.when(exponent.isNull(), "undefined").when(exponent < GROWTH[0][0], GROWTH[0][1])
+    for limit, label in GROWTH[1:-1]:
+        out = out.when(exponent <= limit, label)
+    return out.otherwise(GROWTH[-1][1])
 
 
 def real_roots(a: Column, b: Column, c: Column) -> Column:

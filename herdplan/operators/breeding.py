@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.generators import uniform
+from ..sources.generators import normal, uniform
+from . import panel
 from .plan import best_by_sex
 
 
@@ -52,3 +53,52 @@ def founders(spark: SparkSession, n: int, m: int, seed: int) -> DataFrame:
     allele = lambda k: (uniform(seed + k, F.col("candidate_id"), F.col("marker_id")) < p).cast("int")
     grid = spark.range(n).select(F.col("id").alias("candidate_id"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("marker_id"))
     return grid.select("candidate_id", "marker_id", allele(10).alias("a"), allele(11).alias("b"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A generation as it is, written where the session has a checkpoint folder."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def population(haplotypes: DataFrame, effects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates with b and male, genotypes, markers) of two alleles a marker;
+    b is the genetic value of the dosages, sex the parity of the id."""
+    dosages = haplotypes.select("candidate_id", "marker_id", (F.col("a") + F.col("b")).alias("dosage"))
+    markers = panel.allele_frequencies(dosages)
+    value = dosages.join(effects, "marker_id").groupBy("candidate_id").agg(F.sum(F.col("dosage") * F.col("w")).alias("b"))
+    return value.withColumn("male", F.col("candidate_id") % 2 == 0), panel.centre(dosages, markers), markers
+
+
+def crossing_round(haplotypes: DataFrame, effects: DataFrame, offspring: int, method: str, seed: int, target: float = 20.0, n_best: int = 25, ridge: float = 2e-5) -> DataFrame:
+    """Haplotypes of the next generation. 'optimum': the cap is bisected, from
+    the uniform plan's coancestry to the greedy plan's, until the optimum has
+    ``target`` effective parents within two per cent, and parents are drawn in
+    proportion to it; 'truncation': among the n_best of each sex."""
+    from ..plans import cap_for_effective_size
+    from .plan import coancestry, greedy_plan, uniform_plan
+
+    candidates, genotypes, markers = population(haplotypes, effects)
+    if method == "truncation":
+        return settled(gametes(draw_best(candidates, offspring, seed, n_best), haplotypes, seed))
+    candidates, scale = settled(candidates), panel.vanraden_scale(markers)
+    ends = [coancestry(genotypes, p, scale).first()["quad"] + ridge for p in (uniform_plan(candidates), greedy_plan(candidates))]
+    rows = panel.widen(genotypes).join(candidates, "candidate_id").withColumn("cap", F.lit(None).cast("double"))
+    found, _ = cap_for_effective_size(rows, target, ends[0], ends[1], scale.first()["s"], ridge, within=0.02, steps=25)
+    plan = found.contributions(haplotypes.sparkSession).join(candidates.select("candidate_id", "male"), "candidate_id")
+    return settled(gametes(draw_parents(plan, offspring, seed), haplotypes, seed))
+
+
+def generations(spark: SparkSession, n: int, m: int, rounds: int, method: str, seed: int = 1, rep: int = 1, **options) -> DataFrame:
+    """(rep, method, gen, gain, het): mean genetic value above that of the
+    founders, and the share of heterozygous calls, of each generation."""
+    effects = settled(spark.range(m).select(F.col("id").cast("int").alias("marker_id"), normal(seed + 50, F.col("id")).alias("w")))
+    own, out = settled(founders(spark, n, m, seed)), []
+    for gen in range(rounds + 1):
+        dosages = own.select("candidate_id", "marker_id", (F.col("a") + F.col("b")).alias("dosage"))
+        het = panel.heterozygosity(dosages).first()["het"]
+        mean = population(own, effects)[0].agg(F.avg("b")).first()[0]
+        out.append((rep, method, gen, float(mean), float(het)))
+        if gen < rounds:
+            own = crossing_round(own, effects, n, method, seed + 100 * (gen + 1), **options)
+    start = out[0][3]
+    return spark.createDataFrame([(r, k, g, x - start, h) for r, k, g, x, h in out], "rep int, method string, gen int, gain double, het double")

@@ -8,10 +8,17 @@ optimiser, which broadcasts what it knows to be small.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import centred
+from ..shipping import ship
+
+#: Candidates of one block of pair products, about.
+BLOCK = 512
 
 
 def allele_frequencies(dosages: DataFrame, ploidy: int = 2) -> DataFrame:
@@ -58,12 +65,48 @@ def kinship_range(genotypes: DataFrame, scale: DataFrame) -> DataFrame:
     return columns.crossJoin(own).crossJoin(scale).select(low.alias("k_lo"), F.greatest(1.1 * F.col("top"), 1.5 * low).alias("k_hi"))
 
 
+def caps_from_least(genotypes: DataFrame, scale: DataFrame, share: float, ridge: float = 0.0) -> DataFrame:
+    """One row: k_between, ``share`` of the way from the uniform plan's
+    coancestry to the mean self-relationship; k_tight, 1.04 times the mean
+    coancestry (half relationships, without ridge)."""
+    totals = genotypes.groupBy("marker_id").agg(F.sum("z").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("tt"))
+    own = self_relationships(genotypes, scale).agg(F.avg("g").alias("mean"), F.count("*").alias("n"))
+    bare = F.col("tt") / F.col("s") / (F.col("n") * F.col("n"))
+    least, mean = bare + ridge / F.col("n"), F.col("mean") + ridge
+    return totals.crossJoin(own).crossJoin(scale).select((least + share * (mean - least)).alias("k_between"), (1.04 * bare / 2).alias("k_tight"))
+
+
+def pair_products(long: DataFrame, value: str, block: int = BLOCK) -> DataFrame:
+    """(i, j, v), i <= j: sums of products of ``value`` over markers, 0 where it
+    is not there. Candidates are dealt to blocks by a hash of their id; each pair
+    of blocks is one matrix product in one task, so no task meets a marker's whole
+    column. All pairs are what is asked for: for panels whose pair table fits."""
+    ship(long.sparkSession)
+    parts = max(1, -(-long.select("candidate_id").distinct().count() // block))
+    cells = F.sort_array(F.collect_list(F.struct("marker_id", F.col(value).cast("double").alias("v"))))
+    wide = long.groupBy("candidate_id").agg(cells.alias("cells")).withColumn("own", F.pmod(F.xxhash64("candidate_id"), F.lit(parts)).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: F.struct(F.least("own", p).alias("a"), F.greatest("own", p).alias("b")))
+
+    def product(group: pa.Table) -> pa.Table:
+        a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
+        ids, own = group.column("candidate_id").to_numpy(), group.column("own").to_numpy()
+        cells = group.column("cells").combine_chunks()
+        row = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.list_value_length(cells)))
+        flat = cells.flatten()
+        markers, column = np.unique(np.asarray(flat.field("marker_id")), return_inverse=True)
+        m = np.zeros((len(ids), len(markers)))
+        m[row, column] = np.asarray(pa.compute.fill_null(flat.field("v"), 0.0))
+        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+        v, i, j = m[left] @ m[right].T, np.repeat(ids[left], len(right)), np.tile(ids[right], len(left))
+        keep = i <= j if a == b else np.ones(len(i), bool)
+        return pa.table({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "v": v.ravel()[keep]})
+
+    return wide.select("candidate_id", "cells", "own", F.inline(pairs)).groupBy("a", "b").applyInArrow(product, "i long, j long, v double")
+
+
 def relationship_pairs(genotypes: DataFrame, scale: DataFrame) -> DataFrame:
-    """G_ij for i <= j: an equi-join on the marker, for small panels."""
-    a = genotypes.select(F.col("candidate_id").alias("i"), "marker_id", F.col("z").alias("zi"))
-    b = genotypes.select(F.col("candidate_id").alias("j"), "marker_id", F.col("z").alias("zj"))
-    sums = a.join(b, "marker_id").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("zz"))
-    return sums.crossJoin(scale).select("i", "j", (F.col("zz") / F.col("s")).alias("g"))
+    """G_ij for i <= j."""
+    return pair_products(genotypes, "z").crossJoin(scale).select("i", "j", (F.col("v") / F.col("s")).alias("g"))
 
 
 def heterozygosity(dosages: DataFrame) -> DataFrame:
@@ -81,9 +124,7 @@ def gram_packed(dosages: DataFrame, markers: DataFrame, scale: DataFrame) -> Dat
     (M_i M_j - 2 r_i - 2 r_j + 4 |p|^2) / s."""
     r = packed_scalars(dosages, markers)
     pp = markers.agg(F.sum(F.col("p") * F.col("p")).alias("pp"))
-    a = dosages.select(F.col("candidate_id").alias("i"), "marker_id", F.col("dosage").alias("di"))
-    b = dosages.select(F.col("candidate_id").alias("j"), "marker_id", F.col("dosage").alias("dj"))
-    mm = a.join(b, "marker_id").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("di") * F.col("dj")).alias("mm"))
+    mm = pair_products(dosages, "dosage").withColumnRenamed("v", "mm")
     ri, rj = r.select(F.col("candidate_id").alias("i"), F.col("r").alias("ri")), r.select(F.col("candidate_id").alias("j"), F.col("r").alias("rj"))
     g = (F.col("mm") - 2 * F.col("ri") - 2 * F.col("rj") + 4 * F.col("pp")) / F.col("s")
     return mm.join(ri, "i").join(rj, "j").crossJoin(pp).crossJoin(scale).select("i", "j", g.alias("g"))

@@ -48,14 +48,33 @@ def power_law(points: DataFrame, x: str, y: str) -> DataFrame:
     return points.where((F.col(x) > 0) & (F.col(y) > 0)).agg(F.regr_slope(ly, lx).alias("slope"), F.regr_intercept(ly, lx).alias("intercept"), F.regr_r2(ly, lx).alias("r2"))
 
 
-def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """(column, name) with the mean rank of each distinct value: counts are
-    aggregated first, the running sum is over distinct values."""
+def average_ranks(df: DataFrame, column: str, name: str, parts: int = 256) -> DataFrame:
+    """(column, name) with the mean rank of each distinct number: counts are
+    aggregated first, then summed inside ranges of equal width and over ranges,
+    so no task holds all values. NaN is above all, as in an ordering."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(column)) - F.col("_n")
-    return counts.select(column, (before + (F.col("_n") + 1) / 2).alias(name))
+    d = F.col(column).cast("double")
+    finite = F.when(F.abs(d) < float("inf"), d)
+    ends = df.agg(F.min(finite).alias("_low"), F.max(finite).alias("_high"))
+    inside = F.when(F.col("_high") > F.col("_low"), F.floor((d - F.col("_low")) / (F.col("_high") - F.col("_low")) * parts)).otherwise(0)
+    part = F.when(F.isnan(d), parts + 2).when(d == float("inf"), parts + 1).when(d == -float("inf"), -1).otherwise(inside)
+    dealt = counts.crossJoin(ends).withColumn("_part", part)
+    totals = dealt.groupBy("_part").agg(F.sum("_n").alias("_all"))
+    before = totals.select("_part", (F.sum("_all").over(Window.orderBy("_part")) - F.col("_all")).alias("_before"))
+    own = F.sum("_n").over(Window.partitionBy("_part").orderBy(column)) - F.col("_n")
+    return dealt.withColumn("_own", own).join(before, "_part").select(column, (F.col("_before") + F.col("_own") + (F.col("_n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     return full.join(average_ranks(full, x, "_rx"), x).join(average_ranks(full, y, "_ry"), y).agg(F.corr("_rx", "_ry").alias("rho"))
+
+
+def same_support(one: DataFrame, other: DataFrame, tol: float = 1e-6) -> DataFrame:
+    """One row: do two plans (candidate_id, c) have the same candidates above
+    ``tol``, and how far are their contributions apart at most?"""
+    a = one.where(F.col("c") > tol).select("candidate_id", F.col("c").alias("_a"))
+    b = other.where(F.col("c") > tol).select("candidate_id", F.col("c").alias("_b"))
+    both = a.join(b, "candidate_id", "full")
+    apart = F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)))
+    return both.agg((F.count_if(F.col("_a").isNull() | F.col("_b").isNull()) == 0).alias("same"), F.coalesce(F.max(apart), F.lit(0.0)).alias("apart"))

@@ -188,7 +188,7 @@ def _raw(x: Panel) -> DataFrame:
 
 @query("SELECT id, CASE WHEN lower(trim(sex)) IN ('m', 'male', '1') THEN TRUE WHEN lower(trim(sex)) IN ('f', 'female', '2') THEN FALSE END AS male FROM raw", tables=_RAW)
 def recode_sex(x: Panel) -> DataFrame:
-    return _raw(x).select("id", recoded_sex(F.col("sex")).alias("male"))
+    return _raw(x).select("id", recoded_sex(F.col("sex"), "null").alias("male"))
 
 
 @query("SELECT id, bal AS b FROM raw WHERE bal >= 0 AND bal IS NOT NULL", tables=_RAW)
@@ -373,7 +373,7 @@ def frontier_check(x: Panel) -> DataFrame:
     return report.frontier_check(_front(x)).select(R(F.col("worst")).alias("worst"), "monotone")
 
 
-@query("SELECT round(ln(1815.5e0 / 191.3e0) / ln(10000 / 5000), 6) AS exponent, 'slightly above cubic' AS label FROM pts LIMIT 1", tables=_POINTS)
+@query("SELECT round(ln(1815.5e0 / 191.3e0) / ln(10000 / 5000), 6) AS exponent, 'marginally super-cubic' AS label FROM pts LIMIT 1", tables=_POINTS)
 def growth_exponent(x: Panel) -> DataFrame:
     return report.growth_exponent(_points(x)).select(R(F.col("exponent")).alias("exponent"), "label")
 
@@ -389,7 +389,7 @@ def verdict(x: Panel) -> DataFrame:
     return report.verdict(_points(x), _front(x)).select("verdict", "monotone")
 
 
-@query("SELECT n, CASE WHEN e IS NULL THEN 'undefined' WHEN e < 2.85 THEN 'below cubic' WHEN e <= 3.15 THEN 'cubic' WHEN e <= 3.6 THEN 'slightly above cubic' ELSE 'well above cubic' END AS label FROM (SELECT n, ln(seconds / lag(seconds) OVER (ORDER BY n)) / ln(n / lag(n) OVER (ORDER BY n)) AS e FROM pts)", tables=_POINTS)
+@query("SELECT n, CASE WHEN e IS NULL THEN 'undefined' WHEN e < 2.85 THEN 'sub-cubic' WHEN e <= 3.15 THEN 'essentially cubic' WHEN e <= 3.6 THEN 'marginally super-cubic' ELSE 'super-cubic' END AS label FROM (SELECT n, ln(seconds / lag(seconds) OVER (ORDER BY n)) / ln(n / lag(n) OVER (ORDER BY n)) AS e FROM pts)", tables=_POINTS)
 def growth_label(x: Panel) -> DataFrame:
     from pyspark.sql import Window
 
@@ -451,7 +451,7 @@ def quadratic_roots(x: Panel) -> DataFrame:
 
 # -- solvers: certificates are restated by SQL as the row they must give
 
-_CERTIFICATE = "cert AS (SELECT 'Solved' AS status, TRUE AS sums, TRUE AS bounds, TRUE AS within_cap, TRUE AS by_sex, TRUE AS stationary, TRUE AS beats_greedy_mix)"
+_CERTIFICATE = "cert AS (SELECT 'Solved' AS status, TRUE AS sums, TRUE AS bounds, TRUE AS within_cap, TRUE AS by_sex, TRUE AS stationary, TRUE AS above_mean)"
 _CERT_SQL = "SELECT * FROM cert"
 
 
@@ -466,28 +466,35 @@ def _scalars(x: Panel) -> tuple[float, float]:
 
 
 def _certificate(x: Panel, sexed: bool, cap: bool, share: float, ridge: float = 1e-5) -> DataFrame:
-    """Checks of the optimum, recomputed by joins from the panel itself."""
+    """Checks of the optimum, recomputed from the rows of the panel: one pass
+    gives the plan's marker totals, a second every candidate's reduced cost."""
     from .plans import solve_panel
 
-    s, mean = _scalars(x)
-    k = share * mean
-    found = solve_panel(_rows(x, cap), k, s, ridge, sexed, cap)
-    c = found.contributions(x.spark)
-    quad = plan.coancestry(x.genotypes, c, x.scale)
-    own = c.join(x.candidates, "candidate_id").agg(
-        (F.abs(F.sum("c") - 1) < 1e-6).alias("sums"), ((F.min("c") >= -1e-7) & (F.max("c") <= (0.05 if cap else 1.0) + 1e-7)).alias("bounds"),
-        (F.abs(F.sum(F.when(F.col("male"), F.col("c")).otherwise(0.0)) - 0.5) < 1e-6).alias("half"), F.sum(F.col("b") * F.col("c")).alias("gain"), F.sum(F.col("c") * F.col("c")).alias("cc"),
-    )
-    mu = [float(v) for v in found.mu] * (1 if sexed else 2)
-    product = plan.kinship_product(x.genotypes, c, x.scale, ridge)
-    r = plan.reduced_costs(x.candidates, product, mu[0], mu[1], float(found.lam)).join(c, "candidate_id", "left")
-    top = 0.05 if cap else 2.0
-    worst = r.agg(F.max(F.when(F.col("c").isNull(), F.col("r")).when(F.col("c") >= top - 1e-9, -F.col("r")).otherwise(F.abs("r"))).alias("worst"))
-    uniform = x.candidates.agg(F.avg("b").alias("mean_b"))
-    return own.crossJoin(quad).crossJoin(worst).crossJoin(uniform).select(
-        F.lit(found.status).alias("status"), "sums", "bounds", (F.col("quad") + ridge * F.col("cc") <= k + 1e-6).alias("within_cap"), (F.col("half") if sexed else F.lit(True)).alias("by_sex"),
-        (F.col("worst") <= 1e-6).alias("stationary"), (F.col("gain") > F.col("mean_b")).alias("beats_greedy_mix"),
-    )
+    rows = _rows(x, cap).persist()
+    try:
+        s = x.scale.first()["s"]
+        mean = rows.select((F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v) / s).alias("g")).agg(F.avg("g")).first()[0]
+        k = share * mean
+        found = solve_panel(rows, k, s, ridge, sexed, cap)
+        c = F.broadcast(found.contributions(x.spark))
+        totals = rows.join(c, "candidate_id").select("c", F.posexplode("z").alias("j", "v")).groupBy("j").agg(F.sum(F.col("c") * F.col("v")).alias("t"))
+        t = F.transform(F.sort_array(F.collect_list(F.struct("j", "t"))), lambda y: y["t"])
+        every = rows.join(c, "candidate_id", "left").crossJoin(F.broadcast(totals.agg(t.alias("t"))))
+        mu = [float(v) for v in found.mu] * (1 if sexed else 2)
+        own, dot = F.coalesce("c", F.lit(0.0)), F.aggregate(F.zip_with("z", "t", lambda u, v: u * v), F.lit(0.0), lambda u, v: u + v)
+        r = F.col("b") - F.when(F.col("male"), mu[0]).otherwise(mu[1]) - 2 * float(found.lam) * (dot / s + ridge * own)
+        top = 0.05 if cap else 2.0
+        violation = F.when(own == 0, r).when(own >= top - 1e-9, -r).otherwise(F.abs(r))
+        quad = F.max(F.aggregate(F.transform("t", lambda v: v * v), F.lit(0.0), lambda u, v: u + v)) / s + ridge * F.sum(own * own)
+        row = every.agg(
+            F.lit(found.status).alias("status"), (F.abs(F.sum(own) - 1) < 1e-6).alias("sums"), ((F.min(own) >= -1e-7) & (F.max(own) <= (0.05 if cap else 1.0) + 1e-7)).alias("bounds"),
+            (quad <= k + 1e-6).alias("within_cap"), (F.abs(F.sum(F.when(F.col("male"), own).otherwise(0.0)) - 0.5) < 1e-6).alias("half"),
+            (F.max(violation) <= 1e-6).alias("stationary"), (F.sum(F.col("b") * own) > F.avg("b")).alias("above_mean"),
+        ).first()
+    finally:
+        rows.unpersist()
+    checks = (row["status"], row["sums"], row["bounds"], row["within_cap"], row["half"] if sexed else True, row["stationary"], row["above_mean"])
+    return x.spark.createDataFrame([checks], "status string, sums boolean, bounds boolean, within_cap boolean, by_sex boolean, stationary boolean, above_mean boolean")
 
 
 @query(_CERT_SQL, tables=_CERTIFICATE)
@@ -606,13 +613,184 @@ def spectrum_summary(x: Panel) -> DataFrame:
     return x.spark.createDataFrame([(float(e.sum() ** 2 / (e**2).sum()), float(e.sum() / e.max()), int((e > 1e-9 * e.max()).sum()))], "participation double, stable_rank double, rank int")
 
 
+@query(", g AS (SELECT a.marker_id AS i, b.marker_id AS j, sum(a.z * b.z) / max(s) AS g FROM z a JOIN z b ON a.candidate_id = b.candidate_id, sc GROUP BY 1, 2) SELECT round(sum(CASE WHEN i = j THEN g END) * sum(CASE WHEN i = j THEN g END) / sum(g * g), 5) AS participation FROM g")
+def spectrum_participation(x: Panel) -> DataFrame:
+    """trace(G)^2 / |G|^2 from the Gram of markers: no eigenvalue is needed."""
+    a = x.genotypes.select("candidate_id", F.col("marker_id").alias("i"), F.col("z").alias("zi"))
+    b = x.genotypes.select("candidate_id", F.col("marker_id").alias("j"), F.col("z").alias("zj"))
+    gram = a.join(b, "candidate_id").groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("g"))
+    trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("g")))
+    return gram.agg(R(trace * trace / F.sum(F.col("g") * F.col("g")), 5).alias("participation"))
+
+
+@query(""" SELECT id, CASE WHEN abs(a) <= tiny THEN CASE WHEN abs(b) > tiny THEN round(-c / b, 6) + 0.0 END WHEN d >= 0 THEN round(least((-b - sqrt(greatest(d, 0))) / (2 * a), (-b + sqrt(greatest(d, 0))) / (2 * a)), 6) + 0.0 END AS low,
+ CASE WHEN abs(a) <= tiny THEN CASE WHEN abs(b) > tiny THEN round(-c / b, 6) + 0.0 END WHEN d >= 0 THEN round(greatest((-b - sqrt(greatest(d, 0))) / (2 * a), (-b + sqrt(greatest(d, 0))) / (2 * a)), 6) + 0.0 END AS high
+ FROM (SELECT *, b * b - 4 * a * c AS d, 1e-14 * greatest(1.0, abs(a) + abs(b) + abs(c)) AS tiny FROM co)""", tables="co AS (SELECT p_partkey AS id, CAST(p_partkey % 4 AS DOUBLE) AS a, CAST(p_size - 20 AS DOUBLE) AS b, CAST(p_partkey % 9 - 3 AS DOUBLE) AS c FROM part)")
+def quadratic_root_values(x: Panel) -> DataFrame:
+    part = x.spark.read.parquet(f"{x.sf_dir}/part.parquet")
+    a, b, c = (F.col("p_partkey") % 4).cast("double"), (F.col("p_size") - 20).cast("double"), (F.col("p_partkey") % 9 - 3).cast("double")
+    roots = part.select(F.col("p_partkey").alias("id"), real_roots(a, b, c).alias("r"))
+    return roots.select("id", R(F.get("r", F.lit(0))).alias("low"), R(F.get("r", F.size("r") - 1)).alias("high"))
+
+
+@query(""", u AS (SELECT sum(t * t) / max(s) AS tt FROM (SELECT sum(z) AS t FROM z GROUP BY marker_id), sc), dg AS (SELECT avg(zz) / max(s) + 1e-5 AS md, count(*) AS n FROM (SELECT sum(z * z) AS zz FROM z GROUP BY candidate_id), sc)
+ SELECT round(tt / (n * n) + 1e-5 / n + 0.3 * (md - tt / (n * n) - 1e-5 / n), 6) AS k_between, round(1.04 * tt / (n * n) / 2, 9) + 0.0 AS k_tight FROM u, dg""")
+def cap_rules_from_least(x: Panel) -> DataFrame:
+    """Caps from the uniform plan's coancestry: a share of the way up to the mean
+    self-relationship, and a little above the mean coancestry."""
+    return panel.caps_from_least(x.genotypes, x.scale, 0.3, 1e-5).select(R(F.col("k_between")).alias("k_between"), R(F.col("k_tight"), 9).alias("k_tight"))
+
+
+def _closed_form_sql(members: list[tuple[int, str, float]]) -> str:
+    """The optimum on a line: role 1 gains what role 2 gives; others stand."""
+    who = " UNION ALL ".join(f"SELECT {role} AS role, {weight}e0 AS w, candidate_id FROM o WHERE {where}" for role, where, weight in members)
+    return f""", o AS (SELECT *, row_number() OVER (ORDER BY b DESC, candidate_id) AS r FROM ranked), who AS ({who}),
+ g AS (SELECT p.role AS i, q.role AS j, max(p.w) AS wi, max(q.w) AS wj, sum(zp.z * zq.z) / max(s) + CASE WHEN p.role = q.role THEN 1e-5 ELSE 0 END AS g FROM who p, who q, z zp, z zq, sc WHERE zp.candidate_id = p.candidate_id AND zq.candidate_id = q.candidate_id AND zp.marker_id = zq.marker_id GROUP BY p.role, q.role),
+ co AS (SELECT sum(CASE WHEN i = 1 AND j = 1 OR i = 2 AND j = 2 THEN g WHEN i + j = 3 THEN -g ELSE 0 END) AS a, 2 * sum(CASE WHEN i = 1 THEN wj * g WHEN i = 2 THEN -wj * g ELSE 0 END) AS b, sum(wi * wj * g) AS c, max(CASE WHEN i = 2 THEN wi END) AS top FROM g),
+ x AS (SELECT top, (-b + sqrt(b * b - 4 * a * (c - (c - b * b / (4 * a) + greatest(c, a * top * top + b * top + c)) / 2))) / (2 * a) AS x FROM co)
+ SELECT candidate_id, round(CASE role WHEN 1 THEN x WHEN 2 THEN top - x ELSE w END, 6) + 0.0 AS c FROM who, x"""
+
+
+def _closed_form(x: Panel, free: list[tuple[bool | None, int]], upper: list[tuple[bool | None, int, float]]) -> DataFrame:
+    """The closed form on given free candidates (sex and rank, the sex null for
+    the rank in all), others at their caps, at a cap halfway up the line."""
+    import numpy as np
+    from pyspark.sql import Window
+
+    from .plans.master import closed_form
+
+    named = x.candidates.withColumns({"r": F.row_number().over(Window.orderBy(F.desc("b"), "candidate_id")), "rank": F.row_number().over(Window.partitionBy("male").orderBy(F.desc("b"), "candidate_id"))})
+    wanted = [(m, k) for m, k in free] + [(m, k) for m, k, _ in upper]
+    pick = lambda m, k: (F.col("r") == k) if m is None else (F.col("male") == m) & (F.col("rank") == k)
+    role = F.lit(None).cast("int")
+    for n, w in enumerate(wanted):
+        role = F.when(pick(*w), n).otherwise(role)
+    few = named.withColumn("role", role).where("role is not null")
+    got = panel.widen(x.genotypes.join(F.broadcast(few.select("candidate_id")), "candidate_id")).join(few, "candidate_id").orderBy("role").toArrow()
+    z, b, s = np.array(got.column("z").to_pylist()), got.column("b").to_numpy(), x.scale.first()["s"]
+    g = z @ z.T / s + 1e-5 * np.eye(len(z))
+    n, at = len(free), np.array([w for _, _, w in upper])
+    sexed = free[0][0] is not None
+    a = np.array([[float(m is not False) for m, _ in free], [float(m is False) for m, _ in free]]) if sexed else np.ones((1, n))
+    d = (np.array([0.5, 0.5]) if sexed else np.ones(1)) - np.array([at.sum(), 0.0])[: 1 + sexed]
+    low = np.zeros(n + len(at))
+    low[n:] = at
+    low[1], low[2:n] = d[0], 0.5
+    high = low.copy()
+    high[0], high[1] = d[0], 0.0
+    step = np.zeros(len(low))
+    step[:2] = 1, -1
+    a2, b2, c2 = step @ g @ step, 2 * low @ g @ step, low @ g @ low
+    k = (c2 - b2 * b2 / (4 * a2) + max(c2, float(high @ g @ high))) / 2
+    point = closed_form(g[:n, :n], b[:n], a, d, k, g[:n, n:] @ at, float(at @ g[n:, n:] @ at))
+    rows = list(zip(got.column("candidate_id").to_pylist(), [round(float(v), 6) + 0.0 for v in [*point.c, *at]]))
+    return x.spark.createDataFrame(rows, "candidate_id long, c double")
+
+
+@query(_closed_form_sql([(1, "r = 1", 0.0), (2, "r = 2", 1.0)]))
+def closed_form_simplex(x: Panel) -> DataFrame:
+    return _closed_form(x, [(None, 1), (None, 2)], [])
+
+
+@query(_closed_form_sql([(1, "r = 1", 0.0), (2, "r = 2", 0.95), (3, "r = 3", 0.05)]))
+def closed_form_capped(x: Panel) -> DataFrame:
+    return _closed_form(x, [(None, 1), (None, 2)], [(None, 3, 0.05)])
+
+
+@query(_closed_form_sql([(1, "male AND rank = 1", 0.0), (2, "male AND rank = 2", 0.5), (3, "NOT male AND rank = 1", 0.5)]))
+def closed_form_sexed(x: Panel) -> DataFrame:
+    return _closed_form(x, [(True, 1), (True, 2), (False, 1)], [])
+
+
+@query(_closed_form_sql([(1, "male AND rank = 1", 0.0), (2, "male AND rank = 2", 0.45), (3, "NOT male AND rank = 1", 0.5), (4, "male AND rank = 3", 0.05)]))
+def closed_form_sexed_capped(x: Panel) -> DataFrame:
+    return _closed_form(x, [(True, 1), (True, 2), (False, 1)], [(True, 3, 0.05)])
+
+
+@query("SELECT TRUE AS same, TRUE AS close", tables="one AS (SELECT 1)")
+def support_equality(x: Panel) -> DataFrame:
+    """Rows priced in Spark and the same rows in memory choose the same candidates."""
+    import numpy as np
+
+    from .plans import solve_panel
+    from .plans.api import solve_arrays
+
+    rows = _rows(x).persist()
+    try:
+        s, got = x.scale.first()["s"], rows.orderBy("candidate_id").toArrow()
+        z, ids = np.array(got.column("z").to_pylist()), got.column("candidate_id").to_numpy()
+        k = 0.1 * float((z * z).sum() / len(z)) / s
+        one = solve_panel(rows, k, s)
+        two = solve_arrays(z, got.column("b").to_numpy(), k, s=s, male=got.column("male").to_numpy(zero_copy_only=False))
+    finally:
+        rows.unpersist()
+    two.ids = ids[two.ids].tolist()
+    return report.same_support(one.contributions(x.spark), two.contributions(x.spark)).select("same", (F.col("apart") < 1e-6).alias("close"))
+
+
 # -- sources
 
 
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS candidate_id, c_mktsegment AS fid, CAST(c_custkey AS VARCHAR) AS iid FROM customer", tables="one AS (SELECT 1)")
+def scan_fam(x: Panel) -> DataFrame:
+    """A .fam file of all customers, with blank lines, reads back in its order."""
+    from .scratch import put_lines, shared_folder
+    from .sources import plink
+
+    line = F.concat(F.concat_ws(" ", "c_mktsegment", "c_custkey"), F.lit("\t0 0 0 -9"), F.when(F.col("c_custkey") % 50 == 0, "\n").otherwise(""))
+    path = shared_folder(x.spark) + "/panel.fam"
+    put_lines(x.spark.read.parquet(f"{x.sf_dir}/customer.parquet").orderBy("c_custkey").select(line), path)
+    return plink.scan_fam(x.spark, path)
+
+
+@query("SELECT count(*) AS markers FROM part", tables="one AS (SELECT 1)")
+def scan_bim(x: Panel) -> DataFrame:
+    from .scratch import put_lines, shared_folder
+    from .sources import plink
+
+    path = shared_folder(x.spark) + "/panel.bim"
+    put_lines(x.spark.read.parquet(f"{x.sf_dir}/part.parquet").orderBy("p_partkey").select(F.concat(F.lit("1\tS"), F.col("p_partkey"), F.lit("\t0\t1\tA\tC"))), path)
+    return plink.scan_bim(x.spark, path)
+
+
+@query(_TEN_Z + ", o AS (SELECT candidate_id, row_number() OVER (ORDER BY candidate_id) - 1 AS k FROM ten) SELECT p.k AS i, q.k AS j, round(g, 6) + 0.0 AS g, b AS bv, male, 0.25e0 AS ub FROM (SELECT i, j, g FROM pairs UNION ALL SELECT j, i, g FROM pairs WHERE i <> j) JOIN o p ON p.candidate_id = i JOIN o q ON q.candidate_id = j JOIN cand ON cand.candidate_id = i")
+def scan_bench(x: Panel) -> DataFrame:
+    """The exchange trio of ten candidates, written and read back."""
+    from pyspark.sql import Window
+
+    from .scratch import shared_folder
+    from .sources import tables
+
+    order = x.ten.select("candidate_id", (F.row_number().over(Window.orderBy("candidate_id")) - 1).alias("i"))
+    pairs = panel.relationship_pairs(x.genotypes.join(order, "candidate_id").select(F.col("i").cast("long").alias("candidate_id"), "marker_id", "z"), x.scale)
+    folder = shared_folder(x.spark)
+    tables.write_bench(pairs, order.join(x.candidates, "candidate_id").select("i", F.col("b").alias("bv"), F.lit(0.1).alias("oc"), "male"), 0.25, folder)
+    k, bc, ub = tables.read_bench(x.spark, folder)
+    return k.join(bc, "i").select("i", F.col("j").cast("long").alias("j"), R(F.col("g")).alias("g"), "bv", "male", F.lit(ub).alias("ub"))
+
+
+@query("SELECT count(*) AS n, 'Solved' AS status, CAST(4 AS BIGINT) AS points, 5.59e0 AS gains, 1815.5e0 AS slowest FROM cand")
+def read_artifacts(x: Panel) -> DataFrame:
+    """Key and value lines, a frontier and a scaling table, written and read back."""
+    from .scratch import shared_folder
+    from .sources import tables
+
+    folder = shared_folder(x.spark)
+    tables.write_meta(x.spark, {"n": x.candidates.count(), "k": 0.1, "status": "Solved"}, f"{folder}/meta.csv")
+    tables.write_table(tables.frontier_table(_front(x).withColumns({"quad": F.col("k"), "feasible": F.lit(True)})), f"{folder}/frontier")
+    names = [c.split()[0] for c in tables.SCALING.split(", ")]
+    points = _points(x).withColumnsRenamed({"seconds": "t_solve_s", "rss_mb": "peak_rss_mb"})
+    kinds = dict(c.split() for c in tables.SCALING.split(", "))
+    tables.write_table(points.select(*[F.col(c) if c in points.columns else F.lit("A" if kinds[c] == "string" else "0").cast(kinds[c]).alias(c) for c in names]), f"{folder}/scaling")
+    meta = tables.read_meta(x.spark, f"{folder}/meta.csv").select(F.col("n").cast("long").alias("n"), "status")
+    line = tables.read_table(x.spark, f"{folder}/frontier", tables.FRONTIER).agg(F.count("*").alias("points"), R(F.sum("gain")).alias("gains"))
+    sizes = tables.read_table(x.spark, f"{folder}/scaling", tables.SCALING).agg(F.max("t_solve_s").alias("slowest"))
+    return meta.crossJoin(line).crossJoin(sizes)
+
+
 @query("SELECT count(*) AS cells, 0 AS wrong FROM d WHERE candidate_id < 200 AND marker_id < 24")
 def scan_plink(x: Panel) -> DataFrame:
-    """The trio written from a part of the panel reads back as it was. The
-    files are on the driver, as the data source is for files that readers see."""
+    """The trio written from a part of the panel reads back as it was."""
     return _read_back(x, x.dosages.where("candidate_id < 200 and marker_id < 24"))
 
 
@@ -623,20 +801,19 @@ def scan_plink_whole(x: Panel) -> DataFrame:
 
 
 def _read_back(x: Panel, part: DataFrame) -> DataFrame:
-    import tempfile
-
     import numpy as np
 
+    from .scratch import put, shared_folder
     from .sources import plink
 
     got = part.select("candidate_id", "marker_id", F.coalesce("dosage", F.lit(-1)).alias("d")).toArrow()
     i, j, d = (got.column(c).to_numpy() for c in ("candidate_id", "marker_id", "d"))
     calls = np.full((int(i.max()) + 1, int(j.max()) + 1), -1, d.dtype)
     calls[i, j] = d
-    prefix = f"{tempfile.mkdtemp(prefix='herdplan-')}/panel"
-    plink.write(prefix, calls)
-    plink.register(x.spark)
-    back = x.spark.read.format("plink").option("markersPerPartition", "7").load(prefix).select("candidate_id", "marker_id", F.col("dosage").alias("read"), F.lit(True).alias("there"))
+    prefix = f"{shared_folder(x.spark)}/panel"
+    for suffix, data in plink.trio(calls).items():
+        put(x.spark, prefix + suffix, data)
+    back = plink.read_calls(x.spark, prefix).select("candidate_id", "marker_id", F.col("dosage").alias("read"), F.lit(True).alias("there"))
     both = part.join(back, ["candidate_id", "marker_id"], "left")
     return both.agg(F.count("*").alias("cells"), F.count_if(F.col("there").isNull() | ~F.col("dosage").eqNullSafe(F.col("read"))).cast("int").alias("wrong"))
 

@@ -2,15 +2,17 @@
 
 ``spark.read.format("plink").load(prefix)`` gives long dosages (candidate_id,
 marker_id, iid, dosage): one partition for each range of markers, read by seeking,
-so neither driver nor any task holds the panel. Paths are local to the readers:
-where they are on a store that only Spark reads, use read_panel, whose files
-come through Spark's binary and text readers.
+so neither driver nor any task holds the panel. Its paths are local to the readers.
+read_calls and read_panel take paths on any store: the .bed of one that only Spark
+reads comes through its binary reader, which holds a file (up to 2 GB, so one for
+each chromosome of a large panel) in a task.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import FormatError
 from ..shipping import ship
+from .tables import text_lines
 
 MAGIC, MARKER_MAJOR = b"\x6c\x1b", 1
 #: Dosage of the first allele by 2-bit code: fixed by the format; -1 is missing.
@@ -119,36 +122,84 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PlinkSource)
 
 
-def _whole_lines(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")).select("line", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("f")).where(F.element_at("f", 1) != "")
+def _fields(spark: SparkSession, path: str) -> DataFrame:
+    """(line, place, f): fields of the non-blank lines; one field is an error."""
+    rows = text_lines(spark, path).where("text <> ''").select("line", "place", F.split("text", r"\s+").alias("f"))
+    short = F.raise_error(F.concat(F.lit("line "), (F.col("line") + 1).cast("string"), F.lit(": two fields are needed"))).cast("array<string>")
+    return rows.withColumn("f", F.when(F.size("f") >= 2, F.col("f")).otherwise(short))
 
 
 def scan_fam(spark: SparkSession, path: str) -> DataFrame:
     """(candidate_id, fid, iid) in the order of lines; short lines are an error."""
-    second = F.when(F.size("f") >= 2, F.get("f", F.lit(1))).otherwise(F.raise_error(F.concat(F.lit("line "), (F.col("line") + 1).cast("string"), F.lit(": two fields are needed"))))
-    rows = _whole_lines(spark, path).select("line", F.get("f", F.lit(0)).alias("fid"), second.alias("iid"))
-    from pyspark.sql import Window
-
-    return rows.select((F.row_number().over(Window.orderBy("line")) - 1).cast("long").alias("candidate_id"), "fid", "iid")
+    return _fields(spark, path).select(F.col("place").cast("long").alias("candidate_id"), F.get("f", F.lit(0)).alias("fid"), F.get("f", F.lit(1)).alias("iid"))
 
 
 def scan_bim(spark: SparkSession, path: str) -> DataFrame:
-    """One row: the number of markers."""
-    ok = F.when(F.size("f") >= 2, 1).otherwise(F.raise_error(F.concat(F.lit("line "), (F.col("line") + 1).cast("string"), F.lit(": two fields are needed"))))
-    return _whole_lines(spark, path).agg(F.coalesce(F.sum(ok), F.lit(0)).cast("long").alias("markers"))
+    """One row: the number of markers; short lines are an error."""
+    return _fields(spark, path).agg(F.count_if(F.get("f", F.lit(1)).isNotNull()).cast("long").alias("markers"))
 
 
-def write(prefix: str, dosage: np.ndarray) -> None:
-    """Writes the trio of a small panel; -1 is missing."""
+def read_calls(spark: SparkSession, prefix: str) -> DataFrame:
+    """Long dosages (candidate_id, marker_id, iid, dosage) of a trio on any store."""
+    if "://" not in prefix and not prefix.startswith("hdfs:"):
+        register(spark)
+        return spark.read.format("plink").load(prefix.removeprefix("file:"))
+    ship(spark)
+    ids = scan_fam(spark, prefix + ".fam").select("candidate_id", "iid")
+    n, m = ids.count(), scan_bim(spark, prefix + ".bim").first()["markers"]
+    if not n or not m:
+        raise FormatError(f"{prefix}: no individuals or no markers")
+
+    def run(batches):
+        for b in batches:
+            for content in b.column("content"):
+                data = np.frombuffer(content.as_buffer(), np.uint8)
+                check_header(data[:3].tobytes(), prefix + ".bed")
+                check_size(len(data), n, m, prefix + ".bed")
+                packed = data[3:].reshape(m, -1)
+                for marker in range(m):
+                    d = decode(packed[marker : marker + 1], n)[0].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, marker, np.int32)), pa.array(d, mask=d < 0)], ["candidate_id", "marker_id", "dosage"])
+
+    long = spark.read.format("binaryFile").load(prefix + ".bed").select("content").mapInArrow(run, "candidate_id long, marker_id int, dosage int")
+    return long.join(ids, "candidate_id").select("candidate_id", "marker_id", "iid", "dosage")
+
+
+class Scanned(NamedTuple):
+    """A panel as plans: ids (candidate_id, iid), dosages, markers (marker_id,
+    p, calls), scale (s), genotypes (candidate_id, marker_id, z)."""
+
+    ids: DataFrame
+    dosages: DataFrame
+    markers: DataFrame
+    scale: DataFrame
+    genotypes: DataFrame
+
+
+def read_panel(spark: SparkSession, prefix: str) -> Scanned:
+    """A trio centred by the frequencies of its non-missing calls, missing calls
+    at the mean of their marker."""
+    from ..operators import panel
+
+    dosages = read_calls(spark, prefix)
+    markers = panel.allele_frequencies(dosages)
+    ids = scan_fam(spark, prefix + ".fam").select("candidate_id", "iid")
+    return Scanned(ids, dosages, markers, panel.vanraden_scale(markers), panel.centre(dosages, markers))
+
+
+def trio(dosage: np.ndarray) -> dict[str, bytes]:
+    """The files of a small panel by suffix; -1 is missing."""
     n, m = dosage.shape
     codes = np.select([dosage == 2, dosage == 1, dosage == 0], [0, 2, 3], 1).astype(np.uint8).T
     padded = np.zeros((m, -(-n // 4) * 4), np.uint8)
     padded[:, :n] = codes
     q = padded.reshape(m, -1, 4)
-    with open(prefix + ".bed", "wb") as f:
-        f.write(MAGIC + bytes([MARKER_MAJOR]) + (q[:, :, 0] | q[:, :, 1] << 2 | q[:, :, 2] << 4 | q[:, :, 3] << 6).tobytes())
-    with open(prefix + ".fam", "w") as f:
-        f.writelines(f"F{i} I{i} 0 0 0 -9\n" for i in range(n))
-    with open(prefix + ".bim", "w") as f:
-        f.writelines(f"1 S{j} 0 {j + 1} A C\n" for j in range(m))
+    bed = MAGIC + bytes([MARKER_MAJOR]) + (q[:, :, 0] | q[:, :, 1] << 2 | q[:, :, 2] << 4 | q[:, :, 3] << 6).tobytes()
+    return {".bed": bed, ".fam": "".join(f"F{i} I{i} 0 0 0 -9\n" for i in range(n)).encode(), ".bim": "".join(f"1 S{j} 0 {j + 1} A C\n" for j in range(m)).encode()}
+
+
+def write(prefix: str, dosage: np.ndarray) -> None:
+    """Writes the trio of a small panel."""
+    for suffix, data in trio(dosage).items():
+        with open(prefix + suffix, "wb") as f:
+            f.write(data)

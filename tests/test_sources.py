@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from herdplan import queries
 from herdplan.errors import FormatError
@@ -98,7 +99,8 @@ def test_not_square(spark, tmp_path):
 
 
 def test_scaling_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("a", 10, 20, 1, 0.1, 1e-5, 1.0, 1.0, 1.0, 1.0, 3, "Solved", 1.0, 0.1, 0.0, 0.0, True, 5.0)], tables.SCALING)
+    df = spark.createDataFrame([(10, 20, "A", "Solved", True, True, 3, 1e-5, 1, *[1.0] * 6, 1.0, 0.1, 0.1, 0.0, 0.0, 12, 40, 0.1, 5.0)], tables.SCALING)
+    assert len(df.columns) == 24  # 23 fixed ones and the memory
     path = str(tmp_path / "s")
     tables.append_point(df, path)
     tables.append_point(df, path)
@@ -136,3 +138,81 @@ def test_whole_panel_reads_back(spark, monkeypatch):
     x = Small(spark)
     monkeypatch.setattr(queries, "Panel", lambda *_: x)
     assert queries.QUERIES["scan_plink_whole"](spark, "").first().asDict() == {"cells": 230 * 31, "wrong": 0}
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    """Blank lines count in one numbering only; blocks are much smaller than the file."""
+    path = tmp_path / "lines.txt"
+    path.write_text("\n".join("" if k % 7 == 3 else f"row {k} {'x' * (k % 40)}" for k in range(3000)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = tables.text_lines(spark, str(path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    full = sorted((r.line, r.place, r.text) for r in got if r.text)
+    assert [x[0] for x in full] == [k for k in range(3000) if k % 7 != 3] and [x[1] for x in full] == list(range(len(full)))
+    assert all(t.startswith(f"row {n}") for n, _, t in full) and sorted(r.line for r in got) == list(range(3000))
+
+
+def test_panel_through_any_reader(spark, tmp_path):
+    """The data source, Spark's binary reader and memory give one panel."""
+    from herdplan.plans import read_plink, vanraden_scale
+
+    d = np.random.default_rng(4).integers(-1, 3, (37, 11))
+    plink.write(str(tmp_path / "p"), d)
+    one, two = (plink.read_panel(spark, f"{way}{tmp_path}/p") for way in ("", "file://"))
+    key = lambda df: sorted((r.candidate_id, r.marker_id, r.iid, -1 if r.dosage is None else r.dosage) for r in df.collect())
+    assert key(one.dosages) == key(two.dosages) == [(i, j, f"I{i}", int(d[i, j])) for i in range(37) for j in range(11)]
+    arrays = read_plink(tmp_path / "p")
+    z = {(r.candidate_id, r.marker_id): r.z for r in two.genotypes.collect()}
+    assert arrays.ids == [r.iid for r in two.ids.orderBy("candidate_id").collect()]
+    assert all(abs(arrays.Z[i, j] - z[i, j]) < 1e-12 for i in range(37) for j in range(11))
+    assert two.scale.first()["s"] == pytest.approx(arrays.s) == pytest.approx(vanraden_scale(arrays.p)) and "37 candidates" in repr(arrays)
+    (tmp_path / "p.bed").write_bytes((tmp_path / "p.bed").read_bytes()[:-1])
+    with pytest.raises(Exception, match="bytes do not hold"):
+        plink.read_calls(spark, f"file://{tmp_path}/p").collect()
+
+
+def test_exchange_folder_and_meta(spark, tmp_path):
+    from herdplan.errors import InputError
+
+    pairs = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.25), (2, 2, 1.5)], "i long, j long, g double")
+    cand = spark.createDataFrame([(1, 2.5, True), (2, -1.0, False)], "candidate_id long, b double, male boolean")
+    tables.write_exchange_folder(pairs, cand, str(tmp_path / "x"), scale=0.5, halved=True, targets={"degree": 45.0})
+    rows = (tmp_path / "x" / "Coancestry.txt").read_text().split("\n")
+    assert [[float(v) for v in r.split()] for r in rows if r] == [[1, 0.5, 0.125], [2, 0.125, 0.75]]
+    assert (tmp_path / "x" / "Gender.txt").read_text() == "1 1\n2 2\n" and [[float(v) for v in r.split()] for r in (tmp_path / "x" / "Criterion.txt").read_text().splitlines()] == [[1, 2.5], [2, -1]]
+    spec = (tmp_path / "x" / "Spec.txt").read_text()
+    assert spec.endswith("Stop\n") and f"{'TargetDegree':<28}, 45" in spec and f"{'CoancestryMatrixFile':<28}, Coancestry.txt" in spec
+    with pytest.raises(InputError):
+        tables.write_exchange_folder(pairs, cand.withColumn("male", F.lit(None).cast("boolean")), str(tmp_path / "y"))
+    tables.write_vector(spark.createDataFrame([(1, 2.0), (0, 1.0)], "i int, value double"), "gebv", str(tmp_path / "v.csv"))
+    assert [r.value for r in tables.read_vector(spark, str(tmp_path / "v.csv"), True).orderBy("i").collect()] == [1.0, 2.0]
+
+
+def test_report_names_what_fails():
+    row = {"all_solved": True, "monotone": False, "max_ridge": 1e-2, "max_n": 1000, "exponent": 3.3, "verdict": "NO-GO"}
+    text = tables.verdict_markdown(row, {"max_n": 10000}, [{"n": 5, "seconds": 0.5}], [{"k": 0.1, "gain": 1.0}])
+    holds = {x.split("|")[1].strip(): x.split("|")[4].strip() for x in text.splitlines() if x.startswith("|") and x.count("|") == 5}
+    assert holds["all_solved"] == "yes" and {holds[k] for k in ("monotone", "max_ridge", "max_n")} == {"no"} and holds["exponent"] == "yes"
+    assert "marginally super-cubic" in text and "## Sizes" in text and "| 0.1 | 1 |" in text
+
+
+def test_unknown_sex_codes_are_an_error(spark):
+    from herdplan.functions import recoded_sex
+
+    df = spark.createDataFrame([(" Male ",), ("2",), (None,)], "sex string")
+    assert [r.m for r in df.select(recoded_sex(F.col("sex")).alias("m")).collect()] == [True, False, None]
+    with pytest.raises(Exception, match="unknown sex code"):
+        spark.createDataFrame([("x",)], "sex string").select(recoded_sex(F.col("sex"))).collect()
+
+
+def test_ranks_of_odd_numbers(spark):
+    from herdplan.operators import report
+
+    values = [3.0, 1.0, 1.0, float("inf"), -float("inf"), float("nan"), 2.5, 3.0, 3.0, 1e9, float("nan")]
+    got = {str(r.x): r.rank for r in report.average_ranks(spark.createDataFrame([(v,) for v in values], "x double"), "x", "rank", 4).collect()}
+    assert got == {"-inf": 1.0, "1.0": 2.5, "2.5": 4.0, "3.0": 6.0, "1000000000.0": 8.0, "inf": 9.0, "nan": 10.5}
+    one = report.same_support(spark.createDataFrame([(1, 0.5), (2, 0.5)], "candidate_id long, c double"), spark.createDataFrame([(1, 0.4), (3, 0.6)], "candidate_id long, c double")).first()
+    assert not one.same and one.apart == pytest.approx(0.6)

@@ -37,7 +37,7 @@ def test_study_panels():
     assert np.allclose(g, g.T) and np.linalg.eigvalsh(g)[0] > 0 and g.diagonal().mean() == pytest.approx(1)
 
 
-@pytest.mark.parametrize("command", [["correctness"], ["frontier", "--caps", "3"], ["compare", "--simplex"], ["scale"]])
+@pytest.mark.parametrize("command", [["correctness"], ["frontier", "--caps", "3"], ["compare", "--simplex"], ["scale"], ["bench"]])
 def test_commands(spark, capsys, command):
     assert main([*command, "--n", "60", "--m", "30"]) == 0
     assert capsys.readouterr().out.count(",") >= 3
@@ -47,3 +47,13 @@ def test_unknown_command():
     with pytest.raises(SystemExit) as e:
         main(["nothing"])
     assert e.value.code == 2
+
+
+def test_generations_gain_and_lose_heterozygosity(spark):
+    """Both ways gain; the optimum at twenty effective parents keeps more variety
+    than mating the two best of each sex."""
+    best = breeding.generations(spark, 60, 30, 2, "truncation", n_best=2).toPandas()
+    plan = breeding.generations(spark, 60, 30, 2, "optimum", target=15.0).toPandas()
+    for x in (best, plan):
+        assert x.gen.tolist() == [0, 1, 2] and x.gain[0] == 0 and x.gain[2] > 0
+    assert plan.het[2] > best.het[2]
