@@ -160,11 +160,20 @@ def told_apart(signed: DataFrame) -> DataFrame:
     return signed.join(shared, "_hash", "left").withColumn("_node", F.when(other, F.xxhash64("_hash", "_check")).otherwise(F.col("_hash"))).drop("_first")
 
 
+def _sets_of(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Written rows (_node, _n, _set), one for each of the written ``ids``: copies
+    of a text are combined before the shuffle, however many there are."""
+    one = [F.first("_n").alias("_n"), F.first("_set").alias("_set")]
+    if ids.count() <= BROADCAST_ROWS:
+        return materialised(sets.join(F.broadcast(ids), "_node", "left_semi").groupBy("_node").agg(*one))
+    return materialised(sets.groupBy("_node").agg(*one).join(ids, "_node", "left_semi"))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The written pairs (a, b) whose shingle sets are similar enough."""
     few = pairs.count() <= BROADCAST_ROWS
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-    own = materialised(sets.join(F.broadcast(ids) if few else ids, "_node", "left_semi").groupBy("_node").agg(F.first("_set").alias("_set")))
+    ids = materialised(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct())
+    own = _sets_of(sets, ids)
     left = own.select(F.col("_node").alias("a"), F.col("_set").alias("sa"))
     right = own.select(F.col("_node").alias("b"), F.col("_set").alias("sb"))
     both = right.join(F.broadcast(pairs) if few else pairs, "b").join(left, "a").select("a", "b", "sa", "sb")
@@ -183,7 +192,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     out = materialised(both.mapInArrow(frugal(run), "a long, b long"))
-    discard(own)
+    discard(own, ids)
     return out
 
 
@@ -311,8 +320,9 @@ def _near(docs: DataFrame, key: str, text: str, words: int = WORDS, threshold: f
     # buckets of several components: all pairs between them that prefixes do not rule out
     held = members.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     mixed = held.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l < _m").select("bucket")
-    held = held.join(mixed, "bucket", "left_semi").select("b", "label").distinct()
-    own = materialised(sets.withColumnRenamed("_node", "b").join(held, "b").groupBy("b").agg(F.first("label").alias("label"), F.first("_n").alias("n"), F.first("_set").alias("_set")))
+    held = materialised(held.join(mixed, "bucket", "left_semi").select(F.col("b").alias("_node"), "label").distinct())
+    mine = _sets_of(sets, held.select("_node"))
+    own = mine.join(held, "_node").select(F.col("_node").alias("b"), "label", F.col("_n").alias("n"), "_set")
     prefixes = first = _prefixes(own, threshold)
     first = first.join(first.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l < _m").select("token"), "token", "left_semi")
     x = first.select("token", F.col("place").alias("_pa"), F.col("b").alias("a"), F.col("label").alias("_la"), F.col("n").alias("_na"))
@@ -321,7 +331,7 @@ def _near(docs: DataFrame, key: str, text: str, words: int = WORDS, threshold: f
     room = F.least(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb")) >= threshold / (1 + threshold) * (F.col("_na") + F.col("_nb")) - 1e-6
     cross = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & fits & room).select("a", "b").distinct()
     pairs = materialised(cross.join(stars, ["a", "b"], "left_anti"))
-    discard(members, stars, own, prefixes)
+    discard(members, stars, held, mine, prefixes)
     links, labels = _joined(links, labels, pairs, sets, threshold)
     discard(pairs)
     return _classes(docs, signed, labels, links, key, text), [written, links, labels]
