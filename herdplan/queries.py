@@ -102,19 +102,18 @@ def heterozygosity(x: Panel) -> DataFrame:
     return panel.heterozygosity(x.dosages).select(R(F.col("het")).alias("het"))
 
 
-_FULL = ", df AS (SELECT candidate_id, marker_id, coalesce(dosage, 0) AS dosage FROM d WHERE candidate_id < 40), mf AS (SELECT marker_id, avg(dosage) / 2 AS p FROM df GROUP BY 1), r AS (SELECT candidate_id, sum(p * dosage) AS r FROM df JOIN mf USING (marker_id) GROUP BY 1)"
+_FULL = ", df AS (SELECT candidate_id, marker_id, coalesce(dosage, 0) AS dosage FROM d), mf AS (SELECT marker_id, avg(dosage) / 2 AS p FROM df GROUP BY 1), r AS (SELECT candidate_id, sum(p * dosage) AS r FROM df JOIN mf USING (marker_id) GROUP BY 1)"
 
 
 def _full(x: Panel) -> tuple[DataFrame, DataFrame]:
-    """A complete small panel: the sub-panel's own frequencies."""
-    own = x.dosages.where("candidate_id < 40").select("candidate_id", "marker_id", F.coalesce("dosage", F.lit(0)).alias("dosage"))
+    """The panel without missing calls, and its own frequencies."""
+    own = x.dosages.select("candidate_id", "marker_id", F.coalesce("dosage", F.lit(0)).alias("dosage"))
     return own, own.groupBy("marker_id").agg((F.avg("dosage") / 2).alias("p"))
 
 
-@query(_FULL.replace(" WHERE candidate_id < 40", "") + " SELECT candidate_id, round(r, 6) + 0.0 AS r FROM r")
+@query(_FULL + " SELECT candidate_id, round(r, 6) + 0.0 AS r FROM r")
 def packed_scalars(x: Panel) -> DataFrame:
-    own = x.dosages.select("candidate_id", "marker_id", F.coalesce("dosage", F.lit(0)).alias("dosage"))
-    return panel.packed_scalars(own, own.groupBy("marker_id").agg((F.avg("dosage") / 2).alias("p"))).select("candidate_id", R(F.col("r")).alias("r"))
+    return panel.packed_scalars(*_full(x)).select("candidate_id", R(F.col("r")).alias("r"))
 
 
 @query(_FULL + """ SELECT i, j, round(g, 6) + 0.0 AS g FROM (SELECT a.candidate_id AS i, b.candidate_id AS j, sum((a.dosage - 2 * p) * (b.dosage - 2 * p)) / max(s) AS g
@@ -125,14 +124,6 @@ def gram_packed(x: Panel) -> DataFrame:
     return panel.gram_packed(own, markers, panel.vanraden_scale(markers)).select("i", "j", R(F.col("g")).alias("g"))
 
 
-@query()
-def gram_packed_whole(x: Panel) -> DataFrame:
-    """The same over the whole panel."""
-    own = x.dosages.select("candidate_id", "marker_id", F.coalesce("dosage", F.lit(0)).alias("dosage"))
-    markers = own.groupBy("marker_id").agg((F.avg("dosage") / 2).alias("p"))
-    return panel.gram_packed(own, markers, panel.vanraden_scale(markers)).select("i", "j", R(F.col("g")).alias("g"))
-
-
 @query(", best AS (SELECT candidate_id, b, row_number() OVER (ORDER BY b DESC, candidate_id) AS r FROM cand), top AS (SELECT max(candidate_id) AS t FROM cand) SELECT candidate_id, b FROM cand UNION ALL SELECT t + r, b FROM best, top WHERE r <= 5")
 def dup_candidates(x: Panel) -> DataFrame:
     return panel.add_clones(x.genotypes, x.candidates)[1].select("candidate_id", "b")
@@ -788,24 +779,15 @@ def read_artifacts(x: Panel) -> DataFrame:
     return meta.crossJoin(line).crossJoin(sizes)
 
 
-@query("SELECT count(*) AS cells, 0 AS wrong FROM d WHERE candidate_id < 200 AND marker_id < 24")
+@query("SELECT count(*) AS cells, 0 AS wrong FROM d")
 def scan_plink(x: Panel) -> DataFrame:
-    """The trio written from a part of the panel reads back as it was."""
-    return _read_back(x, x.dosages.where("candidate_id < 200 and marker_id < 24"))
-
-
-@query()
-def scan_plink_whole(x: Panel) -> DataFrame:
-    """The same over the whole panel."""
-    return _read_back(x, x.dosages)
-
-
-def _read_back(x: Panel, part: DataFrame) -> DataFrame:
+    """The trio written from the panel reads back as it was."""
     import numpy as np
 
     from .scratch import put, shared_folder
     from .sources import plink
 
+    part = x.dosages
     got = part.select("candidate_id", "marker_id", F.coalesce("dosage", F.lit(-1)).alias("d")).toArrow()
     i, j, d = (got.column(c).to_numpy() for c in ("candidate_id", "marker_id", "d"))
     calls = np.full((int(i.max()) + 1, int(j.max()) + 1), -1, d.dtype)
@@ -833,8 +815,8 @@ def gen_families(x: Panel) -> DataFrame:
     from .sources import generators
 
     g = generators.families(x.spark, 200, 30, 3)
-    a = g.where("candidate_id < 60").select(F.col("candidate_id").alias("i"), "marker_id", F.col("dosage").alias("d"), F.col("family").alias("f"))
-    b = g.where("candidate_id < 60").select(F.col("candidate_id").alias("j"), "marker_id", F.col("dosage").alias("e"), F.col("family").alias("h"))
+    a = g.select(F.col("candidate_id").alias("i"), "marker_id", F.col("dosage").alias("d"), F.col("family").alias("f"))
+    b = g.select(F.col("candidate_id").alias("j"), "marker_id", F.col("dosage").alias("e"), F.col("family").alias("h"))
     same = a.join(b, "marker_id").where("i < j").agg(F.avg(F.when(F.col("f") == F.col("h"), (F.col("d") == F.col("e")).cast("int"))).alias("own"), F.avg(F.when(F.col("f") != F.col("h"), (F.col("d") == F.col("e")).cast("int"))).alias("other"))
     return g.agg(F.countDistinct("family").cast("int").alias("families")).crossJoin(same.select((F.col("own") > F.col("other") + 0.1).alias("alike")))
 

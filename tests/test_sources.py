@@ -127,7 +127,7 @@ class Small:
 def test_whole_panel_products(spark, monkeypatch):
     x = Small(spark)
     monkeypatch.setattr(queries, "Panel", lambda *_: x)
-    got = queries.QUERIES["gram_packed_whole"](spark, "").toPandas()
+    got = queries.QUERIES["gram_packed"](spark, "").toPandas()
     d = np.maximum(x.calls, 0)
     p = d.mean(axis=0) / 2
     want = (d - 2 * p) @ (d - 2 * p).T / (2 * (p * (1 - p)).sum())
@@ -137,7 +137,7 @@ def test_whole_panel_products(spark, monkeypatch):
 def test_whole_panel_reads_back(spark, monkeypatch):
     x = Small(spark)
     monkeypatch.setattr(queries, "Panel", lambda *_: x)
-    assert queries.QUERIES["scan_plink_whole"](spark, "").first().asDict() == {"cells": 230 * 31, "wrong": 0}
+    assert queries.QUERIES["scan_plink"](spark, "").first().asDict() == {"cells": 230 * 31, "wrong": 0}
 
 
 def test_lines_are_numbered_over_blocks(spark, tmp_path):
