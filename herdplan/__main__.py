@@ -8,6 +8,9 @@
   compare       rows in Spark against the same panel in memory
   bench         marker totals of a dense and a sparse plan, rows against packed
                 calls, and a sweep of caps: agreement and seconds, as CSV
+  matrixfree    for each size: bytes of Z and of G, seconds to make G (not where it
+                passes --g-gib) and to solve without it, as CSV
+  parents       for each size: the optimum of --target effective parents, as CSV
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import panel, plan, report
-from .plans import frontier, solve_panel
+from .plans import cap_for_effective_size, frontier, solve_panel
 from .plans.api import solve_arrays
 from .sources import generators, tables
 
-COMMANDS = ("correctness", "frontier", "scale", "all", "report", "compare", "bench", "help")
+COMMANDS = ("correctness", "frontier", "scale", "all", "report", "compare", "bench", "matrixfree", "parents", "help")
 
 
 def make(spark: SparkSession, n: int, m: int, seed: int) -> tuple[DataFrame, DataFrame, float, float]:
@@ -95,6 +98,37 @@ def bench(spark: SparkSession, args) -> DataFrame:
     return spark.createDataFrame(out, "what string, seconds double, other_seconds double, apart double")
 
 
+def matrix_free(spark: SparkSession, args) -> DataFrame:
+    """Rows of tables.MATRIX_FREE."""
+    out = []
+    for n in args.sizes:
+        rows, z, s, mean = make(spark, n, args.m, args.seed)
+        g_gib, build = n * n / 2**27, "infeasible"
+        if g_gib <= args.g_gib:
+            began = time.time()
+            panel.relationship_pairs(z, spark.createDataFrame([(float(s),)], "s double")).write.format("noop").mode("overwrite").save()
+            build = f"{time.time() - began:.3f}"
+        began = time.time()
+        got = solve_panel(rows, args.k_frac * mean, s, args.ridge, not args.simplex)
+        out.append((n, args.m, n * args.m / 2**27, g_gib, build, time.time() - began, len(got.ids), got.status))
+        rows.unpersist()
+    return spark.createDataFrame(out, tables.MATRIX_FREE)
+
+
+def parents(spark: SparkSession, args) -> DataFrame:
+    """Rows of tables.SIZES: the cap is bisected to the target."""
+    out = []
+    for n in args.sizes:
+        rows, z, s, mean = make(spark, n, args.m, args.seed)
+        began = time.time()
+        got, size = cap_for_effective_size(rows, args.target, 1e-4 * mean, 2 * mean, s, args.ridge, not args.simplex)
+        took, males = time.time() - began, {r["candidate_id"] for r in rows.where("male").select("candidate_id").collect()}
+        of_males = sum(i in males for i in got.ids)
+        out.append(("simplex" if args.simplex else "sexed", n, args.m, float(got.k), float(got.quad), len(got.ids), of_males, len(got.ids) - of_males, size, 50 / size, took, got.status))
+        rows.unpersist()
+    return spark.createDataFrame(out, tables.SIZES)
+
+
 def one_size(spark: SparkSession, n: int, m: int, args) -> tuple:
     rows, z, s, mean = make(spark, n, m, args.seed)
     began = time.time()
@@ -118,6 +152,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--caps", type=int, default=8, help="points of a frontier")
     p.add_argument("--sizes", type=lambda t: [int(x) for x in t.split(",")], default=[250, 500, 1000])
     p.add_argument("--simplex", action="store_true", help="one budget instead of one for each sex")
+    p.add_argument("--target", type=float, default=20.0, help="effective parents")
+    p.add_argument("--g-gib", type=float, default=4.0, help="largest relationship matrix that is made")
     p.add_argument("--points")
     p.add_argument("--frontier", dest="frontier_path")
     args = p.parse_args(argv)
@@ -141,8 +177,8 @@ def main(argv: list[str] | None = None) -> int:
         show(points)
         if args.command == "scale":
             return 0
-    if args.command == "bench":
-        show(bench(spark, args))
+    if args.command in ("bench", "matrixfree", "parents"):
+        show({"bench": bench, "matrixfree": matrix_free, "parents": parents}[args.command](spark, args))
         return 0
     rows, z, s, mean = make(spark, args.n, args.m, args.seed)
     if args.command in ("frontier", "all"):

@@ -37,7 +37,7 @@ def test_study_panels():
     assert np.allclose(g, g.T) and np.linalg.eigvalsh(g)[0] > 0 and g.diagonal().mean() == pytest.approx(1)
 
 
-@pytest.mark.parametrize("command", [["correctness"], ["frontier", "--caps", "3"], ["compare", "--simplex"], ["scale"], ["bench"]])
+@pytest.mark.parametrize("command", [["correctness"], ["frontier", "--caps", "3"], ["compare", "--simplex"], ["scale"], ["bench"], ["matrixfree", "--sizes", "40,60", "--g-gib", "0.00002"], ["parents", "--sizes", "60", "--target", "8"]])
 def test_commands(spark, capsys, command):
     assert main([*command, "--n", "60", "--m", "30"]) == 0
     assert capsys.readouterr().out.count(",") >= 3
