@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .operators import panel, plan, report
 from .plans import cap_for_effective_size, frontier, solve_panel
 from .plans.api import solve_arrays
+from .plans.pricing import LOCAL_BYTES
 from .sources import generators, tables
 
 COMMANDS = ("correctness", "frontier", "scale", "all", "report", "compare", "bench", "matrixfree", "parents", "help")
@@ -90,7 +91,7 @@ def bench(spark: SparkSession, args) -> DataFrame:
         one.close(), two.close()
     out.append(("optimum: rows, packed calls", tx, ty, abs(x.gain - y.gain)))
     for f in (0.1, 0.2, 0.4):
-        (x, tx) = timed(lambda f=f: solve_panel(rows, f * mean, s, args.ridge))
+        (x, tx) = timed(lambda f=f: solve_panel(rows, f * mean, s, args.ridge, local_bytes=0))
         own = rows.orderBy("candidate_id").toPandas()
         (y, ty) = timed(lambda f=f: solve_arrays(np.stack(own["z"]), own["b"].to_numpy(), f * mean, s=s, ridge=args.ridge, male=own["male"].to_numpy()))
         out.append((f"cap {f:g}: Spark, memory", tx, ty, abs(x.gain - y.gain)))
@@ -188,7 +189,7 @@ def main(argv: list[str] | None = None) -> int:
             row = report.verdict(points, line, reach=max(args.sizes)).first().asDict()
             print(tables.verdict_markdown(row, {"max_n": max(args.sizes)}, [r.asDict() for r in points.orderBy("n").collect()], [r.asDict() for r in line.orderBy("k").collect()]))
         return 0
-    got = solve_panel(rows, args.k_frac * mean, s, args.ridge, not args.simplex)
+    got = solve_panel(rows, args.k_frac * mean, s, args.ridge, not args.simplex, local_bytes=0 if args.command == "compare" else LOCAL_BYTES)
     say(repr(got))
     if args.command == "correctness":
         c = got.contributions(spark)

@@ -11,18 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .api import Selection, grouped, select
-from .pricing import LocalPricer, RowPricer
-
-#: Panels below this size are solved whole in one task for each cap.
-LOCAL_BYTES = 64 << 20
-
-
-def _local(rows: DataFrame) -> tuple[np.ndarray, ...]:
-    got = rows.select("candidate_id", "z", "b", F.coalesce(F.col("cap").cast("double"), F.lit(float("inf"))).alias("cap"), "group").orderBy("candidate_id").toArrow()
-    n = got.num_rows
-    z = np.asarray(got.column("z").combine_chunks().flatten(), float).reshape(n, -1)
-    return (np.asarray(got.column("candidate_id")), z, *(np.asarray(got.column(c)) for c in ("b", "cap", "group")))
-
+from .pricing import LOCAL_BYTES, LocalPricer, RowPricer, local_rows, pricer_for
 
 def frontier(rows: DataFrame, ks: Sequence[float], scale: float, ridge: float = 1e-5, sexed: bool = True, capped: bool = False) -> DataFrame:
     """(k, quad, gain, feasible, n_support) for each cap. A small panel, by its
@@ -31,17 +20,17 @@ def frontier(rows: DataFrame, ks: Sequence[float], scale: float, ridge: float =
     spark = rows.sparkSession
     ship(spark)
     own = grouped(rows if capped else rows.withColumn("cap", F.lit(None).cast("double")), sexed)
-    size = own.agg((F.count("*") * F.max(F.size("z")) * 8).alias("bytes")).first()["bytes"] or 0
+    small = local_rows(own)
     budgets = [0.5, 0.5] if sexed else [1.0]
     schema = "k double, quad double, gain double, feasible boolean, n_support int"
-    if size > LOCAL_BYTES:
+    if small is None:
         pricer = RowPricer(own)
         try:
             done = [select(pricer, budgets, k, scale, ridge) for k in ks]
         finally:
             pricer.close()
         return spark.createDataFrame([(x.k, x.quad, x.gain, x.solved, len(x.ids)) for x in done], schema)
-    data = spark.sparkContext.broadcast(_local(own))
+    data = spark.sparkContext.broadcast(small)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         out = [select(LocalPricer(*data.value), budgets, float(k), scale, ridge) for k in part["k"]]
@@ -51,10 +40,10 @@ def frontier(rows: DataFrame, ks: Sequence[float], scale: float, ridge: float =
     return points.groupBy("k").applyInPandas(solve, schema)
 
 
-def cap_for_effective_size(rows: DataFrame, target: float, low: float, high: float, scale: float, ridge: float = 1e-5, sexed: bool = True, within: float = 0.01, steps: int = 40) -> tuple[Selection, float]:
+def cap_for_effective_size(rows: DataFrame, target: float, low: float, high: float, scale: float, ridge: float = 1e-5, sexed: bool = True, within: float = 0.01, steps: int = 40, local_bytes: int = LOCAL_BYTES) -> tuple[Selection, float]:
     """Bisects the cap until 1 / sum c^2 is within a share of the target: a
     looser cap concentrates contributions. An infeasible cap is loosened."""
-    pricer = RowPricer(grouped(rows.withColumn("cap", F.lit(None).cast("double")), sexed))
+    pricer = pricer_for(grouped(rows.withColumn("cap", F.lit(None).cast("double")), sexed), local_bytes)
     budgets, best = ([0.5, 0.5] if sexed else [1.0]), None
     try:
         for _ in range(steps):

@@ -711,7 +711,7 @@ def support_equality(x: Panel) -> DataFrame:
         s, got = x.scale.first()["s"], rows.orderBy("candidate_id").toArrow()
         z, ids = np.array(got.column("z").to_pylist()), got.column("candidate_id").to_numpy()
         k = 0.1 * float((z * z).sum() / len(z)) / s
-        one = solve_panel(rows, k, s)
+        one = solve_panel(rows, k, s, local_bytes=0)
         two = solve_arrays(z, got.column("b").to_numpy(), k, s=s, male=got.column("male").to_numpy(zero_copy_only=False))
     finally:
         rows.unpersist()
