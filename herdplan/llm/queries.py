@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op10_ann
+from .byte_bpe import op12_byte_bpe
 from .decontaminate import op1_decontaminate
+from .fill_in_middle import op13_fill_in_middle
 from .lattice_lm import op8_lm
 from .near_dup import op4_near_dup
 from .packing import op3_packing
@@ -16,10 +18,11 @@ from .secret_scan import op6_secret_scan
 from .sharding import op7_sharding
 from .substring_dedup import op9_substring_dedup
 from .toxicity import op2_toxicity
+from .whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_toxicity, op3_packing, op4_near_dup, op5_quality, op6_secret_scan, op7_sharding, op8_lm, op9_substring_dedup, op10_ann)
+    for f in (op1_decontaminate, op2_toxicity, op3_packing, op4_near_dup, op5_quality, op6_secret_scan, op7_sharding, op8_lm, op9_substring_dedup, op10_ann, op11_whitening, op12_byte_bpe, op13_fill_in_middle)
 }
 
 #: Runs of words under each mask are compared as text here, not by hash; items
@@ -71,6 +74,19 @@ agg AS (SELECT r, sum(c) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN agg USING (r)
 """
 
+#: A unit is a line; a text that is to be rebuilt is cut at the marks again.
+_FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT doc_id, text, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, CAST(i AS INTEGER), 8) AS BIGINT)) AS r FROM d),
+f AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+c AS (SELECT *, array_to_string(u[1 : a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 :], '') AS s FROM f),
+o AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END AS output FROM c),
+back AS (SELECT *, CASE form WHEN 'plain' THEN output WHEN 'psm' THEN split_part(split_part(output, '<S>', 1), '<P>', 2) || split_part(output, '<M>', 2) || split_part(split_part(output, '<M>', 1), '<S>', 2)
+        ELSE split_part(split_part(output, '<M>', 1), '<P>', 2) || split_part(output, '<M>', 2) || split_part(split_part(output, '<P>', 1), '<S>', 2) END AS again FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars, sha256(output) AS output_sha256, sha256(again) AS restored_sha256 FROM back
+"""
+
 #: The others hold what SQL cannot say: trained models, a random deal, packing by
 #: steps, an approximate search, closed components; tests use brute force there.
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op6_secret_scan": _SECRETS, "op9_substring_dedup": _SUBSTRINGS}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op6_secret_scan": _SECRETS, "op9_substring_dedup": _SUBSTRINGS, "op13_fill_in_middle": _FILL_IN_MIDDLE}
