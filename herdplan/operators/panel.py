@@ -76,11 +76,12 @@ def caps_from_least(genotypes: DataFrame, scale: DataFrame, share: float, ridge:
     return totals.crossJoin(own).crossJoin(scale).select((least + share * (mean - least)).alias("k_between"), (1.04 * bare / 2).alias("k_tight"))
 
 
-def pair_products(long: DataFrame, value: str, block: int = BLOCK) -> DataFrame:
+def pair_products(long: DataFrame, value: str, block: int = BLOCK, over: float | None = None) -> DataFrame:
     """(i, j, v), i <= j: sums of products of ``value`` over markers, 0 where it
     is not there. Candidates are dealt to blocks by a hash of their id; each pair
     of blocks is one matrix product in one task, so no task meets a marker's whole
-    column. All pairs are what is asked for: for panels whose pair table fits."""
+    column. All pairs are what is asked for, or those of a product above ``over``,
+    the others then never leaving the task: for panels whose pair table fits."""
     ship(long.sparkSession)
     parts = max(1, -(-long.select("candidate_id").distinct().count() // block))
     cells = F.sort_array(F.collect_list(F.struct("marker_id", F.col(value).cast("double").alias("v"))))
@@ -99,6 +100,8 @@ def pair_products(long: DataFrame, value: str, block: int = BLOCK) -> DataFrame:
         left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
         v, i, j = m[left] @ m[right].T, np.repeat(ids[left], len(right)), np.tile(ids[right], len(left))
         keep = i <= j if a == b else np.ones(len(i), bool)
+        if over is not None:
+            keep &= v.ravel() > over
         return pa.table({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "v": v.ravel()[keep]})
 
     return wide.select("candidate_id", "cells", "own", F.inline(pairs)).groupBy("a", "b").applyInArrow(product, "i long, j long, v double")

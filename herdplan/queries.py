@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,14 @@ ORACLE_SQL: dict[str, str] = {}
 R = rounded
 
 
-def query(sql: str | None = None, tables: str = fixtures.SQL):
+def query(sql: str | None = None, tables: str = fixtures.SQL, recursive: bool = False):
     """Registers a function of a Panel; sql follows the panel's expressions."""
+    word = "WITH RECURSIVE" if recursive else "WITH"
 
     def add(f: Callable[[Panel], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Panel(spark, sf_dir))
         if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {tables} {sql}" if sql.lstrip()[:1] != "," else f"WITH {tables}{sql}"
+            ORACLE_SQL[f.__name__] = f"{word} {tables} {sql}" if sql.lstrip()[:1] != "," else f"{word} {tables}{sql}"
         return f
 
     return add
@@ -451,6 +453,16 @@ def _rows(x: Panel, cap: bool = False) -> DataFrame:
     return wide.join(x.candidates, "candidate_id").select("candidate_id", "z", "b", "male", F.lit(0.05).alias("cap") if cap else F.lit(None).cast("double").alias("cap"))
 
 
+@contextmanager
+def rows_of(x: Panel, cap: bool = False):
+    """(rows, scale): the panel's rows, made once and held while they are used."""
+    rows = _rows(x, cap).persist()
+    try:
+        yield rows, x.scale.first()["s"]
+    finally:
+        rows.unpersist()
+
+
 def _scalars(x: Panel) -> tuple[float, float]:
     row = x.scale.crossJoin(panel.mean_diagonal(x.genotypes, x.scale)).first()
     return row["s"], row["mean_diag"]
@@ -588,22 +600,6 @@ def kernel_identity(x: Panel) -> DataFrame:
     return x.spark.createDataFrame([(bool(all(good)),)], "holds boolean")
 
 
-@query()
-def spectrum_summary(x: Panel) -> DataFrame:
-    """Participation ratio, stable rank and rank of G from the m x m Gram of
-    markers, summed in Spark."""
-    import numpy as np
-
-    a = x.genotypes.select("candidate_id", F.col("marker_id").alias("i"), F.col("z").alias("zi"))
-    b = x.genotypes.select("candidate_id", F.col("marker_id").alias("j"), F.col("z").alias("zj"))
-    gram = a.join(b, "candidate_id").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("g")).crossJoin(x.scale).select("i", "j", (F.col("g") / F.col("s")).alias("g")).toArrow()
-    i, j, g = (gram.column(c).to_numpy() for c in ("i", "j", "g"))
-    full = np.zeros((int(j.max()) + 1,) * 2)
-    full[i, j] = full[j, i] = g
-    e = np.clip(np.linalg.eigvalsh(full), 0, None)
-    return x.spark.createDataFrame([(float(e.sum() ** 2 / (e**2).sum()), float(e.sum() / e.max()), int((e > 1e-9 * e.max()).sum()))], "participation double, stable_rank double, rank int")
-
-
 @query(", g AS (SELECT a.marker_id AS i, b.marker_id AS j, sum(a.z * b.z) / max(s) AS g FROM z a JOIN z b ON a.candidate_id = b.candidate_id, sc GROUP BY 1, 2) SELECT round(sum(CASE WHEN i = j THEN g END) * sum(CASE WHEN i = j THEN g END) / sum(g * g), 5) AS participation FROM g")
 def spectrum_participation(x: Panel) -> DataFrame:
     """trace(G)^2 / |G|^2 from the Gram of markers: no eigenvalue is needed."""
@@ -830,3 +826,6 @@ def gen_pedigree(x: Panel) -> DataFrame:
     parent = g.select(F.col("candidate_id").alias("sire"), "marker_id", F.col("dosage").alias("of_sire"))
     ok = (F.col("sire").isNull()) | ~(((F.col("of_sire") == 2) & (F.col("dosage") == 0)) | ((F.col("of_sire") == 0) & (F.col("dosage") == 2)))
     return g.join(parent, ["sire", "marker_id"], "left").groupBy("generation").agg(F.countDistinct("candidate_id").cast("int").alias("n"), F.bool_and(ok).alias("mendelian"))
+
+
+from . import study_queries  # noqa: E402, F401  (registers its own)

@@ -23,6 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/herdplan-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder: what a loop needs so that its plan
+    stays small and a lost executor costs one step."""
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession).rsplit("/", 1)[0])
+    return df.checkpoint()
+
+
 def _open(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
