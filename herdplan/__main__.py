@@ -26,9 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import panel, plan, report
-from .plans import cap_for_effective_size, frontier, solve_panel
+from .plans import cap_for_effective_size, frontier, frontier_table, solve_panel
 from .plans.api import solve_arrays
-from .plans.pricing import LOCAL_BYTES
 from .sources import generators, tables
 
 COMMANDS = ("correctness", "frontier", "scale", "all", "report", "compare", "bench", "matrixfree", "parents", "help")
@@ -91,7 +90,7 @@ def bench(spark: SparkSession, args) -> DataFrame:
         one.close(), two.close()
     out.append(("optimum: rows, packed calls", tx, ty, abs(x.gain - y.gain)))
     for f in (0.1, 0.2, 0.4):
-        (x, tx) = timed(lambda f=f: solve_panel(rows, f * mean, s, args.ridge, local_bytes=0))
+        (x, tx) = timed(lambda f=f: solve_panel(rows, f * mean, s, args.ridge))
         own = rows.orderBy("candidate_id").toPandas()
         (y, ty) = timed(lambda f=f: solve_arrays(np.stack(own["z"]), own["b"].to_numpy(), f * mean, s=s, ridge=args.ridge, male=own["male"].to_numpy()))
         out.append((f"cap {f:g}: Spark, memory", tx, ty, abs(x.gain - y.gain)))
@@ -117,12 +116,12 @@ def matrix_free(spark: SparkSession, args) -> DataFrame:
 
 
 def parents(spark: SparkSession, args) -> DataFrame:
-    """Rows of tables.SIZES: the cap is bisected to the target."""
+    """Rows of tables.SIZES: the point of the critical line that meets the target."""
     out = []
     for n in args.sizes:
         rows, z, s, mean = make(spark, n, args.m, args.seed)
         began = time.time()
-        got, size = cap_for_effective_size(rows, args.target, 1e-4 * mean, 2 * mean, s, args.ridge, not args.simplex)
+        got, size = cap_for_effective_size(rows, args.target, s, args.ridge, not args.simplex)
         took, males = time.time() - began, {r["candidate_id"] for r in rows.where("male").select("candidate_id").collect()}
         of_males = sum(i in males for i in got.ids)
         out.append(("simplex" if args.simplex else "sexed", n, args.m, float(got.k), float(got.quad), len(got.ids), of_males, len(got.ids) - of_males, size, 50 / size, took, got.status))
@@ -155,6 +154,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--simplex", action="store_true", help="one budget instead of one for each sex")
     p.add_argument("--target", type=float, default=20.0, help="effective parents")
     p.add_argument("--g-gib", type=float, default=4.0, help="largest relationship matrix that is made")
+    p.add_argument("--in-memory", type=int, default=0, help="MB up to which a panel is solved in memory")
     p.add_argument("--points")
     p.add_argument("--frontier", dest="frontier_path")
     args = p.parse_args(argv)
@@ -183,13 +183,13 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     rows, z, s, mean = make(spark, args.n, args.m, args.seed)
     if args.command in ("frontier", "all"):
-        line = frontier(rows, np.linspace(0.08, 0.8, args.caps) * mean, s, args.ridge, not args.simplex)
+        line = frontier_table(rows, frontier(rows, np.linspace(0.08, 0.8, args.caps) * mean, s, args.ridge, not args.simplex))
         show(line.orderBy("k"))
         if args.command == "all":
             row = report.verdict(points, line, reach=max(args.sizes)).first().asDict()
             print(tables.verdict_markdown(row, {"max_n": max(args.sizes)}, [r.asDict() for r in points.orderBy("n").collect()], [r.asDict() for r in line.orderBy("k").collect()]))
         return 0
-    got = solve_panel(rows, args.k_frac * mean, s, args.ridge, not args.simplex, local_bytes=0 if args.command == "compare" else LOCAL_BYTES)
+    got = solve_panel(rows, args.k_frac * mean, s, args.ridge, not args.simplex, local_bytes=args.in_memory << 20)
     say(repr(got))
     if args.command == "correctness":
         c = got.contributions(spark)

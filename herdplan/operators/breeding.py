@@ -70,20 +70,17 @@ def population(haplotypes: DataFrame, effects: DataFrame) -> tuple[DataFrame, Da
 
 
 def crossing_round(haplotypes: DataFrame, effects: DataFrame, offspring: int, method: str, seed: int, target: float = 20.0, n_best: int = 25, ridge: float = 2e-5) -> DataFrame:
-    """Haplotypes of the next generation. 'optimum': the cap is bisected, from
-    the uniform plan's coancestry to the greedy plan's, until the optimum has
-    ``target`` effective parents within two per cent, and parents are drawn in
-    proportion to it; 'truncation': among the n_best of each sex."""
+    """Haplotypes of the next generation. 'optimum': the plan on the critical line
+    that has ``target`` effective parents, in proportion to which parents are
+    drawn; 'truncation': among the n_best of each sex."""
     from ..plans import cap_for_effective_size
-    from .plan import coancestry, greedy_plan, uniform_plan
 
     candidates, genotypes, markers = population(haplotypes, effects)
     if method == "truncation":
         return settled(gametes(draw_best(candidates, offspring, seed, n_best), haplotypes, seed))
     candidates, scale = settled(candidates), panel.vanraden_scale(markers)
-    ends = [coancestry(genotypes, p, scale).first()["quad"] + ridge for p in (uniform_plan(candidates), greedy_plan(candidates))]
     rows = panel.widen(genotypes).join(candidates, "candidate_id").withColumn("cap", F.lit(None).cast("double"))
-    found, _ = cap_for_effective_size(rows, target, ends[0], ends[1], scale.first()["s"], ridge, within=0.02, steps=25)
+    found, _ = cap_for_effective_size(rows, target, scale.first()["s"], ridge)
     plan = found.contributions(haplotypes.sparkSession).join(candidates.select("candidate_id", "male"), "candidate_id")
     return settled(gametes(draw_parents(plan, offspring, seed), haplotypes, seed))
 

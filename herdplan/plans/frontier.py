@@ -5,60 +5,40 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .api import Selection, grouped, select
-from .pricing import LOCAL_BYTES, LocalPricer, RowPricer, local_rows, pricer_for
+from .api import Selection, grouped, select_all
+from .master import Goal
+from .pricing import pricer_for
 
-def frontier(rows: DataFrame, ks: Sequence[float], scale: float, ridge: float = 1e-5, sexed: bool = True, capped: bool = False) -> DataFrame:
-    """(k, quad, gain, feasible, n_support) for each cap. A small panel, by its
-    counted size, goes to every task whole; a large one is priced in Spark, one
-    cap after the other."""
-    spark = rows.sparkSession
-    ship(spark)
+
+def _solved(rows: DataFrame, goals: Sequence[Goal], scale: float, ridge: float, sexed: bool, capped: bool, local_bytes: int, held: bool) -> list[Selection]:
     own = grouped(rows if capped else rows.withColumn("cap", F.lit(None).cast("double")), sexed)
-    small = local_rows(own)
-    budgets = [0.5, 0.5] if sexed else [1.0]
-    schema = "k double, quad double, gain double, feasible boolean, n_support int"
-    if small is None:
-        pricer = RowPricer(own)
-        try:
-            done = [select(pricer, budgets, k, scale, ridge) for k in ks]
-        finally:
-            pricer.close()
-        return spark.createDataFrame([(x.k, x.quad, x.gain, x.solved, len(x.ids)) for x in done], schema)
-    data = spark.sparkContext.broadcast(small)
+    pricer = pricer_for(own, local_bytes, held)
+    try:
+        return select_all(pricer, [0.5, 0.5] if sexed else [1.0], goals, scale, ridge)
+    finally:
+        pricer.close()
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        out = [select(LocalPricer(*data.value), budgets, float(k), scale, ridge) for k in part["k"]]
-        return pd.DataFrame([(x.k, x.quad, x.gain, x.solved, len(x.ids)) for x in out], columns=["k", "quad", "gain", "feasible", "n_support"])
 
-    points = spark.createDataFrame([(float(k),) for k in ks], "k double")
-    return points.groupBy("k").applyInPandas(solve, schema)
+def frontier(rows: DataFrame, ks: Sequence[float], scale: float, ridge: float = 1e-5, sexed: bool = True, capped: bool = False, local_bytes: int = 0, held: bool = False) -> list[Selection]:
+    """The optimum for each cap: one working set and one pricing pass serve all of
+    them, so passes do not grow with the number of caps."""
+    return _solved(rows, [Goal(float(k)) for k in ks], scale, ridge, sexed, capped, local_bytes, held)
 
 
-def cap_for_effective_size(rows: DataFrame, target: float, low: float, high: float, scale: float, ridge: float = 1e-5, sexed: bool = True, within: float = 0.01, steps: int = 40, local_bytes: int = LOCAL_BYTES) -> tuple[Selection, float]:
-    """Bisects the cap until 1 / sum c^2 is within a share of the target: a
-    looser cap concentrates contributions. An infeasible cap is loosened."""
-    pricer = pricer_for(grouped(rows.withColumn("cap", F.lit(None).cast("double")), sexed), local_bytes)
-    budgets, best = ([0.5, 0.5] if sexed else [1.0]), None
-    try:
-        for _ in range(steps):
-            k = (low + high) / 2
-            got = select(pricer, budgets, k, scale, ridge)
-            if not got.solved:
-                low = k
-                continue
-            size = 1 / float(np.sum(got.c**2))
-            best = (got, size)
-            if abs(size - target) <= within * target:
-                break
-            low, high = (k, high) if size > target else (low, k)
-    finally:
-        pricer.close()
-    if best is None:
-        raise ValueError("no cap in the range is feasible")
-    return best
+def frontier_table(rows: DataFrame, found: Sequence[Selection]) -> DataFrame:
+    """(k, quad, gain, feasible, n_support) of a frontier."""
+    return rows.sparkSession.createDataFrame([(float(x.k), float(x.quad), float(x.gain), x.solved, len(x.ids)) for x in found], "k double, quad double, gain double, feasible boolean, n_support int")
+
+
+def cap_for_effective_size(rows: DataFrame, target: float, scale: float, ridge: float = 1e-5, sexed: bool = True, capped: bool = False, local_bytes: int = 0, held: bool = False) -> tuple[Selection, float]:
+    """(selection, size) at the point of the critical line where 1 / sum c^2 meets
+    the target: one walk over the working set and the passes of one solve. Its
+    coancestry is the cap that gives the size. Where the plan of most gain is at
+    or above the target already, that plan; an error where no plan reaches it."""
+    got = _solved(rows, [Goal(square=1.0 / target)], scale, ridge, sexed, capped, local_bytes, held)[0]
+    if not got.solved:
+        raise ValueError("no plan has so many effective parents")
+    return got, 1 / float(np.sum(got.c**2))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import RidgeExhausted
 from ..shipping import ship
 
 #: Eigenvalues up to this share of the largest are zero.
@@ -155,6 +156,18 @@ def extremes(products: Products, ridge: float, block: int = 64) -> tuple[float,
     return ridge + (float(e[-1]) if len(e) >= products.n else 0.0), ridge + float(e[0])
 
 
+def escalated(products: Products, ridge: float, least: float, most_tries: int, block: int = 64) -> tuple[float, int, float]:
+    """(ridge, tries, condition): the ridge grows tenfold until the least eigenvalue
+    of G + ridge I is above ``least``; G's own ends are found once, whatever the
+    number of tries."""
+    low, high = extremes(products, 0.0, block)
+    for tries in range(1, most_tries + 1):
+        if low + ridge > least:
+            return ridge, tries, (high + ridge) / (low + ridge)
+        ridge *= 10
+    raise RidgeExhausted(f"no ridge up to {ridge / 10:g} is enough")
+
+
 def conjugate_gradients(apply: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, rhs: np.ndarray, tol: float = 1e-13, most: int = 1000) -> np.ndarray:
     """Solves A y = rhs, preconditioned by the diagonal; one product an iteration."""
     y, r = np.zeros_like(rhs), rhs.copy()

@@ -347,47 +347,61 @@ def unit_convert(x: Panel) -> DataFrame:
 
 # -- reports
 
-_POINTS = """pts(n, seconds, ridge, rss_mb, solved, feasible) AS (VALUES (100, 0.002e0, 1e-5, 30e0, TRUE, TRUE), (500, 0.21e0, 1e-5, 120e0, TRUE, TRUE), (1000, 1.66e0, 1e-5, 250e0, TRUE, TRUE),
- (2000, 12.84e0, 1e-5, 610e0, TRUE, TRUE), (5000, 191.3e0, 1e-5, 2630e0, TRUE, TRUE), (10000, 1815.5e0, 1e-5, 8800e0, TRUE, TRUE)),
- front(k, gain) AS (VALUES (0.1e0, 1.0e0), (0.2e0, 1.4e0), (0.3e0, 1.39e0), (0.4e0, 1.8e0))"""
+#: Runs of growing size: order lines by the power of two below their quantity.
+_POINTS = """pts AS (SELECT CAST(count(*) AS INTEGER) AS n, sum(l_quantity) / 1000 AS seconds, max(l_tax) * 1e-4 AS ridge, sum(l_extendedprice) / 1e6 AS rss_mb, min(l_discount) >= 0 AS solved, max(l_discount) <= 0.1 + 1e-9 AS feasible
+ FROM lineitem GROUP BY floor(log2(l_quantity + 0.5))),
+ front AS (SELECT l_discount AS k, round(avg(l_quantity), 9) AS gain FROM lineitem GROUP BY 1),
+ fall AS (SELECT greatest(coalesce(lag(gain) OVER (ORDER BY k) - gain, 0), 0) AS fall FROM front),
+ two AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY n DESC, seconds DESC) AS r FROM pts WHERE solved) WHERE r <= 2),
+ growth AS (SELECT CASE WHEN max(n) <> min(n) THEN ln(max(CASE WHEN r = 1 THEN seconds END) / max(CASE WHEN r = 2 THEN seconds END)) / ln(max(n) / min(n)) END AS e FROM two)"""
+_LABEL = "CASE WHEN e IS NULL THEN 'undefined' WHEN e < 2.85 THEN 'sub-cubic' WHEN e <= 3.15 THEN 'essentially cubic' WHEN e <= 3.6 THEN 'marginally super-cubic' ELSE 'super-cubic' END"
 
 
 def _points(x: Panel) -> DataFrame:
-    rows = [(100, 0.002, 30.0), (500, 0.21, 120.0), (1000, 1.66, 250.0), (2000, 12.84, 610.0), (5000, 191.3, 2630.0), (10000, 1815.5, 8800.0)]
-    return x.spark.createDataFrame([(n, s, 1e-5, rss, True, True) for n, s, rss in rows], "n int, seconds double, ridge double, rss_mb double, solved boolean, feasible boolean")
+    lines = x.spark.read.parquet(f"{x.sf_dir}/lineitem.parquet")
+    return lines.groupBy(F.floor(F.log2(F.col("l_quantity") + 0.5)).alias("power")).agg(
+        F.count("*").cast("int").alias("n"), (F.sum("l_quantity") / 1000).alias("seconds"), (F.max("l_tax") * 1e-4).alias("ridge"), (F.sum("l_extendedprice") / 1e6).alias("rss_mb"),
+        (F.min("l_discount") >= 0).alias("solved"), (F.max("l_discount") <= 0.1 + 1e-9).alias("feasible"),
+    ).drop("power")
 
 
 def _front(x: Panel) -> DataFrame:
-    return x.spark.createDataFrame([(0.1, 1.0), (0.2, 1.4), (0.3, 1.39), (0.4, 1.8)], "k double, gain double")
+    lines = x.spark.read.parquet(f"{x.sf_dir}/lineitem.parquet")
+    return lines.groupBy(F.col("l_discount").alias("k")).agg(R(F.avg("l_quantity"), 9).alias("gain"))
 
 
-@query("SELECT round(max(fall), 6) AS worst, max(fall) <= 1e-9 AS monotone FROM (SELECT greatest(coalesce(lag(gain) OVER (ORDER BY k) - gain, 0), 0) AS fall FROM front)", tables=_POINTS)
+@query("SELECT round(max(fall), 6) AS worst, max(fall) <= 1e-9 AS monotone FROM fall", tables=_POINTS)
 def frontier_check(x: Panel) -> DataFrame:
     return report.frontier_check(_front(x)).select(R(F.col("worst")).alias("worst"), "monotone")
 
 
-@query("SELECT round(ln(1815.5e0 / 191.3e0) / ln(10000 / 5000), 6) AS exponent, 'marginally super-cubic' AS label FROM pts LIMIT 1", tables=_POINTS)
+@query(f"SELECT round(e, 6) AS exponent, {_LABEL} AS label FROM growth", tables=_POINTS)
 def growth_exponent(x: Panel) -> DataFrame:
     return report.growth_exponent(_points(x)).select(R(F.col("exponent")).alias("exponent"), "label")
 
 
-@query("SELECT bool_and(solved) AS all_solved, bool_and(feasible) AS all_feasible, max(ridge) AS max_ridge, max(CASE WHEN solved THEN n END) AS max_n, max(rss_mb) AS max_rss_mb FROM pts", tables=_POINTS)
+@query("SELECT bool_and(solved) AS all_solved, bool_and(feasible) AS all_feasible, round(max(ridge), 12) AS max_ridge, max(CASE WHEN solved THEN n END) AS max_n, round(max(rss_mb), 6) AS max_rss_mb FROM pts", tables=_POINTS)
 def verdict_criteria(x: Panel) -> DataFrame:
-    return report.verdict(_points(x), _front(x)).select("all_solved", "all_feasible", "max_ridge", "max_n", "max_rss_mb")
+    return report.verdict(_points(x), _front(x)).select("all_solved", "all_feasible", F.round("max_ridge", 12).alias("max_ridge"), "max_n", R(F.col("max_rss_mb")).alias("max_rss_mb"))
 
 
-@query("SELECT 'NO-GO' AS verdict, FALSE AS monotone FROM pts LIMIT 1", tables=_POINTS)
+@query(
+    """SELECT CASE WHEN a.s AND a.f AND m.mono AND a.ridge <= 1e-3 AND a.n >= 10000 AND a.rss <= 32768 AND coalesce(e <= 3.5, TRUE) THEN 'GO' ELSE 'NO-GO' END AS verdict, m.mono AS monotone
+ FROM (SELECT bool_and(solved) AS s, bool_and(feasible) AS f, max(ridge) AS ridge, max(CASE WHEN solved THEN n END) AS n, max(rss_mb) AS rss FROM pts) a, (SELECT max(fall) <= 1e-9 AS mono FROM fall) m, growth""",
+    tables=_POINTS,
+)
 def verdict(x: Panel) -> DataFrame:
-    """NO-GO: the third frontier point falls."""
+    """GO where every criterion holds for the runs and the frontier of the tables."""
     return report.verdict(_points(x), _front(x)).select("verdict", "monotone")
 
 
-@query("SELECT n, CASE WHEN e IS NULL THEN 'undefined' WHEN e < 2.85 THEN 'sub-cubic' WHEN e <= 3.15 THEN 'essentially cubic' WHEN e <= 3.6 THEN 'marginally super-cubic' ELSE 'super-cubic' END AS label FROM (SELECT n, ln(seconds / lag(seconds) OVER (ORDER BY n)) / ln(n / lag(n) OVER (ORDER BY n)) AS e FROM pts)", tables=_POINTS)
+@query(f"SELECT n, {_LABEL} AS label FROM (SELECT n, ln(seconds / lag(seconds) OVER (ORDER BY n, seconds)) / nullif(ln(n / lag(n) OVER (ORDER BY n, seconds)), 0) AS e FROM pts)", tables=_POINTS)
 def growth_label(x: Panel) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.orderBy("n")
-    e = F.ln(F.col("seconds") / F.lag("seconds").over(w)) / F.ln(F.col("n") / F.lag("n").over(w))
+    w = Window.orderBy("n", "seconds")
+    step = F.ln(F.col("n") / F.lag("n").over(w))
+    e = F.ln(F.col("seconds") / F.lag("seconds").over(w)) / F.when(step != 0, step)
     return _points(x).select("n", cubic_label(e).alias("label"))
 
 
@@ -442,11 +456,7 @@ def quadratic_roots(x: Panel) -> DataFrame:
     return part.select(F.col("p_partkey").alias("id"), F.size(real_roots(a, b, c)).cast("long").alias("n_roots"))
 
 
-# -- solvers: certificates are restated by SQL as the row they must give
-
-_CERTIFICATE = "cert AS (SELECT 'Solved' AS status, TRUE AS sums, TRUE AS bounds, TRUE AS within_cap, TRUE AS by_sex, TRUE AS stationary, TRUE AS above_mean)"
-_CERT_SQL = "SELECT * FROM cert"
-
+# -- solvers
 
 def _rows(x: Panel, cap: bool = False) -> DataFrame:
     wide = panel.widen(x.genotypes)
@@ -468,138 +478,6 @@ def _scalars(x: Panel) -> tuple[float, float]:
     return row["s"], row["mean_diag"]
 
 
-def _certificate(x: Panel, sexed: bool, cap: bool, share: float, ridge: float = 1e-5) -> DataFrame:
-    """Checks of the optimum, recomputed from the rows of the panel: one pass
-    gives the plan's marker totals, a second every candidate's reduced cost."""
-    from .plans import solve_panel
-
-    rows = _rows(x, cap).persist()
-    try:
-        s = x.scale.first()["s"]
-        mean = rows.select((F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v) / s).alias("g")).agg(F.avg("g")).first()[0]
-        k = share * mean
-        found = solve_panel(rows, k, s, ridge, sexed, cap)
-        c = F.broadcast(found.contributions(x.spark))
-        totals = rows.join(c, "candidate_id").select("c", F.posexplode("z").alias("j", "v")).groupBy("j").agg(F.sum(F.col("c") * F.col("v")).alias("t"))
-        t = F.transform(F.sort_array(F.collect_list(F.struct("j", "t"))), lambda y: y["t"])
-        every = rows.join(c, "candidate_id", "left").crossJoin(F.broadcast(totals.agg(t.alias("t"))))
-        mu = [float(v) for v in found.mu] * (1 if sexed else 2)
-        own, dot = F.coalesce("c", F.lit(0.0)), F.aggregate(F.zip_with("z", "t", lambda u, v: u * v), F.lit(0.0), lambda u, v: u + v)
-        r = F.col("b") - F.when(F.col("male"), mu[0]).otherwise(mu[1]) - 2 * float(found.lam) * (dot / s + ridge * own)
-        top = 0.05 if cap else 2.0
-        violation = F.when(own == 0, r).when(own >= top - 1e-9, -r).otherwise(F.abs(r))
-        quad = F.max(F.aggregate(F.transform("t", lambda v: v * v), F.lit(0.0), lambda u, v: u + v)) / s + ridge * F.sum(own * own)
-        row = every.agg(
-            F.lit(found.status).alias("status"), (F.abs(F.sum(own) - 1) < 1e-6).alias("sums"), ((F.min(own) >= -1e-7) & (F.max(own) <= (0.05 if cap else 1.0) + 1e-7)).alias("bounds"),
-            (quad <= k + 1e-6).alias("within_cap"), (F.abs(F.sum(F.when(F.col("male"), own).otherwise(0.0)) - 0.5) < 1e-6).alias("half"),
-            (F.max(violation) <= 1e-6).alias("stationary"), (F.sum(F.col("b") * own) > F.avg("b")).alias("above_mean"),
-        ).first()
-    finally:
-        rows.unpersist()
-    checks = (row["status"], row["sums"], row["bounds"], row["within_cap"], row["half"] if sexed else True, row["stationary"], row["above_mean"])
-    return x.spark.createDataFrame([checks], "status string, sums boolean, bounds boolean, within_cap boolean, by_sex boolean, stationary boolean, above_mean boolean")
-
-
-@query(_CERT_SQL, tables=_CERTIFICATE)
-def solve_simplex(x: Panel) -> DataFrame:
-    return _certificate(x, False, False, 0.1)
-
-
-@query(_CERT_SQL, tables=_CERTIFICATE)
-def solve_sexed(x: Panel) -> DataFrame:
-    return _certificate(x, True, False, 0.1)
-
-
-@query(_CERT_SQL, tables=_CERTIFICATE)
-def solve_capped(x: Panel) -> DataFrame:
-    return _certificate(x, False, True, 0.1)
-
-
-@query(_CERT_SQL, tables=_CERTIFICATE)
-def solve_sexed_capped(x: Panel) -> DataFrame:
-    return _certificate(x, True, True, 0.1)
-
-
-@query("SELECT 'Solved' AS status, TRUE AS same_support, TRUE AS same_gain", tables="one AS (SELECT 1)")
-def solve_packed(x: Panel) -> DataFrame:
-    """2-bit rows and centred rows give the same optimum (no missing calls)."""
-    from .plans import PackedPricer, RowPricer
-    from .plans.api import grouped, select
-    from .plans.pricing import packed_rows
-
-    full = x.dosages.select("candidate_id", "marker_id", F.coalesce("dosage", F.lit(0)).alias("dosage"))
-    markers = panel.allele_frequencies(full)
-    got = markers.orderBy("marker_id").select("p").toArrow()
-    p = got.column("p").to_numpy()
-    s = float(2 * (p * (1 - p)).sum())
-    z = panel.widen(panel.centre(full, markers))
-    mean = z.select((F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v) / s).alias("g")).agg(F.avg("g")).first()[0]
-    attributes = x.candidates.select("candidate_id", "b", "male", F.lit(None).cast("double").alias("cap"))
-    one, two = RowPricer(grouped(z.join(attributes, "candidate_id"), True)), PackedPricer(grouped(packed_rows(full).join(attributes, "candidate_id"), True), p)
-    try:
-        a, b = (select(q, [0.5, 0.5], 0.1 * mean, s) for q in (one, two))
-    finally:
-        one.close(), two.close()
-    row = (a.status if a.status == b.status else "different", sorted(a.ids) == sorted(b.ids), abs(a.gain - b.gain) < 1e-9)
-    return x.spark.createDataFrame([row], "status string, same_support boolean, same_gain boolean")
-
-
-@query("SELECT n, TRUE AS feasible, TRUE AS within_cap, TRUE AS rising FROM (VALUES (1), (2), (3), (4), (5), (6)) v(n)", tables="one AS (SELECT 1)")
-def frontier(x: Panel) -> DataFrame:
-    """Gain against cap at six caps, each solved in a task of its own."""
-    from pyspark.sql import Window
-
-    from .plans import frontier as sweep
-
-    s, mean = _scalars(x)
-    points = sweep(_rows(x), [mean * f for f in (0.08, 0.12, 0.2, 0.3, 0.5, 0.8)], s)
-    before = F.lag("gain").over(Window.orderBy("k"))
-    return points.select(F.row_number().over(Window.orderBy("k")).alias("n"), "feasible", (F.col("quad") <= F.col("k") + 1e-6).alias("within_cap"), (F.coalesce(before, F.col("gain")) <= F.col("gain") + 1e-9).alias("rising"))
-
-
-@query("SELECT TRUE AS reached", tables="one AS (SELECT 1)")
-def ne_search(x: Panel) -> DataFrame:
-    """The cap whose optimum has ten effective parents, within one per cent."""
-    from .plans import cap_for_effective_size
-
-    s, mean = _scalars(x)
-    _, size = cap_for_effective_size(_rows(x), 10.0, 0.001 * mean, 0.8 * mean, s)
-    return x.spark.createDataFrame([(abs(size - 10.0) <= 0.1,)], "reached boolean")
-
-
-@query("SELECT 1e-4 AS ridge, 3 AS tries", tables="one AS (SELECT 1)")
-def ridge_escalation(x: Panel) -> DataFrame:
-    """Clones make G singular: the ridge grows tenfold until G is definite to 1e-5."""
-    from .plans.dense import factor_with_ridge
-
-    import numpy as np
-
-    z = np.ones((3, 4))
-    ridge, tries = factor_with_ridge(z @ z.T / 4, 1e-6, 10, least=5e-5)
-    return x.spark.createDataFrame([(float(ridge), tries)], "ridge double, tries int")
-
-
-@query("SELECT TRUE AS holds", tables="one AS (SELECT 1)")
-def kernel_identity(x: Panel) -> DataFrame:
-    """With G = ridge I, R(c) / k = 1 / |c|^2 at a binding cap, and on its support
-    the optimum of all candidates is the closed form of the relaxation without c >= 0."""
-    import numpy as np
-
-    from .plans.api import solve_arrays
-
-    b = x.candidates.select("b").toArrow().column("b").to_numpy()
-    k, ridge = max(0.1, 2 / len(b)), 2.0
-    got = solve_arrays(np.zeros((len(b), 1)), b, k * ridge, s=1.0, ridge=ridge)
-    c = np.zeros(len(b))
-    c[got.ids] = got.c
-    own = c > 0
-    d = b[own] - b[own].mean()
-    step = np.sqrt((k - 1 / own.sum()) / (d @ d))
-    form, price = 1 / own.sum() + step * d, b[own].mean() - 1 / own.sum() / step
-    good = [abs(got.quad - ridge * (c @ c)) < 1e-9, abs(got.quad / (c @ c) / got.k - 1 / (c @ c)) < 1e-6, np.abs(c[own] - form).max() < 1e-6, bool((b[~own] <= price + 1e-6).all())]
-    return x.spark.createDataFrame([(bool(all(good)),)], "holds boolean")
-
-
 @query(", g AS (SELECT a.marker_id AS i, b.marker_id AS j, sum(a.z * b.z) / max(s) AS g FROM z a JOIN z b ON a.candidate_id = b.candidate_id, sc GROUP BY 1, 2) SELECT round(sum(CASE WHEN i = j THEN g END) * sum(CASE WHEN i = j THEN g END) / sum(g * g), 5) AS participation FROM g")
 def spectrum_participation(x: Panel) -> DataFrame:
     """trace(G)^2 / |G|^2 from the Gram of markers: no eigenvalue is needed."""
@@ -694,27 +572,6 @@ def closed_form_sexed_capped(x: Panel) -> DataFrame:
     return _closed_form(x, [(True, 1), (True, 2), (False, 1)], [(True, 3, 0.05)])
 
 
-@query("SELECT TRUE AS same, TRUE AS close", tables="one AS (SELECT 1)")
-def support_equality(x: Panel) -> DataFrame:
-    """Rows priced in Spark and the same rows in memory choose the same candidates."""
-    import numpy as np
-
-    from .plans import solve_panel
-    from .plans.api import solve_arrays
-
-    rows = _rows(x).persist()
-    try:
-        s, got = x.scale.first()["s"], rows.orderBy("candidate_id").toArrow()
-        z, ids = np.array(got.column("z").to_pylist()), got.column("candidate_id").to_numpy()
-        k = 0.1 * float((z * z).sum() / len(z)) / s
-        one = solve_panel(rows, k, s, local_bytes=0)
-        two = solve_arrays(z, got.column("b").to_numpy(), k, s=s, male=got.column("male").to_numpy(zero_copy_only=False))
-    finally:
-        rows.unpersist()
-    two.ids = ids[two.ids].tolist()
-    return report.same_support(one.contributions(x.spark), two.contributions(x.spark)).select("same", (F.col("apart") < 1e-6).alias("close"))
-
-
 # -- sources
 
 
@@ -796,36 +653,49 @@ def scan_plink(x: Panel) -> DataFrame:
     return both.agg(F.count("*").alias("cells"), F.count_if(F.col("there").isNull() | ~F.col("dosage").eqNullSafe(F.col("read"))).cast("int").alias("wrong"))
 
 
-@query("SELECT 2000 AS calls, TRUE AS in_range, TRUE AS repeatable", tables="one AS (SELECT 1)")
+@query("SELECT marker_id, (SELECT count(*) FROM cand) AS calls, round(p, 9) AS p, TRUE AS alike, TRUE AS repeatable FROM mk")
 def gen_panel(x: Panel) -> DataFrame:
+    """A panel drawn with the frequencies and the size of the given one: each
+    marker's own frequency is within five standard errors, and another partitioning
+    draws the same calls."""
     from .sources import generators
 
-    one, two = generators.panel(x.spark, 100, 20, 7), generators.panel(x.spark, 100, 20, 7).repartition(3)
-    differ = one.exceptAll(two).agg((F.count("*") == 0).alias("repeatable"))
-    return one.agg(F.count("*").cast("int").alias("calls"), F.bool_and(F.col("dosage").between(0, 2) & F.col("p").between(0.05, 0.5)).alias("in_range")).crossJoin(differ)
+    one = generators.like(x.candidates.select("candidate_id"), x.markers, 7)
+    two = generators.like(x.candidates.select("candidate_id").repartition(3), x.markers, 7)
+    sums = lambda g: g.groupBy("marker_id", "p").agg(F.count("*").alias("calls"), F.avg("dosage").alias("mean"), F.sum(F.xxhash64("candidate_id", "dosage").cast("decimal(20,0)")).alias("print"))
+    both = sums(one).join(sums(two).select("marker_id", F.col("print").alias("again")), "marker_id")
+    error = F.sqrt(F.col("p") * (1 - F.col("p")) / (2 * F.col("calls")))
+    return both.select("marker_id", "calls", R(F.col("p"), 9).alias("p"), (F.abs(F.col("mean") / 2 - F.col("p")) <= 5 * error).alias("alike"), (F.col("print") == F.col("again")).alias("repeatable"))
 
 
-@query("SELECT 10 AS families, TRUE AS alike", tables="one AS (SELECT 1)")
+@query("SELECT CAST(greatest(2, count(*) // 20) AS INTEGER) AS families, count(*) AS members, TRUE AS alike FROM cand")
 def gen_families(x: Panel) -> DataFrame:
-    """Members of a family share most calls, others do not."""
+    """As many members as the panel has: those of a family share most calls, others
+    do not; from counts by marker, family and dosage, without pairs."""
     from .sources import generators
 
-    g = generators.families(x.spark, 200, 30, 3)
-    a = g.select(F.col("candidate_id").alias("i"), "marker_id", F.col("dosage").alias("d"), F.col("family").alias("f"))
-    b = g.select(F.col("candidate_id").alias("j"), "marker_id", F.col("dosage").alias("e"), F.col("family").alias("h"))
-    same = a.join(b, "marker_id").where("i < j").agg(F.avg(F.when(F.col("f") == F.col("h"), (F.col("d") == F.col("e")).cast("int"))).alias("own"), F.avg(F.when(F.col("f") != F.col("h"), (F.col("d") == F.col("e")).cast("int"))).alias("other"))
-    return g.agg(F.countDistinct("family").cast("int").alias("families")).crossJoin(same.select((F.col("own") > F.col("other") + 0.1).alias("alike")))
+    g = generators.families(x.spark, x.candidates.count(), x.markers.count(), 3)
+    pairs = lambda n: n * (n - 1) / 2
+    own = g.groupBy("marker_id", "family", "dosage").count().groupBy("marker_id", "family").agg(F.sum(pairs(F.col("count"))).alias("same"), F.sum("count").alias("n")).agg(F.sum("same").alias("same"), F.sum(pairs(F.col("n"))).alias("all"))
+    every = g.groupBy("marker_id", "dosage").count().groupBy("marker_id").agg(F.sum(pairs(F.col("count"))).alias("same_any"), F.sum("count").alias("n")).agg(F.sum("same_any").alias("same_any"), F.sum(pairs(F.col("n"))).alias("all_any"))
+    size = g.agg(F.countDistinct("family").cast("int").alias("families"), F.countDistinct("candidate_id").alias("members"))
+    other = (F.col("same_any") - F.col("same")) / (F.col("all_any") - F.col("all"))
+    return size.crossJoin(own).crossJoin(every).select("families", "members", (F.col("same") / F.col("all") > other + 0.1).alias("alike"))
 
 
-@query("SELECT generation, n, TRUE AS mendelian FROM (VALUES (0, 20), (1, 30), (2, 30)) v(generation, n)", tables="one AS (SELECT 1)")
+@query("SELECT CASE WHEN candidate_id > 40 THEN 1 ELSE 0 END AS generation, count(*) AS n, TRUE AS mendelian FROM ped GROUP BY 1", tables=fixtures.PEDIGREE_SQL)
 def gen_pedigree(x: Panel) -> DataFrame:
-    """No child lacks an allele that a parent can only pass on."""
+    """Genes dropped down the given pedigree from the panel's own calls: no child
+    lacks an allele that a parent can only pass on."""
     from .sources import generators
 
-    g = generators.pedigree(x.spark, 20, 2, 30, 12, 5)
-    parent = g.select(F.col("candidate_id").alias("sire"), "marker_id", F.col("dosage").alias("of_sire"))
-    ok = (F.col("sire").isNull()) | ~(((F.col("of_sire") == 2) & (F.col("dosage") == 0)) | ((F.col("of_sire") == 0) & (F.col("dosage") == 2)))
-    return g.join(parent, ["sire", "marker_id"], "left").groupBy("generation").agg(F.countDistinct("candidate_id").cast("int").alias("n"), F.bool_and(ok).alias("mendelian"))
+    founders = x.dosages.select((F.col("candidate_id") + 1).alias("candidate_id"), "marker_id", F.coalesce("dosage", F.lit(0)).alias("dosage"))
+    g = generators.gene_drop(x.pedigree, founders, 5)
+    parent = lambda who: g.select(F.col("candidate_id").alias(who), "marker_id", F.col("dosage").alias(f"of_{who}"))
+    both = g.join(parent("sire"), ["sire", "marker_id"], "left").join(parent("dam"), ["dam", "marker_id"], "left")
+    least = F.coalesce((F.col("of_sire") == 2).cast("int"), F.lit(0)) + F.coalesce((F.col("of_dam") == 2).cast("int"), F.lit(0))
+    most = F.coalesce((F.col("of_sire") > 0).cast("int"), F.lit(1)) + F.coalesce((F.col("of_dam") > 0).cast("int"), F.lit(1))
+    return both.groupBy("generation").agg(F.countDistinct("candidate_id").alias("n"), F.bool_and(F.col("dosage").between(least, most)).alias("mendelian"))
 
 
-from . import study_queries  # noqa: E402, F401  (registers its own)
+from . import solver_queries, study_queries  # noqa: E402, F401  (they register their own)

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in (0, 1) from a hash of the keys."""
@@ -29,6 +31,38 @@ def panel(spark: SparkSession, n: int, m: int, seed: int = 1) -> DataFrame:
     return _grid(spark, n, m).withColumn("p", p).withColumn("dosage", allele(10) + allele(11))
 
 
+def like(candidates: DataFrame, markers: DataFrame, seed: int = 1) -> DataFrame:
+    """Long (candidate_id, marker_id, p, dosage ~ Bin(2, p)) for given candidates and
+    the frequencies of given markers, each call from the ids alone."""
+    allele = lambda k: (uniform(seed + k, F.col("candidate_id"), F.col("marker_id")) < F.col("p")).cast("int")
+    return candidates.crossJoin(markers.select("marker_id", "p")).withColumn("dosage", allele(10) + allele(11))
+
+
+def gene_drop(pedigree: DataFrame, founders: DataFrame, seed: int = 1) -> DataFrame:
+    """Long (generation, candidate_id, marker_id, dosage, sire, dam): calls of the
+    founders (those without a sire and a dam, 0) passed down a given pedigree, a
+    generation a round; each parent passes one of its alleles at every locus.
+    Candidates that no founder with calls is above get none."""
+    zero = F.lit(0)
+    roots = pedigree.where((F.col("sire") == 0) & (F.col("dam") == 0)).select("candidate_id", "sire", "dam")
+    d = F.col("dosage")
+    known = cut(founders.join(roots, "candidate_id").select("candidate_id", "marker_id", (d >= 1).cast("int").alias("a"), (d == 2).cast("int").alias("b"), "sire", "dam", zero.alias("generation")))
+    left, out, g = cut(pedigree.where((F.col("sire") != 0) & (F.col("dam") != 0)).select("candidate_id", "sire", "dam")), known, 0
+    while not left.isEmpty():
+        g += 1
+        own = out.select("candidate_id").distinct()
+        ready = cut(left.join(own.withColumnRenamed("candidate_id", "sire"), "sire", "left_semi").join(own.withColumnRenamed("candidate_id", "dam"), "dam", "left_semi"))
+        if ready.isEmpty():
+            break
+        of = lambda who: out.select(F.col("candidate_id").alias(who), "marker_id", F.col("a").alias(f"{who}_a"), F.col("b").alias(f"{who}_b"))  # noqa: E731, B023
+        toss = lambda k: uniform(seed + k, F.col("candidate_id"), F.col("marker_id")) < 0.5
+        passed = lambda who, k: F.when(toss(k), F.col(f"{who}_a")).otherwise(F.col(f"{who}_b"))
+        born = ready.join(of("sire"), "sire").join(of("dam"), ["dam", "marker_id"]).select("candidate_id", "marker_id", passed("sire", 300).alias("a"), passed("dam", 400).alias("b"), "sire", "dam", F.lit(g).alias("generation"))
+        out = out.unionByName(cut(born))
+        left = cut(left.join(ready, "candidate_id", "left_anti"))
+    return out.select("generation", "candidate_id", "marker_id", (F.col("a") + F.col("b")).alias("dosage"), "sire", "dam")
+
+
 def criterion(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     """(candidate_id, b ~ N(0, 1), male by parity)."""
     return spark.range(n).select(F.col("id").alias("candidate_id"), normal(seed + 20, F.col("id")).alias("b"), (F.col("id") % 2 == 0).alias("male"))

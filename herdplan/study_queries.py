@@ -141,6 +141,38 @@ def condition_number(x: Panel) -> DataFrame:
     return x.spark.createDataFrame(out, "members string, n long, least double, greatest double, condition double")
 
 
+@query(
+    _with(
+        "best AS (SELECT candidate_id, CAST(NULL AS BIGINT) AS copy FROM (SELECT *, row_number() OVER (ORDER BY b DESC, candidate_id) AS r FROM cand) WHERE r <= 10)",
+        "more AS (SELECT candidate_id, row_number() OVER (ORDER BY b DESC, candidate_id) AS copy FROM cand QUALIFY copy <= 5)",
+        "own AS (SELECT row_number() OVER (ORDER BY candidate_id, copy) AS m, candidate_id FROM (SELECT * FROM best UNION ALL SELECT * FROM more))",
+        "gs AS (SELECT a.m AS i, b.m AS j, sum(za.z * zb.z) / max(s) + CASE WHEN a.m = b.m THEN 1e-4 ELSE 0 END AS g FROM own a JOIN z za USING (candidate_id), own b JOIN z zb USING (candidate_id), sc WHERE za.marker_id = zb.marker_id GROUP BY 1, 2)",
+        "smat AS (SELECT list(r ORDER BY i) AS a FROM (SELECT i, list(g ORDER BY j) AS r FROM gs GROUP BY i))", _largest("high", "smat"),
+        "saug AS (SELECT list_transform(range(1, len(a) + 1), lambda i: list_concat(a[i], list_transform(range(1, len(a) + 1), lambda j: CASE WHEN i = j THEN 1.0e0 ELSE 0.0e0 END))) AS a FROM smat)",
+        _solved("inv", "saug"), "imat AS (SELECT x AS a FROM inv)", _largest("ilow", "imat"),
+        "ends AS (SELECT 1 / ilow.e - 1e-4 AS low, high.e - 1e-4 AS high FROM ilow, high)",
+        "tries AS (SELECT unnest(range(1, 11)) AS t)",
+    )
+    + " SELECT round(1e-6 * pow(10, t - 1), 9) AS ridge, CAST(t AS INTEGER) AS tries, round((high + 1e-6 * pow(10, t - 1)) / (low + 1e-6 * pow(10, t - 1)) / 1000, 3) AS condition_k FROM ends, tries WHERE low + 1e-6 * pow(10, t - 1) > 5e-5 ORDER BY t LIMIT 1",
+    recursive=True,
+)
+def ridge_escalation(x: Panel) -> DataFrame:
+    """The ten best candidates and copies of the first five: G is singular, and the
+    ridge grows tenfold until its least eigenvalue is above a bound."""
+    from .plans import spectral
+
+    with rows_of(x) as (rows, s):
+        best = plan.best_of(x.candidates, 10).select("candidate_id")
+        own = rows.join(best, "candidate_id", "left_semi").select("candidate_id", "z", "b")
+        _, more = panel.add_clones(own, own, 5)
+        products = spectral.Products(more, s)
+        try:
+            ridge, tries, condition = spectral.escalated(products, 1e-6, 5e-5, 10)
+        finally:
+            products.close()
+    return x.spark.createDataFrame([(round(ridge, 9), tries, round(condition / 1000, 3))], "ridge double, tries int, condition_k double")
+
+
 _TAUS = (0.0, 0.15, 0.4)
 
 
