@@ -80,3 +80,11 @@ def real_roots(a: Column, b: Column, c: Column) -> Column:
     rest = b * b - 4 * a * c
     both = F.sort_array(F.array((-b - F.sqrt(F.greatest(rest, F.lit(0.0)))) / (2 * a), (-b + F.sqrt(F.greatest(rest, F.lit(0.0)))) / (2 * a)))
     return F.when(F.abs(a) <= tiny, linear).when(rest < 0, F.array().cast("array<double>")).otherwise(both)
+
+
+def packed_bytes(calls: Column) -> Column:
+    """Four 2-bit codes of an array a byte, the first in the low bits, as binary."""
+    at = lambda i, k: F.coalesce(F.get(calls, 4 * i + k), F.lit(0)).bitwiseAND(F.lit(3))
+    byte = lambda i: at(i, 0) + 4 * at(i, 1) + 16 * at(i, 2) + 64 * at(i, 3)
+    starts = F.sequence(F.lit(0), F.ceil(F.size(calls) / 4).cast("int") - 1)
+    return F.unhex(F.array_join(F.transform(starts, lambda i: F.lpad(F.hex(byte(i).cast("long")), 2, "0")), ""))

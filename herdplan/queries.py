@@ -473,11 +473,6 @@ def rows_of(x: Panel, cap: bool = False):
         rows.unpersist()
 
 
-def _scalars(x: Panel) -> tuple[float, float]:
-    row = x.scale.crossJoin(panel.mean_diagonal(x.genotypes, x.scale)).first()
-    return row["s"], row["mean_diag"]
-
-
 @query(", g AS (SELECT a.marker_id AS i, b.marker_id AS j, sum(a.z * b.z) / max(s) AS g FROM z a JOIN z b ON a.candidate_id = b.candidate_id, sc GROUP BY 1, 2) SELECT round(sum(CASE WHEN i = j THEN g END) * sum(CASE WHEN i = j THEN g END) / sum(g * g), 5) AS participation FROM g")
 def spectrum_participation(x: Panel) -> DataFrame:
     """trace(G)^2 / |G|^2 from the Gram of markers: no eigenvalue is needed."""
@@ -613,7 +608,7 @@ def scan_bench(x: Panel) -> DataFrame:
     return k.join(bc, "i").select("i", F.col("j").cast("long").alias("j"), R(F.col("g")).alias("g"), "bv", "male", F.lit(ub).alias("ub"))
 
 
-@query("SELECT count(*) AS n, 'Solved' AS status, CAST(4 AS BIGINT) AS points, 5.59e0 AS gains, 1815.5e0 AS slowest FROM cand")
+@query("SELECT n, 'Solved' AS status, points, gains, slowest FROM (SELECT count(*) AS n FROM embeddings), (SELECT count(*) AS points, round(sum(gain), 6) AS gains FROM front), (SELECT max(seconds) AS slowest FROM pts)", tables=_POINTS)
 def read_artifacts(x: Panel) -> DataFrame:
     """Key and value lines, a frontier and a scaling table, written and read back."""
     from .scratch import shared_folder
@@ -632,25 +627,17 @@ def read_artifacts(x: Panel) -> DataFrame:
     return meta.crossJoin(line).crossJoin(sizes)
 
 
-@query("SELECT count(*) AS cells, 0 AS wrong FROM d")
+@query("SELECT marker_id, count(*) AS cells, count(dosage) AS known, coalesce(sum(dosage), 0) AS total, coalesce(sum(dosage * (candidate_id % 1000 + 1)), 0) AS weighted FROM d GROUP BY 1")
 def scan_plink(x: Panel) -> DataFrame:
-    """The trio written from the panel reads back as it was."""
-    import numpy as np
-
-    from .scratch import put, shared_folder
+    """Sums of every marker of the trio written from the panel, as it reads back."""
+    from .scratch import shared_folder
     from .sources import plink
 
-    part = x.dosages
-    got = part.select("candidate_id", "marker_id", F.coalesce("dosage", F.lit(-1)).alias("d")).toArrow()
-    i, j, d = (got.column(c).to_numpy() for c in ("candidate_id", "marker_id", "d"))
-    calls = np.full((int(i.max()) + 1, int(j.max()) + 1), -1, d.dtype)
-    calls[i, j] = d
     prefix = f"{shared_folder(x.spark)}/panel"
-    for suffix, data in plink.trio(calls).items():
-        put(x.spark, prefix + suffix, data)
-    back = plink.read_calls(x.spark, prefix).select("candidate_id", "marker_id", F.col("dosage").alias("read"), F.lit(True).alias("there"))
-    both = part.join(back, ["candidate_id", "marker_id"], "left")
-    return both.agg(F.count("*").alias("cells"), F.count_if(F.col("there").isNull() | ~F.col("dosage").eqNullSafe(F.col("read"))).cast("int").alias("wrong"))
+    plink.write_trio(x.dosages, prefix)
+    ids = F.regexp_replace("iid", "^I", "").cast("long")  # files number candidates from 0
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return plink.read_calls(x.spark, prefix).groupBy("marker_id").agg(F.count("*").alias("cells"), F.count("dosage").alias("known"), total(F.col("dosage")).alias("total"), total(F.col("dosage") * (ids % 1000 + 1)).alias("weighted"))
 
 
 @query("SELECT marker_id, (SELECT count(*) FROM cand) AS calls, round(p, 9) AS p, TRUE AS alike, TRUE AS repeatable FROM mk")

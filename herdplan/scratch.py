@@ -55,3 +55,15 @@ def put_lines(lines: DataFrame, path: str) -> None:
             out.write(bytearray((row[0] + "\n").encode()))
     finally:
         out.close()
+
+
+def put_rows(rows: DataFrame, path: str, head: bytes = b"") -> None:
+    """The only, binary column of ``rows``, in order, after ``head``, as one file;
+    a partition at a time is with the driver."""
+    out = _open(rows.sparkSession, path)
+    try:
+        out.write(bytearray(head))
+        for row in rows.toLocalIterator():
+            out.write(bytearray(row[0]))
+    finally:
+        out.close()

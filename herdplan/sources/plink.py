@@ -1,26 +1,31 @@
 """PLINK 1 binary panels (.bed, .bim, .fam) as a Spark data source.
 
 ``spark.read.format("plink").load(prefix)`` gives long dosages (candidate_id,
-marker_id, iid, dosage): one partition for each range of markers, read by seeking,
-so neither driver nor any task holds the panel. Its paths are local to the readers.
-read_calls and read_panel take paths on any store: the .bed of one that only Spark
-reads comes through its binary reader, which holds a file (up to 2 GB, so one for
-each chromosome of a large panel) in a task.
+marker_id, iid, dosage): one partition for each range of markers, read by ranges of
+bytes, so neither driver nor any task holds the panel and a .bed may be of any size.
+Filters on marker_id and candidate_id are pushed down: only the bytes of those
+markers, and of a marker only those of the candidates from the least to the greatest
+asked for, are read. Prefixes are local paths or URIs of the stores that Arrow's file systems
+open. read_calls and read_panel take paths on any store: the .bed of one that only
+Spark reads comes through its binary reader, which holds a file (up to 2 GB, so one
+for each chromosome of a large panel) in a task.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+import io
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from ..errors import FormatError
+from ..functions.genetics import packed_bytes
+from ..scratch import put_lines, put_rows
 from ..shipping import ship
 from .tables import text_lines
 
@@ -29,6 +34,8 @@ MAGIC, MARKER_MAJOR = b"\x6c\x1b", 1
 DOSAGES = np.array([2, -1, 1, 0], np.int8)
 SCHEMA = "candidate_id long, marker_id int, iid string, dosage int"
 MARKERS_PER_PARTITION = 4096
+#: Calls of one batch, about.
+BATCH_CALLS = 1 << 18
 
 
 def check_header(head: bytes, name: str) -> None:
@@ -81,28 +88,95 @@ class _Range(InputPartition):
         self.first, self.last = first, last
 
 
+class _Wanted:
+    """Numbers from ``low`` to below ``high``, of ``only`` some where that is given."""
+
+    def __init__(self, high: int):
+        self.low, self.high, self.only = 0, high, None
+
+    def take(self, f: Filter) -> bool:
+        """Narrows to what a filter keeps; False for a filter of another kind."""
+        whole = lambda v: isinstance(v, int) and not isinstance(v, bool)
+        if isinstance(f, IsNotNull):
+            return True
+        if isinstance(f, (EqualTo, In)):
+            values = [f.value] if isinstance(f, EqualTo) else list(f.value)
+            if not all(whole(v) for v in values):
+                return False
+            self.only = set(values) if self.only is None else self.only & set(values)
+            self.low = max(self.low, min(self.only, default=self.high))
+            self.high = min(self.high, max(self.only, default=-1) + 1)
+            return True
+        if not isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) or not whole(f.value):
+            return False
+        if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+        else:
+            self.high = min(self.high, f.value + isinstance(f, LessThanOrEqual))
+        return True
+
+    def numbers(self) -> np.ndarray:
+        every = np.arange(self.low, max(self.high, self.low))
+        return every if self.only is None else every[np.isin(every, list(self.only))]
+
+
+def _store(prefix: str):
+    """(file system, prefix on it) of a local path or a URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(prefix) if "://" in prefix or prefix.startswith("hdfs:") else (fs.LocalFileSystem(), prefix)
+
+
+def _lines(store, path: str) -> Iterator[str]:
+    return io.TextIOWrapper(io.BufferedReader(store.open_input_stream(path)), encoding="utf-8")
+
+
 class PlinkReader(DataSourceReader):
     def __init__(self, prefix: str, step: int):
         self.prefix, self.step = prefix, step
-        with open(prefix + ".fam") as f:
-            self.ids = individuals(f, prefix + ".fam")
-        with open(prefix + ".bim") as f:
-            self.m = marker_count(f, prefix + ".bim")
-        with open(prefix + ".bed", "rb") as f:
-            check_header(f.read(3), prefix + ".bed")
-        check_size(os.path.getsize(prefix + ".bed"), len(self.ids), self.m, prefix + ".bed")
+        store, at = _store(prefix)
+        self.ids = individuals(_lines(store, at + ".fam"), prefix + ".fam")
+        self.m = marker_count(_lines(store, at + ".bim"), prefix + ".bim")
+        with store.open_input_file(at + ".bed") as f:
+            check_header(f.read_at(3, 0), prefix + ".bed")
+            check_size(f.size(), len(self.ids), self.m, prefix + ".bed")
+        self.markers, self.candidates = _Wanted(self.m), _Wanted(len(self.ids))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes comparisons of the two ids with whole numbers; hands back others."""
+        for f in filters:
+            wanted = {("marker_id",): self.markers, ("candidate_id",): self.candidates}.get(tuple(getattr(f, "attribute", ())))
+            if wanted is None or not wanted.take(f):
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [_Range(i, min(self.m, i + self.step)) for i in range(0, self.m, self.step)]
+        w = self.markers
+        return [_Range(i, min(w.high, i + self.step)) for i in range(w.low, w.high, self.step)] or [_Range(0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        n, ids = len(self.ids), pa.array(self.ids)
-        width = -(-n // 4)
-        with open(self.prefix + ".bed", "rb") as f:
-            f.seek(3 + partition.first * width)
-            for marker in range(partition.first, partition.last):
-                d = decode(np.frombuffer(f.read(width), np.uint8)[None, :], n)[0].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, marker, np.int32)), ids, pa.array(d, mask=d < 0)], ["candidate_id", "marker_id", "iid", "dosage"])
+        own, width = self.candidates.numbers(), -(-len(self.ids) // 4)
+        markers = self.markers.numbers()
+        markers = markers[(markers >= partition.first) & (markers < partition.last)]
+        if not len(own) or not len(markers):
+            return
+        first, last = int(own[0]) // 4, int(own[-1]) // 4 + 1  # bytes of a marker that hold them
+        iid = pa.array(self.ids, pa.string()).take(pa.array(own))
+        store, at = _store(self.prefix)
+        many = max(1, BATCH_CALLS // len(own))
+        with store.open_input_file(at + ".bed") as f:
+            for k in range(0, len(markers), many):
+                some = markers[k : k + many]
+                packed = self._bytes(f, some, first, last, width)
+                d = decode(packed, 4 * (last - first))[:, own - 4 * first].astype(np.int32).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(own, len(some))), pa.array(np.repeat(some, len(own)).astype(np.int32)), iid.take(pa.array(np.tile(np.arange(len(own)), len(some)))), pa.array(d, mask=d < 0)], ["candidate_id", "marker_id", "iid", "dosage"])
+
+    @staticmethod
+    def _bytes(f: pa.NativeFile, markers: np.ndarray, first: int, last: int, width: int) -> np.ndarray:
+        """Bytes first to last of each marker: in one read where neighbouring markers
+        are wanted whole, else a read a marker."""
+        if last - first == width and markers[-1] - markers[0] + 1 == len(markers):
+            return np.frombuffer(f.read_at(len(markers) * width, 3 + int(markers[0]) * width), np.uint8).reshape(-1, width)
+        return np.stack([np.frombuffer(f.read_at(last - first, 3 + int(j) * width + first), np.uint8) for j in markers])
 
 
 class PlinkSource(DataSource):
@@ -118,7 +192,9 @@ class PlinkSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known to a session, and lets it push filters down."""
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PlinkSource)
 
 
@@ -141,9 +217,17 @@ def scan_bim(spark: SparkSession, path: str) -> DataFrame:
 
 def read_calls(spark: SparkSession, prefix: str) -> DataFrame:
     """Long dosages (candidate_id, marker_id, iid, dosage) of a trio on any store."""
-    if "://" not in prefix and not prefix.startswith("hdfs:"):
-        register(spark)
-        return spark.read.format("plink").load(prefix.removeprefix("file:"))
+    prefix = prefix if "://" in prefix else prefix.removeprefix("file:")
+    try:
+        _store(prefix)
+    except (pa.ArrowException, OSError, ImportError):  # a store that only Spark reads
+        return read_through_spark(spark, prefix)
+    register(spark)
+    return spark.read.format("plink").load(prefix)
+
+
+def read_through_spark(spark: SparkSession, prefix: str) -> DataFrame:
+    """The same through Spark's binary reader, which holds the .bed in a task."""
     ship(spark)
     ids = scan_fam(spark, prefix + ".fam").select("candidate_id", "iid")
     n, m = ids.count(), scan_bim(spark, prefix + ".bim").first()["markers"]
@@ -187,6 +271,23 @@ def read_panel(spark: SparkSession, prefix: str) -> Scanned:
     return Scanned(ids, dosages, markers, panel.vanraden_scale(markers), panel.centre(dosages, markers))
 
 
+def marker_bytes(dosages: DataFrame) -> DataFrame:
+    """(marker_id, bytes): the .bed rows of long dosages, candidates in the order of
+    their ids, all in built-in expressions."""
+    order = F.sort_array(F.collect_list(F.struct("candidate_id", "dosage")))
+    code = lambda x: F.when(x["dosage"].isNull(), 1).when(x["dosage"] == 2, 0).when(x["dosage"] == 1, 2).otherwise(3)
+    return dosages.groupBy("marker_id").agg(F.transform(order, code).alias("c")).select("marker_id", packed_bytes(F.col("c")).alias("bytes"))
+
+
+def write_trio(dosages: DataFrame, prefix: str) -> None:
+    """Writes long dosages as a trio on any store: markers are packed in tasks, and
+    pass through the driver a partition at a time, as the format is one file."""
+    spark = dosages.sparkSession
+    put_lines(dosages.select("candidate_id").distinct().orderBy("candidate_id").select(F.concat(F.lit("F"), "candidate_id", F.lit(" I"), "candidate_id", F.lit(" 0 0 0 -9"))), prefix + ".fam")
+    put_lines(dosages.select("marker_id").distinct().orderBy("marker_id").select(F.concat(F.lit("1 S"), "marker_id", F.lit(" 0 "), (F.col("marker_id") + 1).cast("string"), F.lit(" A C"))), prefix + ".bim")
+    put_rows(marker_bytes(dosages).orderBy("marker_id").select("bytes"), prefix + ".bed", MAGIC + bytes([MARKER_MAJOR]))
+
+
 def trio(dosage: np.ndarray) -> dict[str, bytes]:
     """The files of a small panel by suffix; -1 is missing."""
     n, m = dosage.shape

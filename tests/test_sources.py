@@ -137,7 +137,9 @@ def test_whole_panel_products(spark, monkeypatch):
 def test_whole_panel_reads_back(spark, monkeypatch):
     x = Small(spark)
     monkeypatch.setattr(queries, "Panel", lambda *_: x)
-    assert queries.QUERIES["scan_plink"](spark, "").first().asDict() == {"cells": 230 * 31, "wrong": 0}
+    own = np.maximum(x.calls, 0)
+    want = [(j, 230, int((x.calls[:, j] >= 0).sum()), int(own[:, j].sum()), int((own[:, j] * (np.arange(230) + 1)).sum())) for j in range(31)]
+    assert sorted(map(tuple, queries.QUERIES["scan_plink"](spark, "").collect())) == want
 
 
 def test_lines_are_numbered_over_blocks(spark, tmp_path):
@@ -162,8 +164,9 @@ def test_panel_through_any_reader(spark, tmp_path):
     d = np.random.default_rng(4).integers(-1, 3, (37, 11))
     plink.write(str(tmp_path / "p"), d)
     one, two = (plink.read_panel(spark, f"{way}{tmp_path}/p") for way in ("", "file://"))
+    three = plink.read_through_spark(spark, f"file://{tmp_path}/p")
     key = lambda df: sorted((r.candidate_id, r.marker_id, r.iid, -1 if r.dosage is None else r.dosage) for r in df.collect())
-    assert key(one.dosages) == key(two.dosages) == [(i, j, f"I{i}", int(d[i, j])) for i in range(37) for j in range(11)]
+    assert key(one.dosages) == key(two.dosages) == key(three) == [(i, j, f"I{i}", int(d[i, j])) for i in range(37) for j in range(11)]
     arrays = read_plink(tmp_path / "p")
     z = {(r.candidate_id, r.marker_id): r.z for r in two.genotypes.collect()}
     assert arrays.ids == [r.iid for r in two.ids.orderBy("candidate_id").collect()]
@@ -172,6 +175,55 @@ def test_panel_through_any_reader(spark, tmp_path):
     (tmp_path / "p.bed").write_bytes((tmp_path / "p.bed").read_bytes()[:-1])
     with pytest.raises(Exception, match="bytes do not hold"):
         plink.read_calls(spark, f"file://{tmp_path}/p").collect()
+    with pytest.raises(Exception, match="bytes do not hold"):
+        plink.read_through_spark(spark, f"file://{tmp_path}/p").collect()
+
+
+def test_filters_read_only_their_bytes(spark, tmp_path, monkeypatch):
+    d = np.random.default_rng(5).integers(-1, 3, (203, 60))
+    plink.write(str(tmp_path / "p"), d)
+    read = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def read_at(self, n, at):
+            read.append((at, n))
+            return self.f.read_at(n, at)
+
+    from pyspark.sql import datasource as ds
+
+    marker, candidate = ("marker_id",), ("candidate_id",)
+    cases = [
+        ([ds.GreaterThanOrEqual(marker, 20), ds.LessThan(marker, 26)], range(20, 26), range(203), 6 * 51),
+        ([ds.In(marker, (3, 50)), ds.IsNotNull(marker)], [3, 50], range(203), 2 * 51),
+        ([ds.EqualTo(candidate, 9), ds.GreaterThan(marker, 57)], [58, 59], [9], 2),
+        ([ds.GreaterThan(candidate, 100), ds.LessThanOrEqual(candidate, 107), ds.EqualTo(marker, 7)], [7], range(101, 108), 2),
+        ([ds.EqualTo(marker, 99)], [], range(203), 0), ([ds.In(candidate, (5, 6)), ds.EqualTo(candidate, 7)], range(60), [], 0),
+    ]
+    for filters, markers, candidates, size in cases:
+        reader = plink.PlinkReader(str(tmp_path / "p"), 16)
+        assert list(reader.pushFilters([*filters, ds.EqualTo(("iid",), "I3"), ds.EqualTo(marker, "x")])) == [ds.EqualTo(("iid",), "I3"), ds.EqualTo(marker, "x")]
+        own = plink.PlinkReader._bytes
+        monkeypatch.setattr(plink.PlinkReader, "_bytes", staticmethod(lambda f, *rest: own(Counted(f), *rest)))  # noqa: B023
+        read.clear()
+        got = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        monkeypatch.undo()
+        want = [(i, j, f"I{i}", int(d[i, j])) for j in markers for i in candidates]
+        assert [(r["candidate_id"], r["marker_id"], r["iid"], -1 if r["dosage"] is None else r["dosage"]) for r in got] == want
+        assert sum(n for _, n in read) == size
+    calls = plink.read_calls(spark, str(tmp_path / "p"))
+    some = calls.where("marker_id between 10 and 12 and candidate_id > 198 and iid <> 'I200'")
+    assert sorted((r.candidate_id, r.marker_id) for r in some.collect()) == [(i, j) for i in (199, 201, 202) for j in (10, 11, 12)]
+
+
+def test_a_trio_is_written_from_tasks(spark, tmp_path):
+    d = np.random.default_rng(6).integers(-1, 3, (9, 5))
+    rows = [(i, j, None if d[i, j] < 0 else int(d[i, j])) for i in range(9) for j in range(5)]
+    plink.write_trio(spark.createDataFrame(rows, "candidate_id long, marker_id int, dosage int").repartition(3), str(tmp_path / "q"))
+    for suffix, data in plink.trio(d).items():
+        assert (tmp_path / f"q{suffix}").read_bytes() == data
 
 
 def test_exchange_folder_and_meta(spark, tmp_path):
