@@ -6,11 +6,12 @@ class HerdplanError(Exception):
 
 
 class NonPositivePivot(HerdplanError):
-    """A relationship matrix is not positive definite at the given ridge."""
+    """A relationship matrix is not positive definite at the given ridge; ``index``
+    is the candidate whose pivot fails first, where that is known."""
 
-    def __init__(self, ridge: float):
-        super().__init__(f"not positive definite with ridge {ridge:g}")
-        self.ridge = ridge
+    def __init__(self, ridge: float, index: int | None = None):
+        super().__init__(f"not positive definite with ridge {ridge:g}" + (f" at {index}" if index is not None else ""))
+        self.ridge, self.index = ridge, index
 
 
 class RidgeExhausted(HerdplanError):

@@ -640,6 +640,21 @@ def scan_plink(x: Panel) -> DataFrame:
     return plink.read_calls(x.spark, prefix).groupBy("marker_id").agg(F.count("*").alias("cells"), F.count("dosage").alias("known"), total(F.col("dosage")).alias("total"), total(F.col("dosage") * (ids % 1000 + 1)).alias("weighted"))
 
 
+@query("SELECT n, round(seconds, 6) AS t_solve_s, solved FROM pts", tables=_POINTS)
+def incremental_points(x: Panel) -> DataFrame:
+    """Points published one after the other, the first of them twice: each is there once."""
+    from .scratch import shared_folder
+    from .sources import tables
+
+    points = _points(x).select("n", F.col("seconds").alias("t_solve_s"), "solved").persist()
+    folder = shared_folder(x.spark)
+    sizes = sorted(r["n"] for r in points.select("n").collect())
+    for n in [*sizes, sizes[0]]:
+        tables.append_point(points.where(F.col("n") == n), folder, f"n{n}")
+    points.unpersist()
+    return tables.read_table(x.spark, folder, "n int, t_solve_s double, solved boolean").select("n", R(F.col("t_solve_s")).alias("t_solve_s"), "solved")
+
+
 @query("SELECT marker_id, (SELECT count(*) FROM cand) AS calls, round(p, 9) AS p, TRUE AS alike, TRUE AS repeatable FROM mk")
 def gen_panel(x: Panel) -> DataFrame:
     """A panel drawn with the frequencies and the size of the given one: each

@@ -31,6 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def arrow_store(path: str):
+    """(file system of Arrow, path on it) of a local path or a URI; tasks have no
+    other way to ranges of a file."""
+    from pyarrow import fs
+
+    path = re.sub("^file:/*", "/", path)
+    return fs.FileSystem.from_uri(path) if re.match(r"[A-Za-z][\w+.-]*:", path) else (fs.LocalFileSystem(), path)
+
+
 def _open(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)

@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from ..errors import FormatError
 from ..functions.genetics import packed_bytes
-from ..scratch import put_lines, put_rows
+from ..scratch import arrow_store, put_lines, put_rows
 from ..shipping import ship
 from .tables import text_lines
 
@@ -120,13 +120,6 @@ class _Wanted:
         return every if self.only is None else every[np.isin(every, list(self.only))]
 
 
-def _store(prefix: str):
-    """(file system, prefix on it) of a local path or a URI."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(prefix) if "://" in prefix or prefix.startswith("hdfs:") else (fs.LocalFileSystem(), prefix)
-
-
 def _lines(store, path: str) -> Iterator[str]:
     return io.TextIOWrapper(io.BufferedReader(store.open_input_stream(path)), encoding="utf-8")
 
@@ -134,7 +127,7 @@ def _lines(store, path: str) -> Iterator[str]:
 class PlinkReader(DataSourceReader):
     def __init__(self, prefix: str, step: int):
         self.prefix, self.step = prefix, step
-        store, at = _store(prefix)
+        store, at = arrow_store(prefix)
         self.ids = individuals(_lines(store, at + ".fam"), prefix + ".fam")
         self.m = marker_count(_lines(store, at + ".bim"), prefix + ".bim")
         with store.open_input_file(at + ".bed") as f:
@@ -161,7 +154,7 @@ class PlinkReader(DataSourceReader):
             return
         first, last = int(own[0]) // 4, int(own[-1]) // 4 + 1  # bytes of a marker that hold them
         iid = pa.array(self.ids, pa.string()).take(pa.array(own))
-        store, at = _store(self.prefix)
+        store, at = arrow_store(self.prefix)
         many = max(1, BATCH_CALLS // len(own))
         with store.open_input_file(at + ".bed") as f:
             for k in range(0, len(markers), many):
@@ -217,9 +210,8 @@ def scan_bim(spark: SparkSession, path: str) -> DataFrame:
 
 def read_calls(spark: SparkSession, prefix: str) -> DataFrame:
     """Long dosages (candidate_id, marker_id, iid, dosage) of a trio on any store."""
-    prefix = prefix if "://" in prefix else prefix.removeprefix("file:")
     try:
-        _store(prefix)
+        arrow_store(prefix)
     except (pa.ArrowException, OSError, ImportError):  # a store that only Spark reads
         return read_through_spark(spark, prefix)
     register(spark)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..errors import InputError
 from ..functions.genetics import GROWTH
-from ..scratch import put, put_lines
+from ..scratch import arrow_store, put, put_lines
+from ..shipping import ship
 
 #: The columns of a scaling table and of two studies, in order: fixed values.
 SCALING = (
@@ -29,9 +33,76 @@ def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def append_point(df: DataFrame, path: str) -> None:
-    """Adds finished points: what was there stays if a later one fails."""
-    df.write.mode("append").option("header", True).csv(path)
+class PointWriter(DataSourceArrowWriter):
+    """Writes a point's rows beside the table and publishes them when all are there:
+    tasks write pending files, which readers pass over, and the commit joins those
+    of the attempts that succeeded into one file of the point's name. A task that
+    is tried again leaves no second row, a job that fails leaves the earlier points,
+    and a point that is written again replaces itself."""
+
+    def __init__(self, path: str, point: str, header: str):
+        self.path, self.point, self.header = path, point, header
+
+    def write(self, iterator):
+        import pyarrow.csv as csv
+        from pyarrow import BufferOutputStream
+
+        store, folder = arrow_store(self.path)
+        store.create_dir(folder, recursive=True)
+        name = f"{folder}/_pending-{self.point}-{uuid.uuid4().hex}"
+        with store.open_output_stream(name) as f:
+            for batch in iterator:
+                out = BufferOutputStream()
+                csv.write_csv(batch, out, csv.WriteOptions(include_header=False))
+                f.write(out.getvalue())
+        return _Pending(name)
+
+    def commit(self, messages):
+        store, folder = arrow_store(self.path)
+        whole = f"{folder}/_pending-{self.point}-{uuid.uuid4().hex}"
+        with store.open_output_stream(whole) as f:
+            f.write(self.header.encode() + b"\n")
+            for m in messages:
+                if m is not None:
+                    with store.open_input_stream(m.name) as part:
+                        f.write(part.read())
+        store.move(whole, f"{folder}/point-{self.point}.csv")
+        self._clear(store, folder)
+
+    def abort(self, messages):
+        store, folder = arrow_store(self.path)
+        self._clear(store, folder)
+
+    def _clear(self, store, folder: str) -> None:
+        """Pending files of this point, those of failed attempts too."""
+        from pyarrow import fs
+
+        for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if f.base_name.startswith(f"_pending-{self.point}-"):
+                store.delete_file(f.path)
+
+
+class _Pending(WriterCommitMessage):
+    def __init__(self, name: str):
+        self.name = name
+
+
+class PointSink(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "points"
+
+    def writer(self, schema, overwrite: bool) -> PointWriter:
+        return PointWriter(self.options["path"], self.options["point"], ",".join(f.name for f in schema.fields))
+
+
+def append_point(df: DataFrame, path: str, point: str | None = None) -> None:
+    """Adds a finished point to the table in a folder: what was there stays if a
+    later one fails. A named point is there once, however often it is written."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.dataSource.register(PointSink)
+    df.write.format("points").mode("append").option("point", point or uuid.uuid4().hex).save(path)
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -6,9 +6,9 @@ import hashlib
 import numpy as np
 import pytest
 
-from herdplan.errors import RidgeExhausted
+from herdplan.errors import NonPositivePivot, RidgeExhausted
 from herdplan.operators import relatedness
-from herdplan.plans import Goal, LocalPricer, PackedPricer, RowPricer, cap_for_effective_size, frontier, select_all, solve_arrays, spectral
+from herdplan.plans import Goal, LocalPricer, PackedPricer, RowPricer, cap_for_effective_size, frontier, select_all, solve_arrays, spectral, tiled
 from herdplan.plans.bounds import gain_bounds
 from herdplan.plans.dense import greedy_pack, inverse_participation
 from herdplan.plans.pricing import looked_up, pack_calls, packed_products, packed_relationships
@@ -201,3 +201,46 @@ def test_genes_drop_down_a_pedigree_of_several_generations(spark):
     for i, s, m in ped[3:6]:
         for j in range(12):
             assert (dosage[s, j] == 2) + (dosage[m, j] == 2) <= dosage[i, j] <= (dosage[s, j] > 0) + (dosage[m, j] > 0)
+
+
+@pytest.mark.parametrize("n, side", [(1, 4), (4, 4), (11, 4), (30, 7)])
+def test_tiled_cholesky(spark, n, side):
+    rng = np.random.default_rng(n)
+    ids = np.sort(rng.choice(1000, n, replace=False))
+    z = rng.normal(size=(n, n + 3))
+    g = z @ z.T / n
+    g[np.abs(g) < 0.2] = 0.0
+    g += n * np.eye(n)
+    pairs = [(int(ids[i]), int(ids[j]), float(g[i, j])) for i in range(n) for j in range(i, n) if g[i, j]]
+    pairs += [pairs[0], (pairs[-1][1], pairs[-1][0], pairs[-1][2])]  # repeated, and from the other side
+    table = spark.createDataFrame(pairs, "i long, j long, g double")
+    places, factor, ridge = tiled.factored(table, 0.25, side=side)
+    rows = tiled.factor_rows(places, factor, side).orderBy("candidate_id").collect()
+    low = np.array([r.z for r in rows])
+    assert [r.candidate_id for r in rows] == ids.tolist() and low.shape == (n, n) and ridge == 0.25
+    assert np.allclose(low, np.linalg.cholesky(g + 0.25 * np.eye(n)))
+    bad = n // 2
+    g[bad, bad] = -1.0
+    wrong = spark.createDataFrame([(int(ids[i]), int(ids[j]), float(g[i, j])) for i in range(n) for j in range(i, n)], "i long, j long, g double")
+    with pytest.raises(NonPositivePivot) as e:
+        tiled.factored(wrong, side=side)
+    assert e.value.index == ids[bad]
+    least = -np.linalg.eigvalsh(g)[0]
+    _, _, ridge = tiled.factored(wrong, least / 50, tries=4, side=side)
+    assert ridge == pytest.approx(2 * least)
+    with pytest.raises(RidgeExhausted):
+        tiled.factored(wrong, 1e-9, tries=2, side=side)
+
+
+def test_pairs_solve_like_arrays(spark):
+    d, p, z = calls(40, 60, 11)
+    b, s = np.random.default_rng(2).normal(size=40), float(2 * (p * (1 - p)).sum())
+    g = dense(z, s, 1e-3)
+    pairs = spark.createDataFrame([(i, j, float(g[i, j])) for i in range(40) for j in range(i, 40)], "i long, j long, g double")
+    candidates = spark.createDataFrame([(i, float(b[i]), i % 2 == 0, 0.2) for i in range(40)], "candidate_id long, b double, male boolean, cap double")
+    for capped in (False, True):
+        got = tiled.solve_pairs(pairs, candidates, 0.3, capped=capped, side=16)
+        want = solve_arrays(z, b, 0.3, s=s, ridge=1e-3, male=np.arange(40) % 2 == 0, caps=np.full(40, 0.2) if capped else None)
+        assert got.gain == pytest.approx(want.gain, abs=1e-8) and sorted(got.ids) == sorted(want.ids)
+    empty = tiled.factored(pairs.limit(0))
+    assert empty[0].count() == 0 and empty[1].count() == 0

@@ -107,6 +107,27 @@ def test_scaling_round_trip(spark, tmp_path):
     assert tables.read_table(spark, path, tables.SCALING).count() == 2
 
 
+def test_a_point_is_published_once(spark, tmp_path):
+    """A task that failed after it wrote, a job that fails, and a point written again."""
+    path, schema = str(tmp_path / "points"), "n long, t double"
+    read = lambda: sorted(map(tuple, tables.read_table(spark, path, schema).collect()))
+    points = spark.createDataFrame([(1, 0.5), (2, 1.5), (3, 2.5)], schema).repartition(3)
+    tables.append_point(points, path, "a")
+    assert read() == [(1, 0.5), (2, 1.5), (3, 2.5)]
+    tables.append_point(points.where("n < 3"), path, "a")
+    tables.append_point(points.where("n = 1").withColumn("t", F.lit(9.0)), path, "b")
+    assert read() == [(1, 0.5), (1, 9.0), (2, 1.5)]
+    broken = points.withColumn("t", F.when(F.col("n") == 2, F.raise_error(F.lit("no such point")).cast("double")).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="no such point"):
+        tables.append_point(broken, path, "c")
+    writer = tables.PointWriter(path, "d", "n,t")
+    batches = lambda n: iter(spark.createDataFrame([(n, 0.25)], schema).toArrow().to_batches())
+    writer.write(batches(7))  # an attempt whose result never reached the driver
+    writer.commit([writer.write(batches(7)), None, writer.write(batches(8))])
+    assert read() == [(1, 0.5), (1, 9.0), (2, 1.5), (7, 0.25), (8, 0.25)]
+    assert {p.name for p in (tmp_path / "points").iterdir() if not p.name.startswith(".")} == {"point-a.csv", "point-b.csv", "point-d.csv"}
+
+
 def test_generators_do_not_depend_on_partitions(spark):
     a = generators.panel(spark, 40, 30, 3)
     assert a.exceptAll(generators.panel(spark, 40, 30, 3).repartition(3)).count() == 0
