@@ -32,7 +32,7 @@ class Bounds:
     pool: int
 
 
-def exchange(z: np.ndarray, b: np.ndarray, group: np.ndarray, c: np.ndarray, k: float, scale: float, ridge: float, price: float, tol: float = 1e-10, steps: int = 200_000) -> tuple[np.ndarray, float]:
+def exchange(z: np.ndarray, b: np.ndarray, group: np.ndarray, c: np.ndarray, k: float, scale: float, ridge: float, price: float, tol: float = 1e-10, steps: int = 20_000) -> tuple[np.ndarray, float]:
     """(plan, lambda) over a pool: from plan c and a first lambda."""
     c, t = c.copy(), 1 / (2 * price)
     g = z @ z.T / scale + ridge * np.eye(len(b))
@@ -47,8 +47,9 @@ def exchange(z: np.ndarray, b: np.ndarray, group: np.ndarray, c: np.ndarray, k:
             pairs.append((r[i] - r[j], i, j))
         gap, i, j = max(pairs)
         if gap < tol:
+            gc = g @ c  # without what the updates have gathered
             quad = float(c @ gc)
-            if abs(quad - k) <= 1e-12 * max(1.0, k):
+            if abs(quad - k) <= max(1e-12, tol / 100) * max(1.0, k):
                 break
             now = t * t
             if before is not None and quad != before[1]:
@@ -77,10 +78,10 @@ def gain_bounds(pricer: Pricer, budgets, k: float, scale: float, ridge: float =
     total = z.T @ c
     if float(total @ total) / scale + ridge * float(c @ c) <= k:  # the best of each budget, which the cap allows
         return Bounds(float(b @ c), float(b @ c), 0, len(ids))
-    lower, upper, price = -np.inf, np.inf, 1.0
+    lower, upper, price, tol = -np.inf, np.inf, 1.0, 1e-4
     inside = k * (1 - 1e-10)  # so that rounding leaves the plan within the cap
     for done in range(1, passes + 1):
-        c, price = exchange(z, b, group, c, inside, scale, ridge, price)
+        c, price = exchange(z, b, group, c, inside, scale, ridge, price, tol)
         total = z.T @ c
         quad = float(total @ total) / scale + ridge * float(c @ c)
         r = b - 2 * price * (z @ total / scale + ridge * c)
@@ -91,7 +92,10 @@ def gain_bounds(pricer: Pricer, budgets, k: float, scale: float, ridge: float =
         upper = min(upper, price * (k + quad) + float(budgets @ most))
         if quad <= k:
             lower = max(lower, float(b @ c))
-        if upper - lower <= within or not got.ids:
+        if upper - lower <= within or (not got.ids and tol <= 1e-10):
             break
+        tol = max(tol / (10 if got.ids else 1000), 1e-10)  # exact only where the bounds are close
+        if not got.ids:
+            continue
         ids, z, b, group, c = ids + list(got.ids), np.vstack([z, got.z]), np.append(b, got.b), np.append(group, got.group), np.append(c, np.zeros(len(got.ids)))
     return Bounds(lower, upper, done, len(ids))

@@ -219,6 +219,8 @@ def test_tiled_cholesky(spark, n, side):
     low = np.array([r.z for r in rows])
     assert [r.candidate_id for r in rows] == ids.tolist() and low.shape == (n, n) and ridge == 0.25
     assert np.allclose(low, np.linalg.cholesky(g + 0.25 * np.eye(n)))
+    back = {(r.i, r.j): r.g for r in tiled.product(places, factor, side).collect()}
+    assert len(back) == n * (n + 1) // 2 and all(abs(back[ids[i], ids[j]] - g[i, j] - 0.25 * (i == j)) < 1e-9 for i in range(n) for j in range(i, n))
     bad = n // 2
     g[bad, bad] = -1.0
     wrong = spark.createDataFrame([(int(ids[i]), int(ids[j]), float(g[i, j])) for i in range(n) for j in range(i, n)], "i long, j long, g double")
