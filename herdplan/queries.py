@@ -519,8 +519,12 @@ def _closed_form(x: Panel, free: list[tuple[bool | None, int]], upper: list[tupl
 
     from .plans.master import closed_form
 
-    named = x.candidates.withColumns({"r": F.row_number().over(Window.orderBy(F.desc("b"), "candidate_id")), "rank": F.row_number().over(Window.partitionBy("male").orderBy(F.desc("b"), "candidate_id"))})
     wanted = [(m, k) for m, k in free] + [(m, k) for m, k, _ in upper]
+    most = max(k for _, k in wanted)
+    if free[0][0] is None:
+        named = plan.best_of(x.candidates, most).withColumn("r", F.row_number().over(Window.orderBy(F.desc("b"), "candidate_id")))
+    else:
+        named = plan.best_by_sex(x.candidates, most)
     pick = lambda m, k: (F.col("r") == k) if m is None else (F.col("male") == m) & (F.col("rank") == k)
     role = F.lit(None).cast("int")
     for n, w in enumerate(wanted):

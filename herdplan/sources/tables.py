@@ -209,13 +209,14 @@ def write_exchange(rows: DataFrame, path: str, scale: float = 1.0) -> None:
 
 
 #: Keys of an exchange's specification, padded to one width: fixed values.
-SPEC = {"seed": "Seed", "gender": "GenderFile", "matrix": "NrmMatrixFile", "coancestry": "CoancestryMatrixFile", "criterion": "SelCriterionFile", "matings": "NumberOfMatings", "males": "NumberOfMaleParents", "females": "NumberOfFemaleParents", "degree": "TargetDegree", "target": "TargetCoancestry", "rate": "TargetCoancestryRate"}
+SPEC = {"seed": "Seed", "gender": "GenderFile", "matrix": "NrmMatrixFile", "coancestry": "CoancestryMatrixFile", "criterion": "SelCriterionFile", "matings": "NumberOfMatings", "males": "NumberOfMaleParents", "equal_males": "EqualizeMaleContributions", "females": "NumberOfFemaleParents", "equal_females": "EqualizeFemaleContributions", "degree": "TargetDegree", "target": "TargetCoancestry", "rate": "TargetCoancestryRate"}
 
 
-def write_exchange_folder(pairs: DataFrame, candidates: DataFrame, folder: str, scale: float = 1.0, halved: bool = False, seed: int = 1, matings: int | None = None, targets: dict | None = None) -> None:
+def write_exchange_folder(pairs: DataFrame, candidates: DataFrame, folder: str, scale: float = 1.0, halved: bool = False, seed: int = 1, matings: int | None = None, targets: dict | None = None, males: int | None = None, females: int | None = None, equal: bool = False) -> None:
     """What an external mating tool reads, each a single file: matrix * scale
     (relationships, or coancestries if ``halved``), criterion and gender by id,
-    and the specification. Without a sex or without candidates: an error."""
+    and the specification, where ``equal`` parents of a sex contribute alike.
+    Without a sex or without candidates: an error."""
     spark = pairs.sparkSession
     sexes = {r["male"]: r["count"] for r in candidates.groupBy("male").count().collect()}
     if not sexes or None in sexes:
@@ -226,9 +227,9 @@ def write_exchange_folder(pairs: DataFrame, candidates: DataFrame, folder: str,
     by_id = candidates.orderBy("candidate_id")
     put_lines(by_id.select(F.concat_ws(" ", F.col("candidate_id").cast("string"), F.format_string("%.10g", "b"))), f"{folder}/Criterion.txt")
     put_lines(by_id.select(F.concat_ws(" ", F.col("candidate_id").cast("string"), F.when(F.col("male"), "1").otherwise("2"))), f"{folder}/Gender.txt")
-    females = max(1, sexes.get(False, 0))
-    values = {"seed": seed, "gender": "Gender.txt", "coancestry" if halved else "matrix": name, "criterion": "Criterion.txt", "matings": matings or females, "males": max(1, sexes.get(True, 0)), "females": females, **{k: f"{v:g}" for k, v in (targets or {}).items()}}
-    put(spark, f"{folder}/Spec.txt", ("".join(f"{SPEC[k]:<28}, {v}\n" for k, v in values.items()) + "Stop\n").encode())
+    dams, alike = max(1, sexes.get(False, 0)), {"equal_males": "Yes", "equal_females": "Yes"} if equal else {}
+    values = {"seed": seed, "gender": "Gender.txt", "coancestry" if halved else "matrix": name, "criterion": "Criterion.txt", "matings": matings or dams, "males": males or max(1, sexes.get(True, 0)), "females": females or dams, **alike, **{k: f"{v:g}" for k, v in (targets or {}).items()}}
+    put(spark, f"{folder}/Spec.txt", ("".join(f"{SPEC[k]:<28}, {values[k]}\n" for k in SPEC if k in values) + "Stop\n").encode())
 
 
 def _cell(value, digits: str = "{:.3f}") -> str:

@@ -258,6 +258,10 @@ def test_exchange_folder_and_meta(spark, tmp_path):
     assert (tmp_path / "x" / "Gender.txt").read_text() == "1 1\n2 2\n" and [[float(v) for v in r.split()] for r in (tmp_path / "x" / "Criterion.txt").read_text().splitlines()] == [[1, 2.5], [2, -1]]
     spec = (tmp_path / "x" / "Spec.txt").read_text()
     assert spec.endswith("Stop\n") and f"{'TargetDegree':<28}, 45" in spec and f"{'CoancestryMatrixFile':<28}, Coancestry.txt" in spec
+    assert "Equalize" not in spec
+    tables.write_exchange_folder(pairs, cand, str(tmp_path / "z"), males=7, equal=True, targets={"target": 0.01})
+    spec = [tuple(x.strip() for x in r.split(",")) for r in (tmp_path / "z" / "Spec.txt").read_text().splitlines()]
+    assert spec[5:] == [("NumberOfMaleParents", "7"), ("EqualizeMaleContributions", "Yes"), ("NumberOfFemaleParents", "1"), ("EqualizeFemaleContributions", "Yes"), ("TargetCoancestry", "0.01"), ("Stop",)]
     with pytest.raises(InputError):
         tables.write_exchange_folder(pairs, cand.withColumn("male", F.lit(None).cast("boolean")), str(tmp_path / "y"))
     tables.write_vector(spark.createDataFrame([(1, 2.0), (0, 1.0)], "i int, value double"), "gebv", str(tmp_path / "v.csv"))
