@@ -28,6 +28,8 @@ from ..shipping import ship
 ZERO = 1e-9
 #: Vectors of one pass.
 BLOCK = 16
+#: Numbers of all partitions together up to which the driver adds them up itself.
+GATHERED = 1 << 20
 
 
 def _dense(column: pa.Array) -> np.ndarray:
@@ -45,6 +47,7 @@ class Products:
         self.rows, self.scale, self.passes = rows.select(*own).persist(), float(scale), 0
         zz = F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)
         got = self.rows.agg(F.count("*").alias("n"), F.max(F.size("z")).alias("m"), F.sum(zz).alias("zz")).first()
+        self.parts = self.rows.rdd.getNumPartitions()
         self.n, self.m, self.trace = got["n"], got["m"] or 0, (got["zz"] or 0.0) / self.scale
 
     def summed(self, of: Callable[[np.ndarray, np.ndarray | None], np.ndarray], columns: int) -> np.ndarray:
@@ -60,10 +63,11 @@ class Products:
                     total += of(_dense(batch.column("z")), np.asarray(batch.column("b")) if "b" in names else None)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(m * columns)), pa.array(total.ravel())], ["place", "v"])
 
-        got = self.rows.mapInArrow(run, "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
-        out = np.zeros(m * columns)
-        out[got.column("place").to_numpy()] = got.column("v").to_numpy()
-        return out.reshape(m, columns)
+        parts = self.rows.mapInArrow(run, "place long, v double")
+        if self.parts * m * columns > GATHERED:
+            parts = parts.groupBy("place").agg(F.sum("v").alias("v"))
+        got = parts.toArrow()
+        return np.bincount(got.column("place").to_numpy(), got.column("v").to_numpy(), m * columns).reshape(m, columns)
 
     def apply(self, v: np.ndarray) -> np.ndarray:
         """Z'(ZV)/s in one pass."""
@@ -169,31 +173,36 @@ def escalated(products: Products, ridge: float, least: float, most_tries: int, b
 
 
 def conjugate_gradients(apply: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, rhs: np.ndarray, tol: float = 1e-13, most: int = 1000) -> np.ndarray:
-    """Solves A y = rhs, preconditioned by the diagonal; one product an iteration."""
+    """Solves A y = rhs, preconditioned by the diagonal; one product an iteration.
+    Ends at a residual of ``tol`` or where rounding lets it fall no further."""
     y, r = np.zeros_like(rhs), rhs.copy()
     size = float(np.linalg.norm(rhs))
     if size == 0:
         return y
     d = r / diagonal
     p, rho = d, float(r @ d)
+    best, least, since = y, size, 0
     for _ in range(most):
         q = apply(p)
         step = rho / float(p @ q)
         y, r = y + step * p, r - step * q
-        if np.linalg.norm(r) <= tol * size:
+        now = float(np.linalg.norm(r))
+        best, least, since = (y, now, 0) if now < 0.9 * least else (best, least, since + 1)
+        if now <= tol * size or since == 10:
             break
         d = r / diagonal
         before, rho = rho, float(r @ d)
         p = d + (rho / before) * p
-    return y
+    return best
 
 
-def inverse_times(products: Products, ridge: float, tol: float = 1e-13, refinements: int = 1) -> DataFrame:
+def inverse_times(products: Products, ridge: float, tol: float = 1e-11, refinements: int = 1) -> DataFrame:
     """(candidate_id, b, x) with (ZZ'/s + ridge I) x = b.
 
     x = (b - Z y) / ridge, where (Z'Z/s + ridge I) y = Z'b/s is a system over
     markers that conjugate gradients solve in a pass an iteration. What the
-    division loses is made good by solving again for the residual.
+    division loses, and what a loose ``tol`` leaves, is made good by solving again
+    for the residual.
     """
     if ridge <= 0:
         raise ValueError("the ridge must be positive")

@@ -180,7 +180,7 @@ _TAUS = (0.0, 0.15, 0.4)
     f""", o AS (SELECT candidate_id, row_number() OVER (ORDER BY b DESC, candidate_id) AS r FROM cand),
  gg AS (SELECT a.candidate_id AS i, b.candidate_id AS j, round(sum(a.z * b.z) / max(s), 9) AS g FROM z a JOIN z b ON a.marker_id = b.marker_id AND a.candidate_id <> b.candidate_id, sc GROUP BY 1, 2),
  t(tau) AS (VALUES {', '.join(f'({t}e0)' for t in _TAUS)}),
- adj AS (SELECT tau, p.r, max(p.candidate_id) AS candidate_id, coalesce(list(q.r) FILTER (WHERE g > tau AND q.r < p.r), []) AS better FROM t, o p JOIN gg ON gg.i = p.candidate_id JOIN o q ON gg.j = q.candidate_id GROUP BY tau, p.r),
+ adj AS MATERIALIZED (SELECT tau, p.r, max(p.candidate_id) AS candidate_id, coalesce(list(q.r) FILTER (WHERE g > tau AND q.r < p.r), []) AS better FROM t, o p JOIN gg ON gg.i = p.candidate_id JOIN o q ON gg.j = q.candidate_id GROUP BY tau, p.r),
  walk(tau, r, taken) AS (SELECT tau, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM t UNION ALL SELECT w.tau, w.r + 1, CASE WHEN len(list_intersect(w.taken, adj.better)) = 0 THEN list_append(w.taken, adj.r) ELSE w.taken END FROM walk w JOIN adj ON adj.tau = w.tau AND adj.r = w.r + 1),
  last AS (SELECT tau, unnest(taken) AS r FROM walk WHERE r = (SELECT count(*) FROM o))
  SELECT tau, candidate_id FROM last JOIN o USING (r)""",
