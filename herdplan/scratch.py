@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths that shared_folder has given out.
+_FOLDERS: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path below the session's ``spark.checkpoint.dir``; where that is
     unset, a local session takes and sets a temporary folder, and one on a
@@ -20,7 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="herdplan-")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/herdplan-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{base.rstrip('/')}/herdplan-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def drop_folders(spark: SparkSession) -> int:
+    """Deletes the folders that this process was given; call it when no result that
+    reads from there is needed any more. How many were there."""
+    n = 0
+    while _FOLDERS:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        n += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return n
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -107,6 +107,16 @@ def test_scaling_round_trip(spark, tmp_path):
     assert tables.read_table(spark, path, tables.SCALING).count() == 2
 
 
+def test_shared_folders_are_dropped(spark):
+    from herdplan import scratch
+
+    path = scratch.shared_folder(spark)
+    scratch.put(spark, f"{path}/x.txt", b"1\n")
+    assert spark.read.text(path).count() == 1 and scratch.drop_folders(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.text(path)
+
+
 def test_a_point_is_published_once(spark, tmp_path):
     """A task that failed after it wrote, a job that fails, and a point written again."""
     path, schema = str(tmp_path / "points"), "n long, t double"
