@@ -110,7 +110,7 @@ def matrix_free(spark: SparkSession, args) -> DataFrame:
             build = f"{time.time() - began:.3f}"
         began = time.time()
         got = solve_panel(rows, args.k_frac * mean, s, args.ridge, not args.simplex)
-        out.append((n, args.m, n * args.m / 2**27, g_gib, build, time.time() - began, len(got.ids), got.status))
+        out.append((n, args.m, n * args.m / 2**27, g_gib, build, time.time() - began, got.support, got.status))
         rows.unpersist()
     return spark.createDataFrame(out, tables.MATRIX_FREE)
 
@@ -135,7 +135,7 @@ def one_size(spark: SparkSession, n: int, m: int, args) -> tuple:
     got = solve_panel(rows, args.k_frac * mean, s, args.ridge, not args.simplex)
     took = time.time() - began
     rows.unpersist()
-    return (n, m, took, args.ridge, peak_mb(spark), got.solved, got.solved and got.quad <= got.k + 1e-6, len(got.ids), got.products)
+    return (n, m, took, args.ridge, peak_mb(spark), got.solved, got.solved and got.quad <= got.k + 1e-6, got.support, got.products)
 
 
 POINT = "n int, m int, seconds double, ridge double, rss_mb double, solved boolean, feasible boolean, support int, products int"

@@ -30,7 +30,7 @@ def frontier(rows: DataFrame, ks: Sequence[float], scale: float, ridge: float =
 
 def frontier_table(rows: DataFrame, found: Sequence[Selection]) -> DataFrame:
     """(k, quad, gain, feasible, n_support) of a frontier."""
-    return rows.sparkSession.createDataFrame([(float(x.k), float(x.quad), float(x.gain), x.solved, len(x.ids)) for x in found], "k double, quad double, gain double, feasible boolean, n_support int")
+    return rows.sparkSession.createDataFrame([(float(x.k), float(x.quad), float(x.gain), x.solved, x.support) for x in found], "k double, quad double, gain double, feasible boolean, n_support int")
 
 
 def cap_for_effective_size(rows: DataFrame, target: float, scale: float, ridge: float = 1e-5, sexed: bool = True, capped: bool = False, local_bytes: int = 0, held: bool = False) -> tuple[Selection, float]:
