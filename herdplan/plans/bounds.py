@@ -1,13 +1,12 @@
 """Lower and upper bounds of the best gain, by a method of their own.
 
-Conditional gradients with exchange (away) steps on the Lagrangian
+Fully corrective conditional gradients on the Lagrangian
 
     L(c) = b'c - lambda (c'Gc - k):
 
-candidates of a pool exchange contributions pair by pair, the one of largest
-gradient taking from the one of smallest, and secant steps move lambda until the
-cap holds. A pass over all candidates then finds the largest gradient of each
-budget. L is concave, so for this lambda no feasible plan gains more than
+the best plan of a pool is solved for by active sets, exactly however many of the
+pool it takes, and secant steps move lambda until the cap holds. A pass over all
+candidates then finds the largest gradient of each budget. L is concave, so for this lambda no feasible plan gains more than
 
     lambda k + lambda c'Gc + sum over budgets d * (largest gradient),
 
@@ -32,40 +31,70 @@ class Bounds:
     pool: int
 
 
-def exchange(z: np.ndarray, b: np.ndarray, group: np.ndarray, c: np.ndarray, k: float, scale: float, ridge: float, price: float, tol: float = 1e-10, steps: int = 20_000) -> tuple[np.ndarray, float]:
-    """(plan, lambda) over a pool: from plan c and a first lambda."""
-    c, t = c.copy(), 1 / (2 * price)
-    g = z @ z.T / scale + ridge * np.eye(len(b))
-    gc, before = g @ c, None
-    kinds = np.unique(group)
-    for _ in range(steps):
-        r = b - gc / t
-        pairs = []
-        for q in kinds:
-            own, used = np.flatnonzero(group == q), np.flatnonzero((group == q) & (c > 0))
-            i, j = own[np.argmax(r[own])], used[np.argmin(r[used])]
-            pairs.append((r[i] - r[j], i, j))
-        gap, i, j = max(pairs)
-        if gap < tol:
-            gc = g @ c  # without what the updates have gathered
-            quad = float(c @ gc)
-            if abs(quad - k) <= max(1e-12, tol / 100) * max(1.0, k):
-                break
-            now = t * t
-            if before is not None and quad != before[1]:
-                new = now + (k - quad) * (now - before[0]) / (quad - before[1])
-                t = np.sqrt(new) if new > 0 else 0.7 * t
-            else:
-                t = t * np.sqrt(k / quad) if quad > k else 1.3 * t
-            before = (now, quad)
+def _inverse(z: np.ndarray, scale: float, ridge: float):
+    """What solves (ZZ'/s + ridge I) x = y; through the markers where they are fewer."""
+    n, m = z.shape
+    if ridge > 0 and m < n:
+        low = np.linalg.inv(np.linalg.cholesky(scale * ridge * np.eye(m) + z.T @ z))
+        once = lambda y: (y - z @ (low.T @ (low @ (z.T @ y)))) / ridge
+
+        def solve(y: np.ndarray) -> np.ndarray:
+            x = once(y)
+            return x + once(y - z @ (z.T @ x) / scale - ridge * x)  # what the division by the ridge has lost
+
+        return solve
+    g = z @ z.T / scale + ridge * np.eye(n)
+    return lambda y: np.linalg.lstsq(g, y, rcond=1e-14)[0]
+
+
+def corrected(z: np.ndarray, b: np.ndarray, group: np.ndarray, budgets: np.ndarray, c: np.ndarray, t: float, scale: float, ridge: float, tol: float) -> np.ndarray:
+    """The best plan of a pool at the price 1 / (2t), from plan c: the candidate of
+    largest gradient becomes free, the optimum over the free ones is solved for, and
+    where it is not a plan, c goes as far towards it as it can and the candidate
+    that stops it is free no more."""
+    c, free = c.copy(), c > 0
+    for _ in range(20 * len(b) + 100):
+        f = np.flatnonzero(free)
+        a = (group[f][:, None] == np.arange(len(budgets))).astype(float)
+        solved = _inverse(z[f], scale, ridge)(np.column_stack([t * b[f], a]))
+        mu = np.linalg.lstsq(a.T @ solved[:, 1:], a.T @ solved[:, 0] - budgets, rcond=None)[0]
+        x = solved[:, 0] - solved[:, 1:] @ mu
+        if (x < 0).any():
+            share = np.where(x < 0, c[f] / np.maximum(c[f] - x, 1e-300), 1.0)
+            stops = share <= share.min()
+            c[f] = np.where(stops, 0.0, np.maximum(c[f] + share.min() * (x - c[f]), 0.0))
+            free[f[stops]] = False
             continue
-        move = min(gap * t / (g[i, i] + g[j, j] - 2 * g[i, j]), c[j])
-        c[i], c[j] = c[i] + move, c[j] - move if move < c[j] else 0.0
-        gc = gc + move * (g[:, i] - g[:, j])
+        c[f] = x
+        r = np.where(free, -np.inf, t * b - z @ (z[f].T @ x) / scale - mu[group])
+        i = int(np.argmax(r))
+        if r[i] <= tol * t:
+            break
+        free[i] = True
+    return c
+
+
+def at_cap(z: np.ndarray, b: np.ndarray, group: np.ndarray, budgets: np.ndarray, c: np.ndarray, k: float, scale: float, ridge: float, price: float, tol: float = 1e-10, steps: int = 200) -> tuple[np.ndarray, float]:
+    """(plan, lambda) over a pool, from plan c and a first lambda. Coancestry rises
+    with t, in pieces linear in t^2, so secants between bounds of t^2 end soon."""
+    t, low, high, before = 1 / (2 * price), 0.0, np.inf, None
+    for _ in range(steps):
+        c = corrected(z, b, group, budgets, c, t, scale, ridge, tol)
+        total = z.T @ c
+        quad, now = float(total @ total) / scale + ridge * float(c @ c), t * t
+        if abs(quad - k) <= 1e-12 * max(1.0, k):
+            break
+        low, high = (max(low, now), high) if quad < k else (low, min(high, now))
+        if high < 1e-16 or high <= low * (1 + 1e-15):  # no plan of the pool keeps the cap
+            break
+        new = now + (k - quad) * (now - before[0]) / (quad - before[1]) if before is not None and quad != before[1] else now * k / quad
+        if not low < new < high:
+            new = 4 * low if np.isinf(high) else (low + high) / 2 if low > 0 else high / 16
+        before, t = (now, quad), float(np.sqrt(new))
     return c, 1 / (2 * t)
 
 
-def gain_bounds(pricer: Pricer, budgets, k: float, scale: float, ridge: float = 1e-5, within: float = 1e-7, passes: int = 200, chunk: int = 16) -> Bounds:
+def gain_bounds(pricer: Pricer, budgets, k: float, scale: float, ridge: float = 1e-5, within: float = 1e-7, passes: int = 200, chunk: int = 64) -> Bounds:
     """Bounds for a panel without per-candidate caps; a cap that no plan meets has
     no lower bound (minus infinity)."""
     budgets = np.asarray(budgets, float)
@@ -81,7 +110,7 @@ def gain_bounds(pricer: Pricer, budgets, k: float, scale: float, ridge: float =
     lower, upper, price, tol = -np.inf, np.inf, 1.0, 1e-4
     inside = k * (1 - 1e-10)  # so that rounding leaves the plan within the cap
     for done in range(1, passes + 1):
-        c, price = exchange(z, b, group, c, inside, scale, ridge, price, tol)
+        c, price = at_cap(z, b, group, budgets, c, inside, scale, ridge, price, tol)
         total = z.T @ c
         quad = float(total @ total) / scale + ridge * float(c @ c)
         r = b - 2 * price * (z @ total / scale + ridge * c)
