@@ -189,8 +189,8 @@ _TAUS = (0.0, 0.15, 0.4)
 def greedy_packing(x: Panel) -> DataFrame:
     """Candidates by falling b whose relationship to all taken is at most tau, for
     three taus together, in rounds."""
-    table = relatedness.conflicts(x.genotypes, x.scale, x.candidates, _TAUS)
-    return relatedness.greedy_packing(x.candidates, table, _TAUS)[0]
+    with rows_of(x) as (rows, s):
+        return relatedness.packing(rows, s, _TAUS)[0]
 
 
 @query(
