@@ -101,9 +101,10 @@ def hash_words(data: np.ndarray, starts: np.ndarray, table: np.ndarray, seed: in
     """64-bit hash of each word; bytes that ``table`` maps to 0 do not count."""
     if not len(starts):
         return np.empty(0, np.uint64)
+    lead = int(starts[0])  # what stands before the first word may be longer than any word
+    data, starts = data[lead:], starts - lead
     at = positions(starts, len(data))
-    values = table[data] * powers(int(at[starts[0] :].max()) + 1, seed)[at]
-    values[: starts[0]] = 0
+    values = table[data] * powers(int(at.max()) + 1, seed)[at]
     return mix(np.add.reduceat(values, starts) + _GOLD)
 
 

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from herdplan.llm import ann, quality, toxicity
+from herdplan.llm import ann, arrays, quality, toxicity
 from herdplan.llm.queries import ORACLE_SQL, QUERIES
 
 from .samples import documents, empty, frame
@@ -46,6 +46,18 @@ def test_awkward_rows(spark, run):
     assert run(empty(spark), labels).count() == 0
 
 
+@pytest.mark.parametrize("lead", ["1234567890 " * 9, "\n! 4", "\x00" * 70])
+def test_texts_that_begin_with_long_runs_without_letters(lead):
+    """Alone in a slice, what stands before their first word is longer than any word."""
+    lexicons = toxicity.Lexicons(toxicity.hash_strings(["zebra"]), {})
+    plain, led = (toxicity.features(pa.array([x]), lexicons)[0] for x in ("a zebra", lead + "a zebra"))
+    assert plain[:11].tolist() == led[:11].tolist() and led[3] == 1
+    assert toxicity.features(pa.array([lead + "a"]), lexicons)[0, 0] == np.log1p(1)
+    data, starts = np.frombuffer((lead + "ab cd").encode(), np.uint8), np.array([len(lead), len(lead) + 3])
+    bare = np.frombuffer(b"ab cd", np.uint8)
+    assert (arrays.hash_words(data, starts, toxicity._TABLE, 62) == arrays.hash_words(bare, np.array([0, 3]), toxicity._TABLE, 62)).all()
+
+
 def test_isotonic_rises_and_averages():
     rng = np.random.default_rng(0)
     s = rng.normal(size=500)
